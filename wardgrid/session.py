@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ def build_session(app: str = "wardgrid", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # call-site capture costs more than planning itself for wide generated projections
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -37,9 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably, so that it is computed once and survives executor loss."""
+def store_bucketed(df: DataFrame, keys: list[str], sort: list[str]) -> DataFrame:
+    """Write `df` once as a table in the shared folder, bucketed so that readers need no shuffle.
+
+    One task writes one bucket; later jobs read only the columns they use and survive executor loss.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"wardgrid_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys).write.format("parquet")
+        .bucketBy(buckets, *keys).sortBy(*sort)
+        .option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write `df` once as parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/wardgrid_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
