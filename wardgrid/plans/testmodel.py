@@ -30,7 +30,6 @@ SPEC = GridSpec(
     step_minutes=360,
     fill_hours={**{c: 48.0 for c in fx.VITAL_CHANNELS}, **{c: 96.0 for c in fx.LAB_CHANNELS},
                 "temperature_c": 72.0},
-    chunk_ticks=112,
 )
 
 DIAGNOSIS_STEMS = ["ring", "gear", "bolt", "hot", "cold"]
