@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardgrid.plans import profile_queries, scoring_queries, timeline_queries
+from wardgrid.plans import profile_queries, scoring_queries, source_queries, timeline_queries
 
-MODULES = [timeline_queries, profile_queries, scoring_queries]
+MODULES = [timeline_queries, profile_queries, scoring_queries, source_queries]
 
 
 def queries() -> dict:

@@ -128,7 +128,7 @@ def bedside_points(spark, d):
         *_KEY, cl.bedside_points().alias("points"), F.array_join(cl.bedside_factors(), "; ").alias("factors"))
 
 
-_FUSE = """c AS (SELECT *, (l_partkey % 997) / 997e0 AS p, {pts} AS points,
+_FUSE = """c AS (SELECT *, (l_partkey % 997 + 0.5e0) / 997 AS p, {pts} AS points,
   CASE WHEN l_linenumber IN (1, 2) THEN 'No Finding' WHEN l_linenumber = 3 THEN NULL ELSE 'Pneumonia' END AS finding FROM m),
 v AS (SELECT *, CASE WHEN finding IS NOT NULL AND finding <> 'No Finding' THEN p * 100 ELSE least(greatest(l_tax * 5 * 120, 5), 75) END AS visual FROM c),
 w AS (SELECT *, p * 100 * 0.45e0 + points * 0.35e0 + visual * 0.2e0 AS combined FROM v)""".format(pts=_POINTS_SQL)
@@ -142,7 +142,7 @@ SELECT {_KEY_SQL}, risk_score, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN r
 def late_fusion(spark, d):
     finding = F.when(F.col("l_linenumber").isin(1, 2), "No Finding").when(
         F.col("l_linenumber") == 3, None).otherwise("Pneumonia")
-    p = (F.col("l_partkey") % 997) / 997.0
+    p = (F.col("l_partkey") % 997 + 0.5) / 997.0
     visual = cl.visual_risk(finding, p, F.col("l_tax") * 5)
     out = frames(spark, d).select(*_KEY, cl.fusion(p, cl.bedside_points(), visual).alias("f"))
     return out.select(*_KEY, "f.*").drop("recommendation")
