@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from wardgrid.plans import profile_queries, scoring_queries, source_queries, timeline_queries
+from wardgrid.plans import (
+    evaluation_queries, profile_queries, scoring_queries, source_queries, stream_queries,
+    timeline_queries,
+)
 
-MODULES = [timeline_queries, profile_queries, scoring_queries, source_queries]
+MODULES = [timeline_queries, profile_queries, scoring_queries, source_queries, evaluation_queries,
+           stream_queries]
 
 
 def queries() -> dict:

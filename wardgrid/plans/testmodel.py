@@ -59,7 +59,10 @@ def _pick(values: list, index: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = load(spark, sf_dir, "events")
+    return to_events(load(spark, sf_dir, "events"))
+
+
+def to_events(raw: DataFrame) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
     return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
@@ -69,7 +72,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
+    return to_observations(events(spark, sf_dir))
+
+
+def to_observations(ev: DataFrame) -> DataFrame:
     code = (F.array_position(F.expr(f"array{tuple(EVENT_TYPES)}"), F.col("event_type")) - 1) * 4
     code = code + F.col("k") % 4
     number = F.when(F.col("k") % 25 == 3, None).otherwise(
