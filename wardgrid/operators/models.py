@@ -56,7 +56,7 @@ def forest_forecasts(windows: DataFrame, split: str = "test", sample: int = 2500
     """One forest per channel and step (a fixed, small number); rows (stay, tick, channel, step, y, p)."""
     flat = as_vectors(windows).select("stay_id", "tick", "split", "features", "forecast", "forecast_mask")
     train = store(seeded_sample(flat.where("split = 'train'"), sample))
-    test = flat.where(F.col("split") == split)
+    test = store(flat.where(F.col("split") == split))  # read once per model
     out = None
     for i, c in enumerate(channels):
         for k in steps:

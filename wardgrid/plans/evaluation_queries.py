@@ -233,10 +233,10 @@ def _numbered(spark, d) -> DataFrame:
 @query("personal_baseline", """WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
 b(user_id, seq, base) AS (SELECT user_id, 48, avg(value) FROM n WHERE seq <= 48 GROUP BY user_id HAVING count(*) = 48
  UNION ALL SELECT n.user_id, n.seq, 0.05e0 * n.value + 0.95e0 * b.base FROM b JOIN n ON n.user_id = b.user_id AND n.seq = b.seq + 1)
-SELECT n.event_id, n.seq, round(base, 5) AS baseline, round(value - base, 5) AS deviation FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.seq = n.seq""")
+SELECT n.event_id, n.seq, round(base, 8) AS baseline, round(value - base, 8) AS deviation FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.seq = n.seq""")
 def personal_baseline(spark, d):
     out = mn.personal_baseline(_numbered(spark, d), ["user_id"], "value")
-    return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation", digits=5)
+    return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation", digits=8)
 
 
 def _roll(n: int) -> str:
@@ -309,10 +309,10 @@ def alert_log(spark, d):
 
 @query("alert_lead_time", """
 WITH a AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE value > 80), e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error')
-SELECT e.user_id AS patient_id, e.event_id, round((any_value(e.us) - min(a.us)) / 60e6, 5) AS lead_minutes
+SELECT e.user_id AS patient_id, e.event_id, round((any_value(e.us) - min(a.us)) / 60e6, 8) AS lead_minutes
 FROM e LEFT JOIN a ON a.user_id = e.user_id AND a.us BETWEEN e.us - 172800000000 AND e.us GROUP BY 1, 2""")
 def alert_lead_time(spark, d):
     ev = tm.events(spark, d).withColumnRenamed("user_id", "patient_id")
-    return r6(mn.lead_times(ev.where("value > 80"), ev.where("event_type = 'error'"), 48.0), "lead_minutes", digits=5)
+    return r6(mn.lead_times(ev.where("value > 80"), ev.where("event_type = 'error'"), 48.0), "lead_minutes", digits=8)
 
 

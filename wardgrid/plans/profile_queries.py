@@ -141,14 +141,14 @@ def sampling_all(spark, d):
 
 
 @query("gap_to_previous", _OBS + "," + _gap_sql("stay_id", 60e6, "obs") + """
-SELECT event_id, stay_id, round(gap, 6) AS gap FROM gaps""")
+SELECT event_id, stay_id, round(gap, 8) AS gap FROM gaps""")
 def gap_to_previous(spark, d):
     from wardgrid.operators.slices import with_previous
     obs = tm.observations(spark, d)
     out = with_previous(obs.select("event_id", "stay_id", "charttime"), ["stay_id"], "charttime",
                         ["charttime", "event_id"], ["charttime"])
     gap = (F.unix_micros("charttime") - F.unix_micros("prev_charttime")) / 60e6
-    return r6(out.select("event_id", "stay_id", gap.alias("gap")).where("gap > 0"), "gap")
+    return r6(out.select("event_id", "stay_id", gap.alias("gap")).where("gap > 0"), "gap", digits=8)
 
 
 @query("sampling_by_variable", _OBS + f""",

@@ -86,7 +86,7 @@ _DAY = 86400
 
 
 @query("stream_grid_means", with_sql("ev", "obs") + "," + NAMED_SQL + f"""
-, w AS (SELECT stay_id, us // {_DAY}000000 AS b, channel, v FROM named WHERE channel IN ('heart_rate', 'spo2'))
+, w AS (SELECT stay_id, us, us // {_DAY}000000 AS b, channel, v FROM named WHERE channel IN ('heart_rate', 'spo2'))
 SELECT stay_id, make_timestamp(b * {_DAY}000000) AS tick, round(avg(v) FILTER (WHERE channel = 'heart_rate'), 6) AS heart_rate,
  round(avg(v) FILTER (WHERE channel = 'spo2'), 6) AS spo2 FROM w
 WHERE (b + 1) * {_DAY}000000 <= (SELECT max(us) // 1000 * 1000 FROM w) - 3600000000 GROUP BY stay_id, b""")
@@ -106,7 +106,13 @@ def stream_latest(spark, d):
     return tm.export(sv.latest_state(frames(spark, d), _ORDER, [*_ORDER, *_VIT], _run("latest")))
 
 
-@query("stream_buffers")
+_FILLED = " + ".join(f"coalesce({c}, {fx.LIVE_BASELINE[c]}e0)" for c in fx.LIVE_VITALS)
+
+
+@query("stream_buffers", FRAMES_SQL + f"""
+, b AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, l_orderkey * 10 + l_linenumber DESC) AS back FROM frames)
+SELECT patient_id, count(*)::INT AS size, max(ts) AS newest, round(sum({_FILLED}) / (count(*) * 5), 6) AS mean_value
+FROM b WHERE back <= 24 GROUP BY patient_id""")
 def stream_buffers(spark, d):
     f = frames(spark, d).withColumn("ord", F.expr("l_orderkey * 10 + l_linenumber"))
     out = sv.run_to_table(sv.buffers(f), _run("buffers"))

@@ -327,19 +327,24 @@ def treatment_audit(spark, d):
 
 # ---- features and scaler ---------------------------------------------------------------------
 
+_EMAS = [c for c in fx.FEATURES if c.startswith("ema_")]
+_PLAIN = [c for c in fx.FEATURES if not c.startswith("ema_")]
+
+
 @query("features", FEATURED + f"""
-SELECT stay_id, subject_id, tick, {_round_list(fx.FEATURES, 4)} FROM features""")
+SELECT stay_id, subject_id, tick, {_round_list(_PLAIN)}, {_round_list(_EMAS, 4)} FROM features""")
 def features_query(spark, d):
     frame = feat.feature_frame(feat.add_features(timeline(spark, d, treated=True, stored=True)))
-    return r6(frame, *fx.FEATURES, digits=4)
+    return r6(r6(frame, *_PLAIN), *_EMAS, digits=4)
 
 
-@query("deltas_and_volatility", ALIGNED + f"""
-SELECT stay_id, tick, {', '.join(f'round({x.rsplit(" AS ", 1)[0]}, 6) AS {x.rsplit(" AS ", 1)[1]}' for x in _DELTAS.split(", coalesce")[:1])}
-FROM filled""")
+_CHANGES = [*(f"delta_{c}" for c in fx.DELTA_CHANNELS), *(f"roll_std_{c}" for c in fx.VOLATILITY_CHANNELS)]
+
+
+@query("deltas_and_volatility", ALIGNED + f", x AS (SELECT stay_id, tick, {_DELTAS}, {_VOL} FROM filled) SELECT stay_id, tick, {_round_list(_CHANGES)} FROM x")
 def deltas_and_volatility(spark, d):
-    t = feat.add_deltas(timeline(spark, d), ["heart_rate"])
-    return r6(t.rows("stay_id", "tick", "delta_heart_rate"), "delta_heart_rate")
+    t = feat.add_volatility(feat.add_deltas(timeline(spark, d)))
+    return r6(t.rows("stay_id", "tick", *_CHANGES), *_CHANGES)
 
 
 _CLIPPED = ", ".join(
