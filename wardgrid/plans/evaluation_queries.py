@@ -230,13 +230,15 @@ def _numbered(spark, d) -> DataFrame:
     return with_sequence_number(ev, ["user_id"], "ts", ["ts", "event_id"])
 
 
-@query("personal_baseline", """WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+@query("personal_baseline", """WITH RECURSIVE n AS (SELECT event_id, user_id, value / 7 AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
 b(user_id, seq, base) AS (SELECT user_id, 48, avg(value) FROM n WHERE seq <= 48 GROUP BY user_id HAVING count(*) = 48
  UNION ALL SELECT n.user_id, n.seq, 0.05e0 * n.value + 0.95e0 * b.base FROM b JOIN n ON n.user_id = b.user_id AND n.seq = b.seq + 1)
-SELECT n.event_id, n.seq, round(base, 8) AS baseline, round(value - base, 8) AS deviation FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.seq = n.seq""")
+SELECT n.event_id, n.seq, round(base, 6) AS baseline, round(value - base, 6) AS deviation FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.seq = n.seq""")
 def personal_baseline(spark, d):
-    out = mn.personal_baseline(_numbered(spark, d), ["user_id"], "value")
-    return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation", digits=8)
+    # sevenths have no finite decimal form, so no rounding tie can occur
+    readings = _numbered(spark, d).withColumn("value", F.col("value") / 7)
+    out = mn.personal_baseline(readings, ["user_id"], "value")
+    return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation")
 
 
 def _roll(n: int) -> str:

@@ -327,15 +327,11 @@ def treatment_audit(spark, d):
 
 # ---- features and scaler ---------------------------------------------------------------------
 
-_EMAS = [c for c in fx.FEATURES if c.startswith("ema_")]
-_PLAIN = [c for c in fx.FEATURES if not c.startswith("ema_")]
-
-
 @query("features", FEATURED + f"""
-SELECT stay_id, subject_id, tick, {_round_list(_PLAIN)}, {_round_list(_EMAS, 4)} FROM features""")
+SELECT stay_id, subject_id, tick, {_round_list(fx.FEATURES)} FROM features""")
 def features_query(spark, d):
     frame = feat.feature_frame(feat.add_features(timeline(spark, d, treated=True, stored=True)))
-    return r6(r6(frame, *_PLAIN), *_EMAS, digits=4)
+    return r6(frame, *fx.FEATURES)
 
 
 _CHANGES = [*(f"delta_{c}" for c in fx.DELTA_CHANNELS), *(f"roll_std_{c}" for c in fx.VOLATILITY_CHANNELS)]
