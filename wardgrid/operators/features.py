@@ -12,7 +12,7 @@ from wardgrid.functions import fixed_values as fx
 from wardgrid.functions.clinical import shock_index
 from wardgrid.operators.slices import halo_chunks
 from wardgrid.operators.timeline import (
-    EMA_LOOK_BACK, SO_FAR, TICKS, Timeline, over_ticks, with_carry,
+    EMA_LOOK_BACK, SO_FAR, TICKS, Timeline, over_ticks,
 )
 
 
@@ -34,17 +34,71 @@ def add_volatility(t: Timeline, channels: Sequence[str] = tuple(fx.VOLATILITY_CH
         f"coalesce(stddev_samp({c}) OVER ({frame}), 0D) AS roll_std_{c}" for c in channels]))
 
 
+def _ema_parts(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
+    """Per channel and tick, counted from the start of the chunk's segment: the previous observed tick `_t`,
+    the first observation `_f`, the newest observed tick `_l`, the decay factor `_a` of the old mean
+    at this tick and its running product `_p`.
+
+    An observation x after a gap of g ticks turns the mean m into (d m + alpha x) / (d + alpha)
+    with d = (1 - alpha)^g, so the old mean keeps the share a = d / (d + alpha).
+    """
+    so_far = over_ticks().rowsBetween(Window.unboundedPreceding, 0)
+    kept = t.df.columns
+    df = t.df.selectExpr("*", *[
+        f"CASE WHEN tick >= {_segment_start('chunk', t)} THEN {c} END AS _x_{c}" for c in channels])
+    df = df.selectExpr(
+        "*",
+        *[f"last(CASE WHEN _x_{c} IS NOT NULL THEN tick END, true) OVER "
+          f"({TICKS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _t_{c}" for c in channels],
+        *[f"first(CASE WHEN _x_{c} IS NOT NULL THEN struct(tick, _x_{c} AS x) END, true) OVER ({SO_FAR}) AS _f_{c}"
+          for c in channels])
+    df = df.selectExpr("*", *[
+        f"CASE WHEN _x_{c} IS NOT NULL THEN {_share(f'tick - _t_{c}', t, alpha)} END AS _d_{c}" for c in channels])
+    df = df.selectExpr(
+        *kept, *[f"_f_{c}" for c in channels], *[f"_x_{c}" for c in channels],
+        *[f"CASE WHEN _x_{c} IS NOT NULL THEN tick ELSE _t_{c} END AS _l_{c}" for c in channels],
+        *[f"coalesce(_d_{c}, 1D) AS _a_{c}" for c in channels],
+        *[f"CASE WHEN _d_{c} IS NULL THEN _x_{c} ELSE (1D - _d_{c}) * _x_{c} END AS _b_{c}" for c in channels])
+    return t.with_df(df.withColumns({f"_p_{c}": F.product(f"_a_{c}").over(so_far) for c in channels}))
+
+
+def _segment_start(chunk: str, t: Timeline) -> str:
+    """SQL for the first tick at which a chunk knows every carried-forward value.
+
+    The halo before it only feeds the carry-forward.
+    """
+    exact = EMA_LOOK_BACK + t.spec.history - 1
+    return f"({chunk} * {t.spec.length * t.spec.step} - {exact * t.spec.step})"
+
+
+def _share(gap_seconds: str, t: Timeline, alpha: float) -> str:
+    """SQL for d / (d + alpha), d = (1 - alpha)^gap; NULL without an earlier observation."""
+    d = f"pow({1.0 - alpha}D, ({gap_seconds}) / {t.spec.step})"
+    return f"({d} / ({d} + {alpha}D))"
+
+
 def _ema_in_chunk(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
+    """Exponential mean that starts at the chunk's first observation, with its parts."""
     ticks = t.spec.length + t.spec.before + t.spec.after
+    parts = _ema_parts(t, channels, alpha)
     if ticks * log10(1.0 - alpha) > -290.0:
-        return _ema_running(t, channels, alpha)
-    return _ema_fold(t, channels, alpha)
+        return _ema_running(parts, channels)
+    return _ema_fold(parts, channels, alpha)
+
+
+def _ema_running(t: Timeline, channels: Sequence[str]) -> Timeline:
+    """The recurrence m = a m + b solved as P * sum(b / P): constant work per tick."""
+    return t.with_df(t.df.selectExpr("*", *[
+        f"_p_{c} * sum(_b_{c} / _p_{c}) OVER ({SO_FAR}) AS ema_{c}" for c in channels]))
 
 
 def _ema_fold(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
-    """For chunks so long that the running product would underflow: fold the last ticks instead."""
+    """For chunks so long that the running product would underflow: fold the last ticks instead.
+
+    At an observation anything older than the folded ticks has faded to nothing; between
+    observations the mean stands still.
+    """
     recent = over_ticks().rowsBetween(-(EMA_LOOK_BACK - 1), 0)
-    so_far = over_ticks().rowsBetween(Window.unboundedPreceding, 0)
     start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("long").alias("t"))
 
     def step(state: Column, row: Column) -> Column:
@@ -53,47 +107,54 @@ def _ema_fold(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
         return F.struct(mean.alias("m"), row["tick"].alias("t"))
 
     df = t.df.withColumns({
-        f"_r_{c}": F.collect_list(F.when(F.col(c).isNotNull(), F.struct("tick", F.col(c).alias("x"))))
+        f"_r_{c}": F.collect_list(F.when(F.col(f"_x_{c}").isNotNull(), F.struct("tick", F.col(f"_x_{c}").alias("x"))))
         .over(recent) for c in channels})
-    df = df.withColumns({f"_m_{c}": F.aggregate(f"_r_{c}", start, step)["m"] for c in channels})
     df = df.withColumns({
-        f"ema_{c}": F.last(f"_m_{c}", ignorenulls=True).over(so_far) for c in channels})
-    return t.with_df(df.drop(*[f"_{k}_{c}" for k in "rm" for c in channels]))
+        f"_m_{c}": F.when(F.col(f"_x_{c}").isNotNull(), F.aggregate(f"_r_{c}", start, step)["m"]) for c in channels})
+    kept = t.df.columns
+    return t.with_df(df.selectExpr("*", *[
+        f"last(_m_{c}, true) OVER ({SO_FAR}) AS ema_{c}" for c in channels]).select(
+        *kept, *[f"ema_{c}" for c in channels]))
 
 
-def _ema_running(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
-    """Exponential mean as a running product and a running sum (constant work per tick).
+def _ema_before_chunks(t: Timeline, channels: Sequence[str], alpha: float) -> DataFrame:
+    """Mean `_m0` and newest observed tick `_t0` before a chunk's segment, per (stay, chunk).
 
-    An observation x after a gap of g ticks turns the mean m into (d m + alpha x) / (d + alpha)
-    with d = (1 - alpha)^g: a linear recurrence m = a m + b, whose solution is P * sum(b / P)
-    with P the running product of a.
+    The segments of a stay follow each other without overlap. A segment
+    turns the mean m before it into A m + B; the few segments of a stay are chained in order. Every
+    segment with an observation fades the old mean by at least 1 - alpha, so the newest
+    EMA_LOOK_BACK of them decide.
     """
-    w = over_ticks()
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    kept = t.df.columns
-    df = t.df.selectExpr("*", *[
-        f"last(CASE WHEN {c} IS NOT NULL THEN tick END, true) OVER "
-        f"({TICKS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _t_{c}" for c in channels])
-    df = df.selectExpr("*", *[
-        f"pow({1.0 - alpha}D, (tick - _t_{c}) / {t.spec.step}) AS _d_{c}" for c in channels])
-    df = df.selectExpr(
-        "*",
-        *[f"CASE WHEN {c} IS NOT NULL AND _d_{c} IS NOT NULL THEN _d_{c} / (_d_{c} + {alpha}D) "
-          f"ELSE 1D END AS _a_{c}" for c in channels],
-        *[f"CASE WHEN _d_{c} IS NULL THEN {c} ELSE {alpha}D * {c} / (_d_{c} + {alpha}D) END AS _b_{c}"
-          for c in channels])
-    df = df.withColumns({f"_p_{c}": F.product(f"_a_{c}").over(so_far) for c in channels})
-    return t.with_df(df.selectExpr(*kept, *[
-        f"_p_{c} * sum(_b_{c} / _p_{c}) OVER ({SO_FAR}) AS ema_{c}" for c in channels]))
+    span = t.spec.length * t.spec.step
+    several = t.df.where(F.floor(F.col("first_tick") / span) < F.floor(F.col("last_tick") / span))
+    inside = F.expr(f"tick < {_segment_start('(chunk + 1)', t)}")
+    names = [f"{k}_{c}" for k in ("ema", "_p", "_f", "_l") for c in channels]
+    ends = _ema_in_chunk(t.with_df(several), channels, alpha).df.where(inside).groupBy("stay_id", "chunk").agg(
+        F.max_by(F.struct(*names), "tick").alias("e")).select("stay_id", "chunk", "e.*")
+    earlier = "PARTITION BY stay_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    ends = ends.selectExpr("*", *[f"last(_l_{c}, true) OVER ({earlier}) AS _t0_{c}" for c in channels])
+    ends = ends.selectExpr("*", *[
+        f"_p_{c} * coalesce({_share(f'_f_{c}.tick - _t0_{c}', t, alpha)}, 0D) AS _w_{c}" for c in channels])
+    ends = ends.selectExpr("stay_id", "chunk", *[f"_t0_{c}" for c in channels], *[
+        f"collect_list(CASE WHEN _f_{c} IS NOT NULL THEN struct(_w_{c} AS a, ema_{c} - _w_{c} * _f_{c}.x AS b) END) "
+        f"OVER ({earlier}) AS _s_{c}" for c in channels])
+    return ends.selectExpr("stay_id", "chunk", *[f"_t0_{c}" for c in channels], *[
+        f"CASE WHEN size(_s_{c}) > 0 THEN aggregate(slice(_s_{c}, greatest(size(_s_{c}) - {EMA_LOOK_BACK - 1}, 1), "
+        f"{EMA_LOOK_BACK}), 0D, (m, s) -> s.a * m + s.b) END AS _m0_{c}" for c in channels])
 
 
 def add_ema(t: Timeline, channels: Sequence[str] = tuple(fx.DELTA_CHANNELS), span: int = 4) -> Timeline:
     """Causal exponential mean, alpha = 2 / (span + 1); gaps fade the old mean, never reset it.
 
-    A chunk whose halo holds no observation takes the mean reached before the halo.
+    Exact for any chunk length: each chunk continues from the mean reached before it.
     """
     alpha = 2.0 / (span + 1.0)
-    return with_carry(t, [f"ema_{c}" for c in channels], lambda x: _ema_in_chunk(x, channels, alpha))
+    carried = _ema_before_chunks(t, channels, alpha)
+    df = _ema_in_chunk(t, channels, alpha).df.join(carried, ["stay_id", "chunk"], "left")
+    return t.with_df(df.selectExpr(*t.df.columns, *[
+        f"CASE WHEN _m0_{c} IS NULL THEN ema_{c} WHEN _f_{c} IS NULL THEN _m0_{c} "
+        f"ELSE ema_{c} + _p_{c} * {_share(f'_f_{c}.tick - _t0_{c}', t, alpha)} * (_m0_{c} - _f_{c}.x) END AS ema_{c}"
+        for c in channels]))
 
 
 def add_features(t: Timeline) -> Timeline:

@@ -28,6 +28,9 @@ def build_session(app: str = "wardgrid", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only for local runs that set none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="wardgrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="wardgrid-")
+    return _LOCAL_DIRS[app]
 
 
 def store_bucketed(df: DataFrame, keys: list[str], sort: list[str]) -> DataFrame:
