@@ -179,3 +179,43 @@ def test_persistent_hypoxia_is_deterioration(spark):
     got = {(r.tick - r.first_tick) // 900: r for r in t.df.where(F.col("core") & tg.is_window(t)).collect()}
     assert got[23].abnormal_steps == 2 and got[23].deterioration == 1.0 and got[23].risk_tier == 2
     assert got[25].abnormal_steps == 4 and got[23].valid_points == 4
+
+
+def test_orders_reach_every_stay_they_touch(spark):
+    """Subject-level orders and labs against several stays, long orders crossing weeks."""
+    spec = GridSpec(step_minutes=60)
+    rnd = random.Random(2)
+    spans = [(k, 7, T0 + timedelta(days=9 * k), T0 + timedelta(days=9 * k + 8)) for k in range(1, 6)]
+    orders = []
+    for i in range(80):
+        s = T0 + timedelta(hours=rnd.uniform(0, 1400))
+        orders.append((i, 7, "Furosemide", s, s + timedelta(hours=rnd.choice([0.1, 30, 500]))))
+    stays = stays_of(spark, spans)
+    bounds = stay_bounds(stays, spec)
+    ordered = tx.classify(spark.createDataFrame(
+        orders, "event_id long, subject_id long, drug_name string, starttime timestamp, stoptime timestamp"), "drug_name")
+    none = tx.classify(spark.createDataFrame(
+        [], "event_id long, stay_id long, subject_id long, drug_name string, starttime timestamp, endtime timestamp"), "drug_name")
+    edges = tx.interval_edges(tx.stay_intervals(none, ordered, bounds), bounds, spec)
+    labs = [(0, 7, 50813, T0 + timedelta(hours=rnd.uniform(0, 1400)), 1.0) for _ in range(200)]
+    empty = spark.createDataFrame([], OBS)
+    t = tx.add_flags(chunked_timeline(stays, empty, spark.createDataFrame(labs, OBS), spec, [edges],
+                                      [f"_edge_{c}" for c in fx.TREATMENTS]))
+    got = t.rows("stay_id", "tick", "tx_diuretic", "mask_lactate").toPandas()
+    hours = {at.replace(minute=0, second=0, microsecond=0) for _, _, _, at, _ in labs}
+    assert len(got) == sum(8 * 24 + 1 for _ in spans)
+    for row in got.itertuples():
+        at = datetime(1970, 1, 1) + timedelta(seconds=row.tick)
+        assert row.tx_diuretic == float(any(s <= at <= e for _, _, _, s, e in orders))
+        assert row.mask_lactate == float(at in hours)
+    found = tx.episodes(none, ordered, stays)
+    want = sum(1 for _, _, _, s, _ in orders for _, _, a, b in spans if a <= s <= b)
+    assert found.count() == want
+
+
+def test_short_stays_give_no_windows(spark):
+    from wardgrid.operators.windows import long_enough
+    stays = stays_of(spark, [(1, 7, T0, T0 + timedelta(hours=6, minutes=30)), (2, 7, T0, T0 + timedelta(hours=6, minutes=45))])
+    empty = spark.createDataFrame([], OBS)
+    t = long_enough(chunked_timeline(stays, empty, empty, GridSpec()))
+    assert [r.stay_id for r in t.rows().select("stay_id").distinct().collect()] == [2]

@@ -22,6 +22,7 @@ from wardgrid.operators.slices import halo_chunks
 from wardgrid.session import store_bucketed
 
 EMA_LOOK_BACK = 72
+WEEK = 7 * 86400
 
 
 @dataclass(frozen=True)
@@ -154,11 +155,24 @@ def tick_means(named: DataFrame, key: str, channels: Sequence[str], spec: GridSp
         F.expr(f"avg(CASE WHEN channel = '{c}' THEN valuenum END) AS {c}") for c in channels])
 
 
+def week_of(second: Column) -> Column:
+    return F.floor(second / F.lit(WEEK)).cast("long")
+
+
+def by_week(bounds: DataFrame, first: str = "first_tick", last: str = "last_tick") -> DataFrame:
+    """A row per week a stay touches, so that subject-level rows meet only the stays near their time.
+
+    Without it every row of a subject would be compared with every stay of that subject.
+    """
+    return bounds.withColumn("_week", F.explode(F.sequence(week_of(F.col(first)), week_of(F.col(last)))))
+
+
 def labs_per_stay(lab_means: DataFrame, bounds: DataFrame) -> DataFrame:
     """Labs belong to a subject: give them to every stay of the subject whose grid holds the tick."""
     inside = F.col("tick").between(F.col("first_tick"), F.col("last_tick"))
-    joined = lab_means.join(bounds, "subject_id").where(inside)
-    return joined.drop("subject_id", "first_tick", "last_tick")
+    weekly = lab_means.withColumn("_week", week_of(F.col("tick")))
+    joined = weekly.join(by_week(bounds), ["subject_id", "_week"]).where(inside)
+    return joined.drop("subject_id", "first_tick", "last_tick", "_week")
 
 
 def stack(grid: DataFrame, parts: Sequence[DataFrame], spec: GridSpec,

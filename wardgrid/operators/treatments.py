@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardgrid.functions import fixed_values as fx
 from wardgrid.functions.rules import keyword_class
 from wardgrid.operators.timeline import (
-    SO_FAR, GridSpec, Timeline, floor_to, over_ticks, stay_bounds,
+    SO_FAR, GridSpec, Timeline, by_week, floor_to, over_ticks, stay_bounds, week_of,
 )
 
 
@@ -34,11 +34,13 @@ def stay_intervals(infusions: DataFrame, orders: DataFrame, bounds: DataFrame) -
     known = F.col("treatment").isNotNull() & F.col("starttime").isNotNull() & F.col("endtime").isNotNull()
     cols = ["treatment", "starttime", "endtime"]
     by_stay = infusions.where(known).select("stay_id", *cols)
-    by_subject = (
-        close_orders(orders).where(known).select("subject_id", *cols)
-        .join(bounds.select("subject_id", "stay_id"), "subject_id").select("stay_id", *cols)
-    )
-    return by_stay.unionByName(by_subject)
+    closed = close_orders(orders).where(known & (F.col("endtime") >= F.col("starttime")))
+    start, end = week_of(F.unix_seconds("starttime")), week_of(F.unix_seconds("endtime"))
+    weekly = closed.select("subject_id", *cols, start.alias("_from"), F.explode(F.sequence(start, end)).alias("_week"))
+    stays = by_week(bounds).withColumn("_opens", week_of(F.col("first_tick")))
+    # a pair that shares several weeks is kept in the first one only
+    met = weekly.join(stays, ["subject_id", "_week"]).where(F.col("_week") == F.greatest("_from", "_opens"))
+    return by_stay.unionByName(met.select("stay_id", *cols))
 
 
 def interval_edges(intervals: DataFrame, bounds: DataFrame, spec: GridSpec,
@@ -99,8 +101,10 @@ def episodes(infusions: DataFrame, orders: DataFrame, stays: DataFrame,
         infusions.where(started).drop("subject_id").join(stay, "stay_id")
         .withColumns({"source": F.lit("icu_inputevents"), "load_rank": F.lit(0)}).select(*cols)
     )
+    weeks = by_week(stay.withColumns({"_in": F.unix_seconds("intime"), "_out": F.unix_seconds("outtime")}), "_in", "_out")
     ordered = (
-        orders.where(started).join(stay, "subject_id")
+        orders.where(started).withColumn("_week", week_of(F.unix_seconds("starttime")))
+        .join(weeks, ["subject_id", "_week"])
         .where(F.col("starttime").between(F.col("intime"), F.col("outtime")))
         .withColumns({"source": F.lit("hosp_prescriptions"), "load_rank": F.lit(1)}).select(*cols)
     )

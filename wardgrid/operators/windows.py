@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardgrid.functions import fixed_values as fx
 from wardgrid.operators.scaling import Scaler
 from wardgrid.operators.slices import halo_chunks
-from wardgrid.operators.targets import is_window
+from wardgrid.operators.targets import is_window, tick_count
 from wardgrid.operators.timeline import TICKS, Timeline, tick_time
 
 TARGETS = ["deterioration", "deterioration_mask", "risk_tier", "abnormal_steps", "valid_points",
@@ -30,6 +30,11 @@ def with_history(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.
     return t.with_df(scaled.selectExpr("*", f"collect_list(_row) OVER ({frame}) AS X").drop("_row"))
 
 
+def long_enough(t: Timeline) -> Timeline:
+    """Only stays that can hold a window: at least history + horizon ticks."""
+    return t.with_df(t.df.where(tick_count(t) >= t.spec.history + t.spec.horizon))
+
+
 def window_rows(t: Timeline, splits: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """One row per window with its split; stays of unassigned subjects drop out.
 

@@ -481,7 +481,8 @@ def window_dataset(spark, d):
 
 def build_windows(spark: SparkSession, d: str) -> DataFrame:
     """The full window dataset: features, train-only scaler, history matrix, targets, split."""
-    t = tg.add_targets(feat.add_features(timeline(spark, d, treated=True, stored=True))).stored()
+    t = win.long_enough(timeline(spark, d, treated=True, stored=True))
+    t = tg.add_targets(feat.add_features(t)).stored()
     parts = splits(spark, d)
     train = feat.feature_frame(t).join(parts.where("split = 'train'"), "subject_id", "left_semi")
     scaler = Scaler.fit(train)
