@@ -22,8 +22,11 @@ def clip_channels(df: DataFrame) -> DataFrame:
 
 def scaler_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """channel, mean, std, median: std of at most 1e-6 counts as 1, an empty channel is (0, 1, 0)."""
-    tall = unpivot_numbers(clip_channels(train), [], columns, "channel", "x")
-    moments = tall.groupBy("channel").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    clipped = clip_channels(train).selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in columns])
+    # moments need no tall copy of the data: one wide aggregate, turned into rows afterwards
+    cells = ", ".join(f"struct('{c}' AS channel, avg({c}) AS mean, stddev_samp({c}) AS std)" for c in columns)
+    moments = clipped.agg(F.expr(f"array({cells})").alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    tall = unpivot_numbers(clipped, [], columns, "channel", "x")
     medians = exact_quantiles(tall, ["channel"], "x", {"median": 0.5})
     joined = moments.join(medians, "channel", "left")
     std = F.when(F.col("std") > 1e-6, F.col("std")).otherwise(1.0)
