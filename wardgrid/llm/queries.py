@@ -9,9 +9,14 @@ from wardgrid.llm.common import table
 from wardgrid.llm.decontaminate import contamination
 from wardgrid.llm.fingerprint import edited_fingerprints
 from wardgrid.llm.mixing import mix
+from wardgrid.llm.neardup import link_components
 from wardgrid.llm.pii import pseudonymise
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"), words=4)
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_slot", "mix_position")
 
@@ -34,9 +39,25 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_pfair_mix, op4_contamination, op6_fingerprints, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op3_pfair_mix, op4_contamination, op6_fingerprints, op9_pseudonyms, op10_perspectives)}
 
 ORACLES = {
+    "op1_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+                   i -> array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        i AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (
+            SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept
+        FROM d JOIN r ON r.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2""",
     "op4_contamination": """
         WITH w AS (
             SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), x -> x <> '') AS w
