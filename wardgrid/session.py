@@ -44,13 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def store_bucketed(df: DataFrame, keys: list[str], sort: list[str]) -> DataFrame:
+def store_bucketed(df: DataFrame, keys: list[str], sort: list[str], buckets: int | None = None) -> DataFrame:
     """Write `df` once as a table in the shared folder, bucketed so that readers need no shuffle.
 
-    One task writes one bucket; later jobs read only the columns they use and survive executor loss.
+    One task writes one bucket; later jobs read only the columns they use and survive executor loss. Without `buckets`
+    there are as many as shuffle partitions.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"wardgrid_{uuid.uuid4().hex}"
     (
         df.repartition(buckets, *keys).write.format("parquet")
