@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardgrid.session import store
+
 #: A side is broadcast only if it was counted and holds at most so many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -40,3 +42,25 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Most bins of an id range; their table of a few dozen bytes a row is broadcast.
+MOST_BINS = 200_000
+
+
+def in_blocks(df: DataFrame, size: Column, each: int) -> tuple[DataFrame, int]:
+    """`df` with `block`, and the number of blocks: ranges of doc_id in ascending order with about `each` of `size` in sum.
+
+    Ids are counted in MOST_BINS bins of equal width at most, and whole bins are joined to blocks; only the table of
+    bins is broadcast.
+    """
+    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    if not n:
+        return df.withColumn("block", F.lit(0).cast("long")), 1
+    width = max(1, -(-(high - low + 1) // MOST_BINS))
+    at = F.expr(f"(doc_id - {low}L) div {width}L")
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = store(df.groupBy(at.alias("bin")).agg(F.sum(size).alias("size"))
+                 .select("bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / each).cast("long").alias("block")))
+    blocks = bins.agg(F.max("block")).first()[0] + 1
+    return df.withColumn("bin", at).join(F.broadcast(bins), "bin").drop("bin"), blocks

@@ -11,6 +11,7 @@ from wardgrid.llm.fingerprint import edited_fingerprints
 from wardgrid.llm.mixing import mix
 from wardgrid.llm.neardup import link_components
 from wardgrid.llm.pii import pseudonymise
+from wardgrid.llm.repeats import without_repeats
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_pfair_mix, op4_contamination, op6_fingerprints, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op3_pfair_mix, op4_contamination, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
@@ -75,6 +80,27 @@ ORACLES = {
         SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
         FROM ds JOIN bs USING (g) JOIN n USING (item_id)
         GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80""",
+    "op8_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
+        s AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM p),
+        f AS (SELECT s, min(doc_id) AS low FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+        r AS (SELECT doc_id, p FROM s JOIN f USING (s) WHERE doc_id > low),
+        o AS (
+            SELECT doc_id, p, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e
+            FROM r),
+        g AS (SELECT doc_id, p, sum(CASE WHEN e IS NULL OR p > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM o),
+        x AS (SELECT doc_id, g, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY 1, 2),
+        k AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list({'a': a, 'b': b} ORDER BY a) AS l FROM x GROUP BY 1),
+        j AS (
+            SELECT d.doc_id, d.h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+                   list_concat([0], list_transform(coalesce(l, []), q -> q.b)) AS a,
+                   list_concat(list_transform(coalesce(l, []), q -> q.a), [length(d.h) // 2]) AS b
+            FROM d LEFT JOIN k USING (doc_id))
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), i -> substr(h, 2 * a[i] + 1, 2 * (b[i] - a[i]))), ''))) AS kept_sha256
+        FROM j""",
     "op10_perspectives": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS content
