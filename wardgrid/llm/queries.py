@@ -8,6 +8,7 @@ from wardgrid.llm.chat import rotate
 from wardgrid.llm.common import table
 from wardgrid.llm.decontaminate import contamination
 from wardgrid.llm.fingerprint import edited_fingerprints
+from wardgrid.llm.language import identify
 from wardgrid.llm.mixing import mix
 from wardgrid.llm.neardup import link_components
 from wardgrid.llm.pii import pseudonymise
@@ -18,6 +19,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"), words=4)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_slot", "mix_position")
 
@@ -44,7 +49,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_pfair_mix, op4_contamination, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
@@ -53,7 +58,7 @@ ORACLES = {
                    '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
         g AS (
             SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
-                   i -> array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0),
+                   lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
         i AS (
             SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
@@ -65,17 +70,17 @@ ORACLES = {
         FROM d JOIN r ON r.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2""",
     "op4_contamination": """
         WITH w AS (
-            SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), x -> x <> '') AS w
+            SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w
             FROM documents WHERE doc_id IS NOT NULL),
         iw AS (
-            SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), x -> x <> '') AS w
+            SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w
             FROM benchmark WHERE item_id IS NOT NULL),
         ds AS (
             SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-                   i -> array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+                   lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
         bs AS (
             SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-                   i -> array_to_string(w[i:i + 4], ' '))) AS g FROM iw WHERE len(w) > 0),
+                   lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM iw WHERE len(w) > 0),
         n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
         SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
         FROM ds JOIN bs USING (g) JOIN n USING (item_id)
@@ -95,11 +100,11 @@ ORACLES = {
             SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list({'a': a, 'b': b} ORDER BY a) AS l FROM x GROUP BY 1),
         j AS (
             SELECT d.doc_id, d.h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
-                   list_concat([0], list_transform(coalesce(l, []), q -> q.b)) AS a,
-                   list_concat(list_transform(coalesce(l, []), q -> q.a), [length(d.h) // 2]) AS b
+                   list_concat([0], list_transform(coalesce(l, []), lambda q: q.b)) AS a,
+                   list_concat(list_transform(coalesce(l, []), lambda q: q.a), [length(d.h) // 2]) AS b
             FROM d LEFT JOIN k USING (doc_id))
         SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
-               sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), i -> substr(h, 2 * a[i] + 1, 2 * (b[i] - a[i]))), ''))) AS kept_sha256
+               sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda i: substr(h, 2 * a[i] + 1, 2 * (b[i] - a[i]))), ''))) AS kept_sha256
         FROM j""",
     "op10_perspectives": """
         WITH c AS (
