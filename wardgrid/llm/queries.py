@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardgrid.llm.chat import rotate
 from wardgrid.llm.common import table
 from wardgrid.llm.decontaminate import contamination
+from wardgrid.llm.extract import extract
 from wardgrid.llm.fingerprint import edited_fingerprints
 from wardgrid.llm.language import identify
 from wardgrid.llm.mixing import mix
@@ -32,6 +33,10 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op5_main_text, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
