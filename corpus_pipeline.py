@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from wardgrid.llm.common import table
 from wardgrid.llm.decontaminate import decontaminate
 from wardgrid.llm.mixing import mix
+from wardgrid.llm.neardup import deduplicate
 from wardgrid.llm.pii import pseudonymise
+from wardgrid.llm.quality import good
 from wardgrid.session import shared_dir
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier keeps."""
+    return good(docs, table(spark, sf_dir, "labels"))
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by shingles of five words."""
+    return deduplicate(docs)
+
+
 def no_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -28,7 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("benchmark decontamination", no_contamination), ("personal data", no_personal_data), ("source mixing", mixed)]
+STAGES = [("quality classifier", good_quality), ("near-duplicates", no_near_duplicates),
+          ("benchmark decontamination", no_contamination), ("personal data", no_personal_data), ("source mixing", mixed)]
 
 #: A trained classifier decides which rows stay, which SQL cannot express.
 ORACLE_SQL = None

@@ -13,6 +13,7 @@ from wardgrid.llm.language import identify
 from wardgrid.llm.mixing import mix
 from wardgrid.llm.neardup import link_components
 from wardgrid.llm.pii import pseudonymise
+from wardgrid.llm.quality import classify
 from wardgrid.llm.repeats import without_repeats
 
 
@@ -41,6 +42,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "p_content", "p_metadata", "quality_score", "keep")
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op5_main_text, op6_fingerprints, op8_repeats, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op5_main_text, op6_fingerprints, op7_quality, op8_repeats, op9_pseudonyms, op10_perspectives)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
