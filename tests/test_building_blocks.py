@@ -131,18 +131,35 @@ def test_weights(spark):
     assert me.positive_weights(labels.where("c = 9"), ["a"]).first().weight == 1.0
 
 
+@pytest.mark.parametrize("missing", [0.0, 0.3])
 @pytest.mark.parametrize("n", [30, 48, 3000])
-def test_personal_baseline(spark, n):
+def test_personal_baseline(spark, monkeypatch, n, missing):
+    monkeypatch.setattr(mn, "COUNT_ROWS", 500)
     rng = np.random.default_rng(n)
     x = rng.normal(80, 10, n)
-    df = spark.createDataFrame(pd.DataFrame({"k": 1, "seq": np.arange(1, n + 1), "v": x}))
-    got = mn.personal_baseline(df, ["k"], "v").orderBy("seq").toPandas().baseline.to_numpy(float)
-    want = np.full(n, np.nan)
-    if n >= 48:
-        want[47] = x[:48].mean()
-        for i in range(48, n):
-            want[i] = 0.05 * x[i] + 0.95 * want[i - 1]
-    np.testing.assert_allclose(got, want, atol=1e-9)
+    x[rng.random(n) < missing] = np.nan
+    if missing:
+        x[60:120] = np.nan
+    rows = [(1, i + 1, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, seq long, v double")
+    got = mn.personal_baseline(df, ["k"], "v").orderBy("seq").toPandas()
+    want, seen = np.full(n, np.nan), []
+    for i, v in enumerate(x):
+        if not np.isnan(v):
+            seen.append(v)
+            base = np.mean(seen) if len(seen) == 48 else 0.05 * v + 0.95 * base if len(seen) > 48 else np.nan
+        want[i] = base if len(seen) >= 48 else np.nan
+    np.testing.assert_allclose(got.baseline.to_numpy(float), want, atol=1e-9)
+    np.testing.assert_allclose(got.deviation.to_numpy(float), x - want, atol=1e-9)
+
+
+def test_repeats_in_one_crowded_second(spark):
+    """One second holds all alerts; cut into many parts, the result is the same as of a plain lag."""
+    rows = [(i, int(p)) for i, p in enumerate(np.random.default_rng(3).integers(0, 2, 2000))]
+    log = spark.createDataFrame([(i, p, T0) for i, p in rows], "id long, patient_id long, ts timestamp")
+    want = [i for i, p in rows if i == 0 or rows[i - 1][1] != p]
+    for most in (50, 100_000):
+        assert [r.id for r in mn.suppress_repeats(log, ["id"], max_rows=most).orderBy("id").collect()] == want
 
 
 def test_repeated_alerts_and_lead_time(spark):

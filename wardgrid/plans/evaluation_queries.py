@@ -241,6 +241,17 @@ def personal_baseline(spark, d):
     return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation")
 
 
+@query("personal_baseline_gaps", """WITH RECURSIVE r AS (SELECT event_id, user_id, CASE WHEN event_id % 4 <> 0 AND event_id % 700 > 90 THEN value / 7 END AS value, ts FROM events),
+n AS (SELECT event_id, user_id, value, row_number() OVER w AS seq, count(value) OVER w AS k FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b(user_id, k, base) AS (SELECT user_id, 48, avg(value) FROM n WHERE k <= 48 GROUP BY user_id HAVING count(value) = 48
+ UNION ALL SELECT n.user_id, n.k, 0.05e0 * n.value + 0.95e0 * b.base FROM b JOIN n ON n.user_id = b.user_id AND n.k = b.k + 1 AND n.value IS NOT NULL)
+SELECT n.event_id, n.seq, round(base, 6) AS baseline, round(value - base, 6) AS deviation FROM n LEFT JOIN b ON b.user_id = n.user_id AND b.k = n.k""")
+def personal_baseline_gaps(spark, d):
+    present = F.when((F.col("event_id") % 4 != 0) & (F.col("event_id") % 700 > 90), F.col("value") / 7)
+    out = mn.personal_baseline(_numbered(spark, d).withColumn("value", present), ["user_id"], "value")
+    return r6(out.select("event_id", "seq", "baseline", "deviation"), "baseline", "deviation")
+
+
 def _roll(n: int) -> str:
     w = f"OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return (f"round(avg(value) {w}, 6) AS mean_{n}, round(stddev_samp(value) {w}, 6) AS std_{n}, "

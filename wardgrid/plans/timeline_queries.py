@@ -413,10 +413,10 @@ def split_verification(spark, d):
 
 
 @query("subject_sets", f"WITH {_LEAKY}" + """
-SELECT subject_id FROM labelled WHERE split = 'train' INTERSECT SELECT subject_id FROM labelled WHERE split = 'test'""")
+SELECT subject_id FROM labelled WHERE split = 'train' INTERSECT SELECT subject_id FROM labelled WHERE split = 'validate'""")
 def subject_sets(spark, d):
     rows = _leaky(spark, d)
-    return sp.shared_subjects(rows.where("split = 'train'"), rows.where("split = 'test'"))
+    return sp.shared_subjects(rows.where("split = 'train'"), rows.where("split = 'validate'"))
 
 
 # ---- targets and windows ---------------------------------------------------------------------
