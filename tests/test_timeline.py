@@ -99,17 +99,18 @@ def test_features_match_pandas_for_any_chunk_length(spark, chunk, gap):
         np.testing.assert_allclose(mine.ffill_spo2.to_numpy(float), want.raw_spo2.ffill().to_numpy(float))
 
 
-def test_fold_and_running_product_agree(spark):
-    spec = GridSpec()
-    rows = make_readings(100, 5, 30)
-    stays = stays_of(spark, [(1, 7, T0, T0 + timedelta(hours=100))])
+@pytest.mark.parametrize("chunk,span,digits", [(8192, 19, 250.0), (8192, 19, 4.0), (192, 4, 9.0), (192, 19, 250.0)])
+def test_exponential_mean_for_any_alpha_and_block(spark, monkeypatch, chunk, span, digits):
+    monkeypatch.setattr(feat, "PRODUCT_DIGITS", digits)
+    spec = GridSpec(chunk_ticks=chunk)
+    end = T0 + timedelta(hours=100)
+    stays = stays_of(spark, [(1, 7, T0, end)])
+    rows = [(1, 7, 220045, T0 + timedelta(minutes=15 * i), 0.0 if i < 190 else 100.0) for i in range(400) if i % 7 != 3 and not 210 < i < 260]
     obs = spark.createDataFrame(rows, OBS)
-    t = chunked_timeline(stays, obs, obs.limit(0), spec)
-    t = feat._ema_parts(t, ["heart_rate"], 0.4)
-    a = feat._ema_running(t, ["heart_rate"]).rows("tick", F.col("ema_heart_rate").alias("a"))
-    b = feat._ema_fold(t, ["heart_rate"], 0.4).rows("tick", F.col("ema_heart_rate").alias("b"))
-    off = a.join(b, "tick").where("NOT (a IS NULL AND b IS NULL) AND (abs(a - b) > 1e-9 OR (a IS NULL) <> (b IS NULL))")
-    assert off.count() == 0
+    t = feat.add_ema(chunked_timeline(stays, obs, obs.limit(0), spec), ["heart_rate"], span=span)
+    got = t.rows("tick", "heart_rate", "ema_heart_rate").orderBy("tick").toPandas()
+    want = got.heart_rate.ewm(span=span, adjust=False).mean()
+    np.testing.assert_allclose(got.ema_heart_rate.to_numpy(float), want.to_numpy(float), atol=1e-8)
 
 
 @pytest.mark.parametrize("chunk", [192, 1024])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import log10
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
@@ -15,6 +15,9 @@ from wardgrid.operators.timeline import (
     EMA_LOOK_BACK, SO_FAR, TICKS, Timeline, over_ticks,
 )
 
+#: Digits that a running product may lose before a new block starts; doubles hold 300.
+PRODUCT_DIGITS = 250.0
+
 
 def add_shock_index(t: Timeline) -> Timeline:
     return t.with_df(t.df.withColumn("shock_index", shock_index(F.col("heart_rate"), F.col("sbp"))))
@@ -78,52 +81,36 @@ def _share(gap_seconds: str, t: Timeline, alpha: float) -> str:
 
 
 def _ema_in_chunk(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
-    """Exponential mean that starts at the chunk's first observation, with its parts."""
-    ticks = t.spec.length + t.spec.before + t.spec.after
-    parts = _ema_parts(t, channels, alpha)
-    if ticks * log10(1.0 - alpha) > -290.0:
-        return _ema_running(parts, channels)
-    return _ema_fold(parts, channels, alpha)
-
-
-def _ema_running(t: Timeline, channels: Sequence[str]) -> Timeline:
-    """The recurrence m = a m + b solved as P * sum(b / P): constant work per tick."""
-    return t.with_df(t.df.selectExpr("*", *[
-        f"_p_{c} * sum(_b_{c} / _p_{c}) OVER ({SO_FAR}) AS ema_{c}" for c in channels]))
+    """Exponential mean that starts at the chunk's first observation, with its parts.
 
-
-def _ema_fold(t: Timeline, channels: Sequence[str], alpha: float) -> Timeline:
-    """For chunks so long that the running product would underflow: fold the last ticks instead.
-
-    At an observation anything older than the folded ticks has faded to nothing; between
-    observations the mean stands still.
+    The recurrence m = a m + b is solved as P * sum(b / P), constant work per tick, in blocks of so many ticks that the
+    product P cannot underflow. A block turns the mean M before it into m + P M; the few blocks of a chunk are chained.
     """
-    recent = over_ticks().rowsBetween(-(EMA_LOOK_BACK - 1), 0)
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("long").alias("t"))
-
-    def step(state: Column, row: Column) -> Column:
-        d = F.pow(F.lit(1.0 - alpha), (row["tick"] - state["t"]) / t.spec.step)
-        mean = F.coalesce((d * state["m"] + alpha * row["x"]) / (d + alpha), row["x"])
-        return F.struct(mean.alias("m"), row["tick"].alias("t"))
-
-    df = t.df.withColumns({
-        f"_r_{c}": F.collect_list(F.when(F.col(f"_x_{c}").isNotNull(), F.struct("tick", F.col(f"_x_{c}").alias("x"))))
-        .over(recent) for c in channels})
-    df = df.withColumns({
-        f"_m_{c}": F.when(F.col(f"_x_{c}").isNotNull(), F.aggregate(f"_r_{c}", start, step)["m"]) for c in channels})
-    kept = t.df.columns
-    return t.with_df(df.selectExpr("*", *[
-        f"last(_m_{c}, true) OVER ({SO_FAR}) AS ema_{c}" for c in channels]).select(
-        *kept, *[f"ema_{c}" for c in channels]))
+    parts = _ema_parts(t, channels, alpha)
+    block = int(-PRODUCT_DIGITS / log10(1.0 - alpha))
+    if t.spec.length + t.spec.before + t.spec.after <= block:      # one block: nothing to chain
+        return parts.with_df(parts.df.selectExpr("*", *[
+            f"_p_{c} * sum(_b_{c} / _p_{c}) OVER ({SO_FAR}) AS ema_{c}" for c in channels]))
+    kept = parts.df.columns
+    inside = "PARTITION BY stay_id, chunk, _block ORDER BY tick ROWS UNBOUNDED PRECEDING"
+    df = parts.df.withColumn("_block", F.floor(F.col("tick") / (block * t.spec.step)))
+    product = Window.partitionBy("stay_id", "chunk", "_block").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_q_{c}": F.product(f"_a_{c}").over(product) for c in channels})
+    df = df.selectExpr("*", f"lead(_block) OVER ({TICKS}) <> _block AS _ends", *[
+        f"_q_{c} * sum(_b_{c} / _q_{c}) OVER ({inside}) AS _m_{c}" for c in channels])
+    df = df.selectExpr("*", *[
+        f"aggregate(collect_list(CASE WHEN _ends THEN struct(_q_{c} AS q, _m_{c} AS m) END) OVER "
+        f"({TICKS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(NULL AS DOUBLE), "
+        f"(m, s) -> CASE WHEN s.m IS NULL THEN m ELSE s.m + coalesce(s.q * m, 0D) END) AS _c_{c}" for c in channels])
+    return parts.with_df(df.selectExpr(*kept, *[
+        f"CASE WHEN _m_{c} IS NULL THEN _c_{c} ELSE _m_{c} + coalesce(_q_{c} * _c_{c}, 0D) END AS ema_{c}" for c in channels]))
 
 
 def _ema_before_chunks(t: Timeline, channels: Sequence[str], alpha: float) -> DataFrame:
     """Mean `_m0` and newest observed tick `_t0` before a chunk's segment, per (stay, chunk).
 
     The segments of a stay follow each other without overlap. A segment
-    turns the mean m before it into A m + B; the few segments of a stay are chained in order. Every
-    segment with an observation fades the old mean by at least 1 - alpha, so the newest
-    EMA_LOOK_BACK of them decide.
+    turns the mean m before it into A m + B; the few segments of a stay are chained in order.
     """
     span = t.spec.length * t.spec.step
     several = t.df.where(F.floor(F.col("first_tick") / span) < F.floor(F.col("last_tick") / span))
@@ -139,8 +126,7 @@ def _ema_before_chunks(t: Timeline, channels: Sequence[str], alpha: float) -> Da
         f"collect_list(CASE WHEN _f_{c} IS NOT NULL THEN struct(_w_{c} AS a, ema_{c} - _w_{c} * _f_{c}.x AS b) END) "
         f"OVER ({earlier}) AS _s_{c}" for c in channels])
     return ends.selectExpr("stay_id", "chunk", *[f"_t0_{c}" for c in channels], *[
-        f"CASE WHEN size(_s_{c}) > 0 THEN aggregate(slice(_s_{c}, greatest(size(_s_{c}) - {EMA_LOOK_BACK - 1}, 1), "
-        f"{EMA_LOOK_BACK}), 0D, (m, s) -> s.a * m + s.b) END AS _m0_{c}" for c in channels])
+        f"CASE WHEN size(_s_{c}) > 0 THEN aggregate(_s_{c}, 0D, (m, s) -> s.a * m + s.b) END AS _m0_{c}" for c in channels])
 
 
 def add_ema(t: Timeline, channels: Sequence[str] = tuple(fx.DELTA_CHANNELS), span: int = 4) -> Timeline:
