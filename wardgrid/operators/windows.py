@@ -35,16 +35,22 @@ def long_enough(t: Timeline) -> Timeline:
     return t.with_df(t.df.where(tick_count(t) >= t.spec.history + t.spec.horizon))
 
 
-def window_rows(t: Timeline, splits: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+def assigned(t: Timeline, splits: DataFrame) -> Timeline:
+    """The timeline with each tick's `split`; unassigned subjects drop out. Before history is added, ticks are narrow."""
+    return t.with_df(t.df.join(splits, "subject_id"))
+
+
+def window_rows(t: Timeline, splits: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """One row per window with its split; stays of unassigned subjects drop out.
 
-    Windows are filtered and split-joined before the wide history column reaches the output.
+    A timeline that is `assigned` already carries its split: its wide history column then meets no join.
     """
-    meta = ["stay_id", "subject_id", "tick"]
+    meta = ["stay_id", "subject_id", "tick"] + (["split"] if splits is None else [])
     rows = t.df.where(F.col("core") & is_window(t)).select(
         *meta, F.col("episode").isNotNull().alias("is_treatment_window"), "episode",
         *TARGETS, *columns)
-    return rows.join(splits, "subject_id").withColumn("prediction_time", tick_time(F.col("tick")))
+    rows = rows if splits is None else rows.join(splits, "subject_id")
+    return rows.withColumn("prediction_time", tick_time(F.col("tick")))
 
 
 def validity_report(windows: DataFrame) -> DataFrame:

@@ -85,16 +85,20 @@ def stream_alerts(spark, d):
 _DAY = 86400
 
 
+_LIVE_CHANNELS = sorted({fx.MERGED_CHANNELS.get(c, c) for c in fx.VITAL_ITEMS.values()})
+_IN_CHANNELS = ", ".join(f"'{c}'" for c in _LIVE_CHANNELS)
+
+
 @query("stream_grid_means", with_sql("ev", "obs") + "," + NAMED_SQL + f"""
-, w AS (SELECT stay_id, us, us // {_DAY}000000 AS b, channel, v FROM named WHERE channel IN ('heart_rate', 'spo2'))
-SELECT stay_id, make_timestamp(b * {_DAY}000000) AS tick, round(avg(v) FILTER (WHERE channel = 'heart_rate'), 6) AS heart_rate,
- round(avg(v) FILTER (WHERE channel = 'spo2'), 6) AS spo2 FROM w
+, w AS (SELECT stay_id, us, us // {_DAY}000000 AS b, channel, v FROM named WHERE channel IN ({_IN_CHANNELS}))
+SELECT stay_id, make_timestamp(b * {_DAY}000000) AS tick, {', '.join(f"round(avg(v) FILTER (WHERE channel = '{c}'), 6) AS {c}" for c in _LIVE_CHANNELS)} FROM w
 WHERE (b + 1) * {_DAY}000000 <= (SELECT max(us) // 1000 * 1000 FROM w) - 3600000000 GROUP BY stay_id, b""")
 def stream_grid_means(spark, d):
+    """All live channels; a window is emitted once the watermark has passed it, so the last ones stay open."""
     raw = _stream(spark, d, "events")
-    named = name_items(_observations(raw), fx.VITAL_ITEMS).where("channel IN ('heart_rate', 'spo2')")
-    out = sv.run_to_table(sv.grid_means(named, ["heart_rate", "spo2"], "1 day", "1 hour"), _run("grid"))
-    return tm.export(r6(out.select("stay_id", F.col("window.start").alias("tick"), "heart_rate", "spo2"), "heart_rate", "spo2"))
+    named = name_items(_observations(raw), fx.VITAL_ITEMS).where(F.col("channel").isin(_LIVE_CHANNELS))
+    out = sv.run_to_table(sv.grid_means(named, _LIVE_CHANNELS, "1 day", "1 hour"), _run("grid"))
+    return tm.export(r6(out.select("stay_id", F.col("window.start").alias("tick"), *_LIVE_CHANNELS), *_LIVE_CHANNELS))
 
 
 def _observations(raw: DataFrame) -> DataFrame:

@@ -482,11 +482,9 @@ def window_dataset(spark, d):
 def build_windows(spark: SparkSession, d: str) -> DataFrame:
     """The full window dataset: features, train-only scaler, history matrix, targets, split."""
     t = win.long_enough(timeline(spark, d, treated=True, stored=True))
-    t = tg.add_targets(feat.add_features(t)).stored()
-    parts = splits(spark, d)
-    train = feat.feature_frame(t).join(parts.where("split = 'train'"), "subject_id", "left_semi")
-    scaler = Scaler.fit(train)
-    return win.window_rows(win.with_history(t, scaler), parts, ["X"])
+    t = win.assigned(tg.add_targets(feat.add_features(t)), splits(spark, d)).stored()
+    scaler = Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
+    return win.window_rows(win.with_history(t, scaler), columns=["X"])
 
 
 @query("validity_report", TARGETED + """
