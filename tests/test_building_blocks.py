@@ -153,6 +153,18 @@ def test_personal_baseline(spark, monkeypatch, n, missing):
     np.testing.assert_allclose(got.deviation.to_numpy(float), x - want, atol=1e-9)
 
 
+def test_a_burst_is_cut_by_its_rows(spark):
+    """Nine tenths of a key's readings lie in one minute of a year; no slice holds many more rows than asked for."""
+    from wardgrid.operators.slices import time_slices, with_previous, with_sequence_number
+    rng = np.random.default_rng(8)
+    seconds = np.sort(np.r_[rng.uniform(0, 3e7, 300), 1e7 + rng.uniform(0, 60_000, 2700)])
+    df = spark.createDataFrame([(1, i, T0 + timedelta(seconds=float(s))) for i, s in enumerate(seconds)], "k long, id long, t timestamp")
+    sizes = [r["count"] for r in time_slices(df, ["k"], "t", 100).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 250
+    got = with_previous(with_sequence_number(df, ["k"], "t", ["t", "id"], max_rows=100), ["k"], "t", ["t", "id"], ["id"], max_rows=100)
+    assert got.where("seq <> id + 1 OR NOT prev_id <=> IF(id = 0, NULL, id - 1)").count() == 0
+
+
 def test_repeats_in_one_crowded_second(spark):
     """One second holds all alerts; cut into many parts, the result is the same as of a plain lag."""
     rows = [(i, int(p)) for i, p in enumerate(np.random.default_rng(3).integers(0, 2, 2000))]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 2_000_000
+#: Bins in which the readings of a large key are counted before it is cut.
+SLICE_BINS = 65_536
 
 
 def number_bin(value: Column, per_octave: int = 256) -> Column:
@@ -53,25 +55,29 @@ def running_totals(df: DataFrame, keys: Sequence[str], bin_: str, order: Sequenc
 def time_slices(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = SLICE_ROWS) -> DataFrame:
     """Add `_slice`: 0 for ordinary keys, a time-slice number for keys above `max_rows` rows.
 
-    The table of large keys is tiny (total rows / max_rows at most); adaptive execution measures
-    it and broadcasts it only while it is small.
+    A large key's readings are counted in SLICE_BINS bins of equal width, and a new slice starts as soon as the bins before
+    hold another `max_rows`, so a burst is cut as finely as its bins allow. Missing times come first. The table
+    of large keys is tiny (total rows / max_rows at most); adaptive execution measures it and broadcasts it only
+    while it is small.
     """
+    keys = list(keys)
     micros = F.unix_micros(F.col(time))
     large = (
         df.where(F.col(time).isNotNull())
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
         .where(F.col("_n") > max_rows)
-        .select(
-            *keys, "_lo",
-            F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1)
-                                        / F.ceil(F.col("_n") / max_rows))).alias("_width"))
+        .select(*keys, "_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / SLICE_BINS)).alias("_width"))
     )
-    sliced = df.join(large, list(keys), "left")
-    number = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(
-        F.floor((micros - F.col("_lo")) / F.col("_width")))
-    return sliced.withColumn("_slice", number.cast("long")).withColumn(
-        "_large", F.col("_width").isNotNull()).drop("_lo", "_width")
+    binned = df.join(large, keys, "left").withColumn("_fine", F.floor((micros - F.col("_lo")) / F.col("_width")).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (
+        binned.where("_fine IS NOT NULL").groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_fine", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / max_rows).cast("long").alias("_slice"))
+    )
+    number = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(F.coalesce(F.col("_slice"), F.lit(-1)))
+    return binned.join(cuts, [*keys, "_fine"], "left").withColumns({
+        "_slice": number.cast("long"), "_large": F.col("_width").isNotNull()}).select(*df.columns, "_slice", "_large")
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
