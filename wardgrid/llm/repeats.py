@@ -9,9 +9,9 @@ its 20-byte substring of least hash, the same one wherever the string occurs, so
 
 Documents lie in blocks of ascending doc_id, so that "starts in a document with a smaller doc_id" is "starts in an earlier
 block, or in an earlier document of the block". Three passes over the blocks: (1) the 20-byte buckets of each block meet,
-and those of one block alone leave; (2) for each remaining member its surroundings go to a bucket refined by the 15
-bytes after it (or before it), where all 50-byte strings around it are sorted and those seen in an earlier block are
-marked; (3) each block removes the marked bytes and those repeated inside the block.
+and those of one block alone leave; (2) the surroundings of each remaining member go to its bucket, which is refined
+by the 15 bytes after and before it if it has members in many blocks, and there all 50-byte strings around it are sorted
+and those seen in an earlier block are marked; (3) each block removes the marked bytes and those repeated inside the block.
 """
 
 from __future__ import annotations
@@ -33,10 +33,14 @@ from wardgrid.session import store, store_bucketed
 LENGTH, CORE = 50, 20
 SIDE = 15                       # bytes beside the core that refine a bucket
 SPAN = LENGTH - CORE + 1        # core places in one string
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_ROWS = 20_000
-#: (bytes before the core, bytes from its start, first and last offset of strings) of the right and left surroundings
-SIDES = ((SIDE, LENGTH, 0, SIDE), (LENGTH - CORE, LENGTH - SIDE - 1, SIDE + 1, LENGTH - CORE))
+#: A core in more blocks than this is refined by the bytes beside it before its members meet.
+WIDE_BLOCKS = 64
+#: (bytes before the core, bytes from its start, first and last offset of strings): right and left surroundings of wide cores, and both
+SIDES = ((SIDE, LENGTH, 0, SIDE), (LENGTH - CORE, LENGTH - SIDE - 1, SIDE + 1, LENGTH - CORE), (LENGTH - CORE, LENGTH, 0, LENGTH - CORE))
+#: bytes before and from the start of the core that name the bucket of a side
+REFINED = ((0, CORE + SIDE), (SIDE, CORE), (0, CORE))
 OUTSIDE = 0xFF                  # never a byte of UTF-8
 VALUE = np.random.Generator(np.random.PCG64(50)).integers(0, 2 ** 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -88,7 +92,7 @@ class Piece:
         doc = np.searchsorted(self.ends, at, "right") - 1
         lo, hi = np.maximum(at - before, self.ends[doc]), np.minimum(at + after, self.ends[doc + 1])
         with np.errstate(over="ignore"):
-            shape = ((lo - (at - before)) * 128 + (at + after - hi)).astype(np.uint64) * U64(2) + U64(side)
+            shape = ((lo - (at - before)) * 128 + (at + after - hi)).astype(np.uint64) * U64(4) + U64(side)
             return lo, hi, mixed(self.hashed(lo, hi) + shape * U64(0xD6E8FEB86659FD93)).astype(np.int64)
 
 
@@ -143,16 +147,20 @@ def core_buckets(table: DataFrame) -> DataFrame:
     return table.groupBy("block").applyInArrow(run, "key long, block long")
 
 
-def surroundings(table: DataFrame, shared: DataFrame) -> DataFrame:
-    """(route, side, block, bytes): the different surroundings in each block of cores that other blocks have too."""
+def surroundings(table: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, side, block, bytes): the different surroundings in each block of cores that other blocks have too."""
     def run(block: pa.Table, keys: pa.Table) -> pa.Table:
-        wanted = np.sort(keys.column("key").to_numpy())
-        out: dict[str, list] = {"route": [], "side": [], "bytes": []}
-        known = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        wanted, wide = keys.column("key").to_numpy(), keys.column("wide").to_numpy()
+        sides = [np.sort(wanted[wide])] * 2 + [np.sort(wanted[~wide])]
+        out: dict[str, list] = {"bucket": [], "side": [], "bytes": []}
+        known = [np.zeros(0, np.int64)] * len(SIDES)
         for _, piece in pieces(_blobs(block)) if len(wanted) else ():
-            at = np.unique(piece.sampled()[1])
-            at = at[_member(piece.cores(at), wanted)]
+            every = np.unique(piece.sampled()[1])
+            core = piece.cores(every)
             for side, (before, after, _, _) in enumerate(SIDES):
+                at = every[_member(core, sides[side])]
+                if not len(at):
+                    continue
                 lo, hi, name = piece.around(at, side)
                 name, first = np.unique(name, return_index=True)
                 new = ~_member(name, known[side])
@@ -161,19 +169,20 @@ def surroundings(table: DataFrame, shared: DataFrame) -> DataFrame:
                 places = at[mine, None] + np.arange(-before, after)
                 inside = (places >= lo[mine, None]) & (places < hi[mine, None])
                 found = np.where(inside, piece.raw[np.clip(places, 0, len(piece.raw) - 1)], OUTSIDE).astype(np.uint8)
-                refined = found[:, before: before + CORE + SIDE] if side == 0 else found[:, before - SIDE: before + CORE]
-                powers, _ = _powers(CORE + SIDE)
+                left, right = REFINED[side]
+                refined = found[:, before - left: before + right]
+                powers, _ = _powers(left + right)
                 with np.errstate(over="ignore"):
-                    route = mixed((VALUE[refined] * powers[: CORE + SIDE]).sum(axis=1, dtype=np.uint64))
-                out["route"].append(route.astype(np.int64))
+                    route = mixed((VALUE[refined] * powers[: left + right]).sum(axis=1, dtype=np.uint64))
+                out["bucket"].append((route % U64(buckets)).astype(np.int32))
                 out["side"].append(np.full(len(mine), side, np.int8))
                 out["bytes"] += [row.tobytes() for row in found]
         n = len(out["bytes"])
         of = _block_of(block) if block.num_rows else 0
-        return pa.table({"route": pa.array(np.concatenate(out["route"]) if n else [], pa.int64()),
+        return pa.table({"bucket": pa.array(np.concatenate(out["bucket"]) if n else [], pa.int32()),
                          "side": pa.array(np.concatenate(out["side"]) if n else [], pa.int8()),
                          "block": pa.array(np.full(n, of), pa.int64()), "bytes": pa.array(out["bytes"], pa.binary())})
-    return table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "route long, side byte, block long, bytes binary")
+    return table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, side byte, block long, bytes binary")
 
 
 def _seen_before(found: np.ndarray, block: np.ndarray, side: int) -> np.ndarray:
@@ -207,11 +216,11 @@ def _name_of(found: np.ndarray, side: int) -> np.ndarray:
     right = found.shape[1] - lo - inside.sum(axis=1)
     with np.errstate(over="ignore"):
         total = (np.where(inside, VALUE[found], U64(0)) * powers[: found.shape[1]]).sum(axis=1, dtype=np.uint64)
-        shape = (lo * 128 + right).astype(np.uint64) * U64(2) + U64(side)
+        shape = (lo * 128 + right).astype(np.uint64) * U64(4) + U64(side)
         return mixed(total * inverses[lo] + shape * U64(0xD6E8FEB86659FD93)).astype(np.int64)
 
 
-def marked(surrounding: DataFrame, buckets: int) -> DataFrame:
+def marked(surrounding: DataFrame) -> DataFrame:
     """(block, name, side, mask): surroundings that hold strings of an earlier block, with a bit for each."""
     def run(rows: pa.Table) -> pa.Table:
         out = []
@@ -228,8 +237,7 @@ def marked(surrounding: DataFrame, buckets: int) -> DataFrame:
         frame = pd.concat(out) if out else pd.DataFrame({"block": [], "name": [], "side": [], "mask": []})
         return pa.table({"block": pa.array(frame.block, pa.int64()), "name": pa.array(frame.name, pa.int64()),
                          "side": pa.array(frame.side, pa.int8()), "mask": pa.array(frame["mask"], pa.int64())})
-    return (surrounding.withColumn("bucket", F.pmod(F.xxhash64("route"), F.lit(buckets)))
-            .groupBy("bucket").applyInArrow(run, "block long, name long, side byte, mask long"))
+    return surrounding.groupBy("bucket").applyInArrow(run, "block long, name long, side byte, mask long")
 
 
 def _inside_block(block: list[tuple[np.ndarray, Piece]], sampled: list) -> list[np.ndarray]:
@@ -329,8 +337,7 @@ def without_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Dat
     # cores of two blocks or more stay; a core has one row per block at most
     cores = core_buckets(table)
     of_key = Window.partitionBy("key")
-    shared = (cores.withColumn("low", F.min("block").over(of_key)).withColumn("high", F.max("block").over(of_key))
-              .where("low < high").select("key", "block"))
-    around = store(surroundings(table, shared))
-    marks = marked(around, max(1, math.ceil(around.count() / BUCKET_ROWS)))
+    shared = store(cores.withColumn("low", F.min("block").over(of_key)).withColumn("high", F.max("block").over(of_key))
+                   .withColumn("wide", F.count("*").over(of_key) > WIDE_BLOCKS).where("low < high").select("key", "block", "wide"))
+    marks = marked(surroundings(table, shared, max(1, math.ceil(shared.count() / BUCKET_ROWS))))
     return removed(table, marks).unionByName(whole)
