@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardgrid.session import store
 
+#: Links that one task contracts before the rounds begin.
+TASK_LINKS = 200_000
+
+
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of one task as stars around the smallest id of each of its components."""
+    links = pd.concat([pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)}), *frames])
+    ids, at = np.unique(links.to_numpy().ravel(), return_inverse=True)
+    root = np.arange(len(ids))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for x, y in at.reshape(-1, 2):
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    top = np.array([find(x) for x in range(len(ids))], np.int64)
+    moved = top != np.arange(len(ids))
+    yield pd.DataFrame({"u": ids[moved], "v": ids[top[moved]]})
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in `links` (a, b); component is the smallest id that can be reached.
 
-    Every round hangs each id's larger neighbours on its smallest neighbour, then its smaller ones, until nothing
+    Each task first contracts a bounded number of links. Every round then hangs each id's larger neighbours on its smallest neighbour, then its smaller ones, until nothing
     changes; a round's links are written to the shared folder, so no round repeats another's work.
     """
-    edges = store(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    tasks = max(1, math.ceil(links.count() / TASK_LINKS))
+    edges = store(links.coalesce(tasks).mapInPandas(_contracted, "u long, v long").distinct())
     state = None
     while True:
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -30,7 +30,7 @@ from wardgrid.llm.graph import components
 from wardgrid.session import store
 
 POSITIONS, BRANCH, TREES, DEPTH = 128, 2, 6, 4
-NODE_DOCS, NEAREST = 512, 4
+NODE_DOCS, CELL_DOCS, NEAREST = 2048, 1024, 4
 #: Of 128 tokens, 80 must agree before sets are compared: five standard deviations below the threshold of 0.8.
 AGREE = 80
 #: Rows that a task compares at once; the number of buckets follows from the number of rows.
@@ -228,7 +228,7 @@ def _again(leaf: DataFrame, dense: DataFrame, parts: DataFrame, members: DataFra
     main = store(main.where("parts > 1").select("node", F.col("m.component").alias("main"), "size"))
     rows = (rows.join(small_or_plain(main), "node")
             .withColumn("minor", F.col("component") != F.col("main"))
-            .withColumn("blocks", F.ceil(F.col("size") / NODE_DOCS).cast("int"))
+            .withColumn("blocks", F.ceil(F.col("size") / CELL_DOCS).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     # a cell is one block of minor documents beside one block of all: each row goes to the cells of its block
     as_any = rows.select("node", "component", "doc_id", F.lit(False).alias("minor"),
@@ -243,7 +243,7 @@ def _again(leaf: DataFrame, dense: DataFrame, parts: DataFrame, members: DataFra
     wanted = cells.select("doc_id").distinct()
     sets = shingle_table(documents.join(small_or_plain(store(wanted)), "doc_id", "left_semi"), words)
     full = cells.join(members.select("doc_id", "n", "tokens").join(sets, "doc_id"), "doc_id")
-    return store(crossing(full, _buckets(n, 2 * NODE_DOCS)))
+    return store(crossing(full, _buckets(n, 2 * CELL_DOCS)))
 
 
 def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
