@@ -33,8 +33,10 @@ from wardgrid.session import store, store_bucketed
 LENGTH, CORE = 50, 20
 SIDE = 15                       # bytes beside the core that refine a bucket
 SPAN = LENGTH - CORE + 1        # core places in one string
-BLOCK_BYTES = 6 << 20
-BUCKET_ROWS = 20_000
+BLOCK_BYTES = 3 << 20
+BUCKET_ROWS = 10_000
+#: Surroundings that a task copies at once.
+PART_ROWS = 4_096
 #: A core in more blocks than this is refined by the bytes beside it before its members meet.
 WIDE_BLOCKS = 64
 #: (bytes before the core, bytes from its start, first and last offset of strings): right and left surroundings of wide cores, and both
@@ -165,18 +167,19 @@ def surroundings(table: DataFrame, shared: DataFrame, buckets: int) -> DataFrame
                 name, first = np.unique(name, return_index=True)
                 new = ~_member(name, known[side])
                 known[side] = np.union1d(known[side], name[new])
-                mine = first[new]
-                places = at[mine, None] + np.arange(-before, after)
-                inside = (places >= lo[mine, None]) & (places < hi[mine, None])
-                found = np.where(inside, piece.raw[np.clip(places, 0, len(piece.raw) - 1)], OUTSIDE).astype(np.uint8)
                 left, right = REFINED[side]
-                refined = found[:, before - left: before + right]
                 powers, _ = _powers(left + right)
-                with np.errstate(over="ignore"):
-                    route = mixed((VALUE[refined] * powers[: left + right]).sum(axis=1, dtype=np.uint64))
-                out["bucket"].append((route % U64(buckets)).astype(np.int32))
-                out["side"].append(np.full(len(mine), side, np.int8))
-                out["bytes"] += [row.tobytes() for row in found]
+                for low in range(0, int(new.sum()), PART_ROWS):
+                    mine = first[new][low: low + PART_ROWS]
+                    places = at[mine, None] + np.arange(-before, after)
+                    inside = (places >= lo[mine, None]) & (places < hi[mine, None])
+                    found = np.where(inside, piece.raw[np.clip(places, 0, len(piece.raw) - 1)], OUTSIDE).astype(np.uint8)
+                    refined = found[:, before - left: before + right]
+                    with np.errstate(over="ignore"):
+                        route = mixed((VALUE[refined] * powers[: left + right]).sum(axis=1, dtype=np.uint64))
+                    out["bucket"].append((route % U64(buckets)).astype(np.int32))
+                    out["side"].append(np.full(len(mine), side, np.int8))
+                    out["bytes"] += [row.tobytes() for row in found]
         n = len(out["bytes"])
         of = _block_of(block) if block.num_rows else 0
         return pa.table({"bucket": pa.array(np.concatenate(out["bucket"]) if n else [], pa.int32()),
