@@ -8,6 +8,7 @@ calibrated on labelled rows that neither was trained on, and the calibrated log-
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -175,20 +176,29 @@ def _rows(text: pa.Array, lang: list, source: list) -> tuple[np.ndarray, np.ndar
     return np.concatenate(content), np.concatenate(metadata)
 
 
-def sampled_rows(sample: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Features of both views and labels of a bounded sample with columns text, lang, source, y; made in tasks."""
+def sampled_rows(sample: DataFrame) -> DataFrame:
+    """(doc_id, y, content, metadata): features of both views of a bounded sample with columns doc_id, y, text, lang, source."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 content, metadata = _rows(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.astype(np.float16).tobytes() for r in content], pa.binary()),
                                                   pa.array([r.tobytes() for r in metadata], pa.binary())], ["doc_id", "y", "content", "metadata"])
-    got = (sample.select("doc_id", "y", "text", "lang", "source").mapInArrow(run, "doc_id long, y int, content binary, metadata binary")
-           .toPandas().sort_values(["doc_id", "content"], kind="stable"))
-    if got.empty:
-        return (np.zeros((0, GRAMS), np.float32), np.zeros((0, SHAPES + NAMES), np.float32)), np.zeros(0, np.int64)
-    return ((np.frombuffer(b"".join(got.content), np.float16).reshape(-1, GRAMS).astype(np.float32),
-             np.frombuffer(b"".join(got.metadata), np.float32).reshape(-1, SHAPES + NAMES)), got.y.to_numpy())
+    return sample.select("doc_id", "y", "text", "lang", "source").mapInArrow(run, "doc_id long, y int, content binary, metadata binary")
+
+
+def fitted(rows: pa.Table) -> pa.Table:
+    """One row with the views trained on sampled rows (y below 0: no label), as bytes; none if the labels are of one class."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("content", "ascending")])
+    y = rows.column("y").to_numpy()
+    if len({*y[y >= 0]}) < 2:
+        return pa.table({"model": pa.array([], pa.binary())})
+
+    def view(part: np.ndarray, name: str, kind: type, width: int) -> np.ndarray:
+        column = rows.column(name).take(pa.array(np.flatnonzero(part)))
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float32)
+    mine, pool = ((view(part, "content", np.float16, GRAMS), view(part, "metadata", np.float32, SHAPES + NAMES)) for part in (y >= 0, y < 0))
+    return pa.table({"model": pa.array([pickle.dumps(cotrain(mine, (y[y >= 0] > 0).astype(np.int64), pool))], pa.binary())})
 
 
 def plain(documents: DataFrame) -> DataFrame:
@@ -210,12 +220,10 @@ def learned(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, u
     ids = docs.select("doc_id").distinct()
     known = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled)
     other = ids.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(unlabelled).withColumn("y", F.lit(-1))
-    # both samples are bounded by their limits
-    (content, metadata), y = sampled_rows(docs.join(F.broadcast(known.union(other)), "doc_id"))
-    if len({*y[y >= 0]}) < 2:
-        return None
-    mine, pool = y >= 0, y < 0
-    return cotrain((content[mine], metadata[mine]), (y[mine] > 0).astype(np.int64), (content[pool], metadata[pool]))
+    # both samples are bounded by their limits: one task trains on their features, and only weights reach the driver
+    rows = sampled_rows(docs.join(F.broadcast(known.union(other)), "doc_id"))
+    model = rows.groupBy().applyInArrow(fitted, "model binary").first()
+    return pickle.loads(model[0]) if model else None
 
 
 def scored(documents: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
