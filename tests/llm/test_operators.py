@@ -173,6 +173,33 @@ def test_mix_places_every_row_once(docs, no_docs):
         mixing.mix(docs, ticks=4)
 
 
+@pytest.mark.parametrize("weights, bound", [
+    ({"a": 0.7, "b": 0.2, "c": 0.1}, 1), ({"a": 1, "b": 1, "c": 1, "d": 0.004}, 2),
+    ({f"s{i:03}": 1.0 if i else 10.05 for i in range(200)}, 2), ({f"s{i:03}": 1 + i % 7 for i in range(700)}, 2)])
+def test_schedule_keeps_to_the_given_weights_over_rounds(weights, bound):
+    whole, ticks = mixing.rounds(weights)
+    share = np.array(list(weights.values())) / sum(weights.values())
+    seen = np.zeros(len(weights))
+    at = {s: k for k, s in enumerate(weights)}
+    for number in range(7):
+        rows = sorted(mixing.placed(whole, ticks, dict.fromkeys(weights, 10 ** 9), number), key=lambda r: r[2])
+        assert [r[2] for r in rows] == list(range(number * ticks, (number + 1) * ticks))
+        for s, j, t in rows:
+            assert seen[at[s]] == j
+            seen[at[s]] += 1
+            assert np.abs(seen - share * (t + 1)).max() < bound + 1e-6
+
+
+def test_mix_of_many_sources_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_BLOCKS", 500)
+    got = mixing.mix(spark.range(9000).selectExpr("id as doc_id", "concat('s', if(id % 3 = 0, 0, id % 700)) as source"), block_docs=1).collect()
+    assert len(got) == len({r.mix_position for r in got}) == 9000
+    n = Counter(r.source for r in got)
+    root = sum(x ** 0.5 for x in n.values())
+    for k, slot in enumerate(sorted(r.mix_slot for r in got if r.source == "s0"), 1):
+        assert abs(k - n["s0"] ** 0.5 / root * (slot + 1)) < 2
+
+
 # 4: decontamination
 
 def test_contamination(spark, docs, no_docs):
