@@ -53,6 +53,13 @@ def scored_facts(scored: DataFrame, kind: str, label: str = "deterioration") ->
     return metrics.select("model", sound.alias("metrics_in_range"), F.lit(0).alias("_k")).join(rows.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
+def evaluated(scored: DataFrame, kind: str, label: str = "deterioration") -> DataFrame:
+    """The classification report of scored rows, with their number and that of the positives."""
+    rows = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.lit(0).alias("_k"))
+    # both have one row
+    return rows.join(classification_report(scored, kind).withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
 def classification_report(scored: DataFrame, kind: str) -> DataFrame:
     ranks = ranking_quality(scored, [], "score", "deterioration").withColumn("_k", F.lit(0))
     rates = threshold_metrics(scored.withColumn("_k", F.lit(0)), ["_k"], "score", "deterioration", F.lit(0.5))

@@ -221,6 +221,24 @@ def forest_forecast(spark, d):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("sum_y"), F.count_if(inside).alias("within_train"))
 
 
+# ---- reports: the evaluation of the three models, which no SQL can foresee; tests recompute it from the rows (y, p) ----
+
+def logistic_report(spark, d):
+    return mo.evaluated(store(mo.classify(build_windows(spark, d), "logistic_regression")), "logistic_regression")
+
+
+def forest_report(spark, d):
+    return mo.evaluated(store(mo.classify(build_windows(spark, d), "random_forest")), "random_forest")
+
+
+def forest_forecast_report(spark, d):
+    """MAE, RMSE and R2 per channel and step, and of all channels per step."""
+    return me.forecast_errors(store(mo.forest_forecasts(build_windows(spark, d))), ("channel", "step"))
+
+
+REPORTS = {f.__name__: f for f in (logistic_report, forest_report, forest_forecast_report)}
+
+
 # ---- audits --------------------------------------------------------------------------------------
 
 @query("leakage_audit", """
