@@ -264,6 +264,26 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs((x == y).mean() - exact) < 4 * (exact * (1 - exact) / 200) ** 0.5
 
 
+def test_likeness_at_the_samples_of_the_query(spark):
+    rng = np.random.default_rng(5)
+    rows, exact = [], []
+    for pair in range(120):
+        # shared words with other counts, and words of one side
+        a, b = Counter(), Counter()
+        for i in range(60):
+            n = int(rng.integers(1, 6))
+            a[f"p{pair}w{i}"] = n if i < 50 else 0
+            b[f"p{pair}w{i}"] = n * int(rng.integers(1, 3)) if i >= 10 else 0
+        exact.append(sum((a & b).values()) / sum((a | b).values()))
+        rows += [(pair, 0, " ".join(a.elements())), (pair, 1, " ".join(b.elements()))]
+    sig = fingerprint.signatures(spark.createDataFrame(rows, "pair int, side int, text string"), ["pair", "side"])
+    both = sig.where("side = 0").selectExpr("pair", "sig as a").join(sig.where("side = 1").selectExpr("pair", "sig as b"), "pair")
+    got = np.array([r.near for r in both.select("pair", fingerprint.likeness("a", "b").alias("near")).orderBy("pair").collect()])
+    error = got - np.array(exact)
+    assert abs(error.mean()) < 4 * 0.5 / (fingerprint.SAMPLES * len(got)) ** 0.5
+    assert (error ** 2).mean() ** 0.5 < 0.08       # sqrt(j (1 - j) / 48) is 0.072 at most
+
+
 # 7: quality
 
 @needs_data

@@ -1,10 +1,11 @@
 """Document fingerprints by consistent weighted sampling of word counts.
 
 Sample k of a text is its word with the least a = c / (y e^r), where r and c are gamma(2, 1) variates and b is uniform, all
-drawn from a hash of the word and k, w is the word's count and ln y = r (floor(ln w / r + b) - b). Two texts agree in a sample with a
+drawn from two hashes of the word and k, w is the word's count and ln y = r (floor(ln w / r + b) - b). Two texts agree in a sample with a
 probability equal to the generalised Jaccard similarity of their counts (sum of minima over sum of maxima). Since a
 depends on the word, the level of its weight and k alone, the least a itself names the sample, and a sample is one
-`min` of doubles: partial aggregates leave one row per text.
+`min` of floats of ln a: partial aggregates leave one row per text. A similarity j estimated from n samples has the
+standard error sqrt(j (1 - j) / n).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from wardgrid.llm.common import small_or_plain
 from wardgrid.session import store
 
-SAMPLES = 24
+SAMPLES = 48
 #: Rows of a bin of the document order, and the most bins (their first ids are broadcast).
 BIN_ROWS, MOST_BINS = 2_000, 200_000
 WORD_BREAKS = r"[ \\t-\\r]+"
@@ -35,15 +36,15 @@ def counted_words(text: str) -> str:
 
 
 def sample_value(k: int) -> Column:
-    """ln a of word hash `t` with log count `lw` for sample k; the uniform variates are slices of one hash."""
-    h = F.xxhash64(F.col("t"), F.lit(k))
+    """ln a of word hash `t` with log count `lw` for sample k; r and c are slices of one hash, the shift b comes from another."""
+    h, other = F.xxhash64(F.col("t"), F.lit(k)), F.xxhash64(F.col("t"), F.lit(-1 - k))
 
-    def uniform(at: int, bits: int) -> Column:
+    def uniform(h: Column, at: int, bits: int) -> Column:
         return (F.shiftrightunsigned(h, at).bitwiseAND(2 ** bits - 1) + 0.5) / float(2 ** bits)
 
-    r = -F.log(uniform(0, 16) * uniform(16, 16))
-    log_c = F.log(-F.log(uniform(32, 16) * uniform(48, 16)))
-    shift = uniform(8, 20)
+    r = -F.log(uniform(h, 0, 16) * uniform(h, 16, 16))
+    log_c = F.log(-F.log(uniform(h, 32, 16) * uniform(h, 48, 16)))
+    shift = uniform(other, 8, 20)
     return log_c - r * (F.floor(F.col("lw") / r + shift) - shift) - r
 
 
@@ -51,7 +52,7 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     """One row per distinct `keys` with `sig`, an array of 32-bit sample names; an empty array for a text without words."""
     terms = (texts.select(*keys, F.expr(f"inline_outer({counted_words('coalesce(text, \"\")')})"))
              .withColumn("lw", F.log(F.col("n").cast("double"))))
-    least = terms.groupBy(*keys).agg(*[F.min(sample_value(k)).alias(f"a{k}") for k in range(samples)])
+    least = terms.groupBy(*keys).agg(*[F.min(sample_value(k).cast("float")).alias(f"a{k}") for k in range(samples)])
     return least.select(*keys, F.when(F.col("a0").isNull(), F.expr("cast(array() as array<int>)"))
                         .otherwise(F.array(*[F.hash(f"a{k}") for k in range(samples)])).alias("sig"))
 
@@ -120,7 +121,10 @@ def edited_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFra
     other = sig.where("side = 1").select("doc_id", "th", "next_id", "next_th", F.col("sig").alias("edited_sig"))
     following = (own.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("sig").alias("next_sig"))
                  .dropDuplicates(["next_id", "next_th"]))
-    return (own.join(other, ["doc_id", "th", "next_id", "next_th"]).join(following, ["next_id", "next_th"])
+    # the next text's signature is compared first, so that it is not shuffled again
+    compared = (own.join(following, ["next_id", "next_th"])
+                .withColumn("near_next", likeness("sig", "next_sig")).drop("next_sig"))
+    return (compared.join(other, ["doc_id", "th", "next_id", "next_th"])
             .select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("sig").alias("fingerprint"),
                     as_text("edited_sig").alias("edited_fingerprint"),
-                    likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next")))
+                    likeness("sig", "edited_sig").alias("near_edited"), "near_next"))
