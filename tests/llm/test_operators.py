@@ -242,6 +242,22 @@ def test_main_text(spark):
     assert extract.extract(sample.limit(0)).count() == 0
 
 
+def test_head_without_end_tag():
+    for html in ("<html><head><title>t</title><body><p>the text</p></body></html>", "<head><title>t</title><p>the text",
+                 "<head><title>t</title><script>x</script>the text", "<head><noscript><img></noscript><meta><body><p>the text",
+                 "<head><title>t</title></head><body><p>the text</p>"):
+        assert [b[0] for b in extract.blocks(html)] == ["the text"]
+    assert extract.blocks("<head><template><p>not shown</p></template></head>") == []
+
+
+def test_features_of_whole_blocks():
+    text = " ".join(["w"] * 40 + ["advertisement"] + ["w"] * 40)
+    words = extract.features([(text, ("div",), 0.0)])[1][0]
+    assert words[extract.hashed("advertisement", extract.WORDS)] == pytest.approx(1 / 81)
+    names = " ".join(["px", "mt", "flex", "grid"] * 5 + ["sidebar"])
+    assert ".sidebar" in extract.blocks(f'<div class="{names}">text</div>')[0][1]
+
+
 # 6: fingerprints
 
 def test_fingerprints(docs, no_docs):

@@ -28,6 +28,8 @@ TRAIN_BLOCKS, CELLS = 48, 20_000
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 SILENT = frozenset("script style noscript template title head svg iframe object select option textarea button datalist canvas math".split())
+#: Elements that may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
@@ -55,7 +57,18 @@ class Blocks(HTMLParser):
             self.found.append((text, self.path, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
+    def _end_head(self, always: bool) -> None:
+        """Ends an open head whose end tag was left out, but not from inside a silent element of it, unless `always`."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == "head":
+                self._pop_to(i)
+                return
+            if self.stack[i][0] in SILENT and not always:
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in BLOCK:
             self.flush()
             # an element such as <p> or <li> ends its open sibling, but not one outside the parent block
@@ -72,7 +85,7 @@ class Blocks(HTMLParser):
         tokens = [tag]
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                tokens += [f".{part.lower()}" for part in NAME_PARTS.findall(value)[:12]]
+                tokens += [f".{part.lower()}" for part in NAME_PARTS.findall(value)]
         self.stack.append((tag, tuple(tokens)))
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -92,6 +105,8 @@ class Blocks(HTMLParser):
         del self.stack[i:]
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and data.strip():
+            self._end_head(False)
         if self.silent:
             return
         if not self.parts:
@@ -120,10 +135,7 @@ def features(found: list[tuple[str, tuple[str, ...], float]]) -> tuple[np.ndarra
                 row[hashed(token, PATHS)] += 1
             cache[path] = row / max(1.0, float(np.sqrt(row.sum())))
         paths[i] = cache[path]
-        split = text.split(" ")
-        # the words at both ends tell the kind of a block; its length is among the counts
-        for token in (split if len(split) <= 24 else split[:12] + split[-12:]):
-            words[i, hashed(token.lower(), WORDS)] += 1
+        words[i] = np.bincount([hashed(token, WORDS) for token in text.lower().split(" ")], minlength=WORDS)
         words[i] /= max(1.0, words[i].sum())
         counts[i] = (np.log1p(len(text)) / 6, linked, text[-1] in ".!?…»\"", np.log1p(len(found)) / 4)
     return paths, words, counts
