@@ -315,6 +315,13 @@ def test_quality_of_unseen_rows(spark, docs, no_docs):
     assert quality.classify(no_docs, marks).count() == 0
 
 
+def test_surest_rows_come_from_all_documents(spark):
+    # beyond 2,500 rows, and with many copies of the surest one
+    rows = [(i, -3.0 - i / 10_000, 0.0) for i in range(6000)] + [(10_000 + i, 9.0, 2.5) for i in range(300)] + [(20_000, 8.0, 1.0)]
+    got = {tuple(r) for r in quality.surest(spark.createDataFrame(rows, "doc_id long, o0 double, o1 double"), 0.5, 4).collect()}
+    assert got == {(5999, 0, 1), (5998, 0, 1), (10_000, 1, 1), (20_000, 1, 1), (10_000, 1, 0)}
+
+
 # 8: repeats
 
 def brute_repeats(rows):

@@ -2,7 +2,8 @@
 
 The content view sees hashed byte trigrams of the whole text, the metadata view sees how the page is made: its length,
 lines and words, shares of kinds of characters and of different words, language and source. Both start from a bounded sample of labelled rows. In each round
-the rows of an unlabelled sample on which one view is surest become training rows of the other. Each view is then
+tasks score all documents without a label, and those of each class on which one view is surest become training rows of
+the other; only their features reach the task that trains. Each view is then
 calibrated on labelled rows that neither was trained on, and the calibrated log-odds are added up to score every document.
 """
 
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from wardgrid.llm.bytesets import U64, mixed, texts
 from wardgrid.llm.common import without
+from wardgrid.session import store
 
 GRAMS, NAMES, SHAPES = 2048, 64, 16
-#: Bounds of the samples: labelled rows, and rows without a label.
-LABELLED, UNLABELLED = 2500, 2500
+#: Bound of the labelled sample; rounds over all documents, and the most that one view gives the other in a round.
+LABELLED = 2500
 ROUNDS, MOVED = 5, 120
+#: Odds (natural logarithms) beyond which a view is sure of a row.
+SURE = 2.0
 THRESHOLD = 0.5
 ADDED = ("p_content", "p_metadata", "quality_score", "keep")
 
@@ -139,30 +143,15 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (*odds, both))
 
 
-def cotrain(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS,
-            moved: int = MOVED) -> CoTrained:
-    """Views trained in `rounds`; every fourth labelled row is kept for calibration."""
+def trained(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, given: list[tuple[np.ndarray, np.ndarray]]) -> CoTrained:
+    """Views trained on labelled rows and on what each was `given` by the other; every fourth labelled row is kept for calibration."""
     held = np.arange(len(y)) % 4 == 3
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held = np.zeros(len(y), bool)
-    train = [[x[~held], y[~held].astype(np.float32)] for x in rows]
-    left = np.arange(len(pool[0]))
+    sets = [(np.concatenate([x[~held], more]), np.concatenate([y[~held], mark]).astype(np.float32))
+            for x, (more, mark) in zip(rows, given, strict=True)]
     share = float(np.clip(y.mean(), 0.02, 0.98))
-    for number in range(rounds + 1):
-        views = [Logistic(train[0][0].shape[1]).fit(*train[0]), Logistic(train[1][0].shape[1], hidden=12).fit(*train[1], steps=400, rate=0.03)]
-        if number == rounds or not len(left):
-            break
-        taken = np.zeros(len(left), bool)
-        for teacher, pupil in ((0, 1), (1, 0)):
-            odds = views[teacher].odds(pool[teacher][left])
-            order = np.argsort(odds, kind="stable")
-            low, high = order[: round(moved * (1 - share))], order[::-1][: round(moved * share)]
-            # only rows that the teacher is sure of, at even odds of the classes
-            chosen = np.concatenate([low[odds[low] < -2], high[odds[high] > 2]])
-            train[pupil][0] = np.concatenate([train[pupil][0], pool[pupil][left[chosen]]])
-            train[pupil][1] = np.concatenate([train[pupil][1], (odds[chosen] > 0).astype(np.float32)])
-            taken[chosen] = True
-        left = left[~taken]
+    views = [Logistic(GRAMS).fit(*sets[0]), Logistic(SHAPES + NAMES, hidden=12).fit(*sets[1], steps=400, rate=0.03)]
     fair = held if held.any() else np.ones(len(y), bool)
     scale = [calibrated(view.odds(x[fair]).astype(np.float64), y[fair]) for view, x in zip(views, rows, strict=True)]
     return CoTrained(*views, scale, float(np.log(share / (1 - share))))
@@ -177,28 +166,62 @@ def _rows(text: pa.Array, lang: list, source: list) -> tuple[np.ndarray, np.ndar
 
 
 def sampled_rows(sample: DataFrame) -> DataFrame:
-    """(doc_id, y, content, metadata): features of both views of a bounded sample with columns doc_id, y, text, lang, source."""
+    """(doc_id, y, pupil, content, metadata): features of both views of a bounded sample with doc_id, y, pupil, text, lang, source."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 content, metadata = _rows(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.astype(np.float16).tobytes() for r in content], pa.binary()),
-                                                  pa.array([r.tobytes() for r in metadata], pa.binary())], ["doc_id", "y", "content", "metadata"])
-    return sample.select("doc_id", "y", "text", "lang", "source").mapInArrow(run, "doc_id long, y int, content binary, metadata binary")
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("pupil"), pa.array([r.astype(np.float16).tobytes() for r in content], pa.binary()),
+                                                  pa.array([r.tobytes() for r in metadata], pa.binary())], ["doc_id", "y", "pupil", "content", "metadata"])
+    return sample.select("doc_id", "y", "pupil", "text", "lang", "source").mapInArrow(
+        run, "doc_id long, y int, pupil int, content binary, metadata binary")
 
 
 def fitted(rows: pa.Table) -> pa.Table:
-    """One row with the views trained on sampled rows (y below 0: no label), as bytes; none if the labels are of one class."""
+    """One row with the views trained on rows with a label (pupil -1) and rows for one view (pupil 0 or 1), as bytes.
+
+    None if the labels are of one class.
+    """
     rows = rows.sort_by([("doc_id", "ascending"), ("content", "ascending")])
-    y = rows.column("y").to_numpy()
-    if len({*y[y >= 0]}) < 2:
+    y, pupil = rows.column("y").to_numpy(), rows.column("pupil").to_numpy()
+    if len({*y[pupil < 0]}) < 2:
         return pa.table({"model": pa.array([], pa.binary())})
 
     def view(part: np.ndarray, name: str, kind: type, width: int) -> np.ndarray:
         column = rows.column(name).take(pa.array(np.flatnonzero(part)))
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float32)
-    mine, pool = ((view(part, "content", np.float16, GRAMS), view(part, "metadata", np.float32, SHAPES + NAMES)) for part in (y >= 0, y < 0))
-    return pa.table({"model": pa.array([pickle.dumps(cotrain(mine, (y[y >= 0] > 0).astype(np.int64), pool))], pa.binary())})
+    kinds = (("content", np.float16, GRAMS), ("metadata", np.float32, SHAPES + NAMES))
+    mine = tuple(view(pupil < 0, *kind) for kind in kinds)
+    given = [(view(pupil == k, *kind), (y[pupil == k] > 0).astype(np.int64)) for k, kind in enumerate(kinds)]
+    return pa.table({"model": pa.array([pickle.dumps(trained(mine, (y[pupil < 0] > 0).astype(np.int64), given))], pa.binary())})
+
+
+def view_odds(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, o0, o1): the odds that each view gives every document, to four decimals."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, source, text = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")
+            for lo in range(0, batch.num_rows, 1000):
+                rows = _rows(text.slice(lo, 1000), lang[lo: lo + 1000], source[lo: lo + 1000])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 1000), *[
+                    pa.array(np.round(v.odds(x).astype(np.float64), 4)) for v, x in zip(model.views, rows, strict=True)]], ["doc_id", "o0", "o1"])
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, o0 double, o1 double")
+
+
+def surest(odds: DataFrame, share: float, moved: int) -> DataFrame:
+    """(doc_id, y, pupil): of each class the documents that a view is surest of, for the other view; top-n over all rows.
+
+    Of documents with the same odds by both views, as copies have, one is taken.
+    """
+    one = odds.groupBy("o0", "o1").agg(F.min("doc_id").alias("doc_id"))
+    parts = None
+    for teacher in (0, 1):
+        o = F.col(f"o{teacher}")
+        for y, n, sure, order in ((0, round(moved * (1 - share)), o < -SURE, o.asc()), (1, round(moved * share), o > SURE, o.desc())):
+            part = one.where(sure).orderBy(order, "doc_id").limit(n).select(
+                "doc_id", F.lit(y).alias("y"), F.lit(1 - teacher).alias("pupil"))
+            parts = part if parts is None else parts.union(part)
+    return parts
 
 
 def plain(documents: DataFrame) -> DataFrame:
@@ -208,22 +231,33 @@ def plain(documents: DataFrame) -> DataFrame:
                             *[(F.col(c) if c in has else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")])
 
 
-def learned(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained | None:
-    """Views trained on `labelled` labelled and `unlabelled` other documents at most, the first by a seeded hash of the id.
+def learned(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, moved: int = MOVED) -> CoTrained | None:
+    """Views trained on `labelled` labelled documents at most, the first by a seeded hash of the id, and in each of `rounds`
+    on `moved` documents at most that the other view is surest of, searched among all documents without a label.
 
     A document with several labels takes the lower one. None if the sample holds but one class.
     """
+    spark = documents.sparkSession
     marks = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("quality").cast("int").alias("y")))
     docs = plain(documents.where("doc_id is not null"))
     order = F.xxhash64("doc_id", F.lit(77))
-    ids = docs.select("doc_id").distinct()
-    known = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled)
-    other = ids.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(unlabelled).withColumn("y", F.lit(-1))
-    # both samples are bounded by their limits: one task trains on their features, and only weights reach the driver
-    rows = sampled_rows(docs.join(F.broadcast(known.union(other)), "doc_id"))
-    model = rows.groupBy().applyInArrow(fitted, "model binary").first()
-    return pickle.loads(model[0]) if model else None
+    known = docs.select("doc_id").distinct().join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled).withColumn("pupil", F.lit(-1))
+    # bounded by limits: one task trains on the features of the chosen rows, and only weights reach the driver
+    rows = store(sampled_rows(docs.join(F.broadcast(known), "doc_id")))
+    taken = spark.createDataFrame([], "doc_id long")
+    for number in range(rounds + 1):
+        first = rows.groupBy().applyInArrow(fitted, "model binary").first()
+        model = pickle.loads(first[0]) if first else None
+        if model is None or number == rounds:
+            return model
+        odds = store(view_odds(docs, model))
+        free = odds.join(marks, "doc_id", "left_anti").join(F.broadcast(taken), "doc_id", "left_anti")
+        chosen = store(surest(free, 1 / (1 + float(np.exp(-model.prior))), moved))
+        if chosen.isEmpty():
+            return model
+        taken = taken.union(chosen.select("doc_id"))
+        rows = rows.union(store(sampled_rows(docs.join(F.broadcast(chosen), "doc_id"))))
 
 
 def scored(documents: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
