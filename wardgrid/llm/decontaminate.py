@@ -2,8 +2,8 @@
 
 A test item is tens of words, a document may be tens of thousands, so the Jaccard similarity of the two says nothing. The
 containment of the item's shingles in the document is estimated instead: under each hash permutation the item's minimal
-shingle lies in the document with a probability equal to the containment. Items are partitioned by size, and each
-partition has its own number of minima and of required hits, so that an item above the threshold is missed with a
+shingle lies in the document with a probability equal to the containment. Items fall into two size
+classes, not many: up to `MINIMA` shingles all are indexed, else `MINIMA` minima of which a third must be hit, so that an item above the threshold is missed with a
 probability below 1e-7, and items of up to `MINIMA` shingles are never missed. Documents are only probed: their shingles
 stream past the index of minima, and no document set is shuffled.
 """

@@ -1,7 +1,8 @@
 """Repeated byte strings: bucket refinement over sampled suffixes.
 
-Suffixes are bucketed by their first 20 bytes, and buckets are refined by the bytes at later offsets until 50 bytes are
-told apart, as bucket-pointer refinement does; single-member buckets leave at each step. Two things differ from the
+Suffixes are bucketed by their first 20 bytes; buckets of one block leave, those in many blocks are split once by 15 bytes
+more, and then the hashes of whole 50-byte strings are sorted. The recursion of bucket-pointer refinement, with identifiers of
+later offsets reused at each step, is left out. Two more things differ from the
 sequential method, so that no task needs the whole text. Bucket identifiers are 64-bit hashes of the bytes instead of
 ranks: only equality of 50-byte prefixes is asked for, never their order, and a hash for any later offset comes from
 the same prefix sums as the one before. And only sampled suffixes take part: each 50-byte string is represented by
