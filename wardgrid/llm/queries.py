@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardgrid.llm.alignment import align
 from wardgrid.llm.chat import rotate
 from wardgrid.llm.common import table
 from wardgrid.llm.decontaminate import contamination
@@ -15,6 +16,8 @@ from wardgrid.llm.neardup import link_components
 from wardgrid.llm.pii import pseudonymise
 from wardgrid.llm.quality import classify
 from wardgrid.llm.repeats import without_repeats
+from wardgrid.llm.whitening import whiten
+from wardgrid.llm.wordlm import score_documents
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +62,21 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op5_main_text, op6_fingerprints, op7_quality, op8_repeats, op9_pseudonyms, op10_perspectives)}
+    op1_near_duplicates, op2_language, op3_pfair_mix, op4_contamination, op5_main_text, op6_fingerprints, op7_quality, op8_repeats,
+    op9_pseudonyms, op10_perspectives, op11_word_scores, op12_token_alignment, op13_whitening)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
