@@ -51,11 +51,63 @@ def test_quantiles_of_one_heavy_value(spark):
     assert row.m == 5.0 and row.lo == pytest.approx(np.percentile([5.0] * 500 + list(range(-3, 3)), 0.5))
 
 
-def test_running_totals(spark):
-    df = skewed(spark).groupBy("key", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("bin", F.floor("v"))
-    got = running_totals(df, ["key"], "bin", ["v"], {"total": "c"})
+@pytest.mark.parametrize("rows", [40, 10 ** 9])
+def test_running_totals(spark, rows):
+    df = skewed(spark).groupBy("key", "v").agg(F.count(F.lit(1)).alias("c"))
+    got = running_totals(df, ["key"], ["v"], {"total": "c"}, rows)
     w = Window.partitionBy("key").orderBy("v")
-    assert got.withColumn("w", F.sum("c").over(w)).where("w <> total").count() == 0
+    assert got.count() == df.count() and got.withColumn("w", F.sum("c").over(w)).where("w <> total").count() == 0
+
+
+def dense_scores(spark):
+    """Nine tenths of 20,000 scores between 0.90 and 0.91, all different."""
+    at = (F.col("id") * 7919) % 20_000
+    return spark.range(0, 20_000, 1, 4).select(
+        "id", F.when(F.col("id") % 10 > 0, 0.90 + at / 2_000_000).otherwise(at / 20_000).alias("s"), (at % 3 == 0).cast("int").alias("y"))
+
+
+def test_prefix_scan_cuts_dense_values(spark):
+    df = dense_scores(spark).withColumn("one", F.lit(1))
+    got = running_totals(df, [], ["s", "id"], {"rank": "one"}, 1000).toPandas().sort_values(["s", "id"])
+    assert (got["rank"].to_numpy() == np.arange(1, 20_001)).all()
+
+
+def test_no_range_of_a_prefix_scan_holds_many_more_rows_than_asked_for(spark, monkeypatch):
+    from wardgrid.operators import slices
+    written = []
+    monkeypatch.setattr(slices, "store", lambda df, plain=slices.store: written.append(plain(df)) or written[-1])
+    slices.running_totals(dense_scores(spark).withColumn("one", F.lit(1)), [], ["s"], {"rank": "one"}, 1000)
+    sizes = [r["count"] for r in written[-1].groupBy("_range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
+
+
+def test_ranking_quality_of_dense_scores(spark, monkeypatch):
+    from wardgrid.operators import metrics, slices
+    monkeypatch.setattr(slices.running_totals, "__defaults__", (1000,))
+    got = metrics.ranking_quality(dense_scores(spark), [], "s", "y").first()
+    p = dense_scores(spark).toPandas()
+    ranks = p.s.rank().to_numpy()
+    pos, n = int(p.y.sum()), len(p)
+    assert got.auroc == pytest.approx((ranks[p.y == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos)))
+
+
+def test_quantiles_of_dense_values(spark):
+    """Close values need several passes; the extremes of doubles need none to overflow."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([0.9 + rng.random(3000) * 1e-9, [1e308, -1e308, 5e-324, -5e-324, 0.0, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double").repartition(3)
+    row = exact_quantiles(df, [], "v", {"lo": 0.0, "a": 0.25, "m": 0.5, "b": 0.9, "hi": 1.0}).first()
+    ordered = np.sort(v)
+
+    def at(p):
+        k = p * (len(v) - 1)
+        low, high = ordered[int(np.floor(k))], ordered[int(np.ceil(k))]
+        return low if low == high else low + (high - low) * (k - np.floor(k))
+    assert (row.a, row.m, row.b) == pytest.approx((at(0.25), at(0.5), at(0.9)), rel=1e-15)
+
+
+def test_quantiles_of_nothing(spark):
+    assert exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"m": 0.5}).count() == 0
 
 
 def test_halo_rows_are_core_once(spark):

@@ -8,23 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
-from wardgrid.operators.slices import number_bin, running_totals
+from wardgrid.operators.slices import running_totals
 from wardgrid.operators.timeline import TICKS, Timeline
+from wardgrid.session import store
 
 
 def ranking_quality(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """AUROC (average ranks for ties) and average precision (equal scores form one step) per key.
 
-    Equal scores collapse before anything is ordered; running totals go by score bins, so no task
-    orders all scores. One class only gives NULL.
+    Equal scores collapse before anything is ordered; running totals go by ranges of scores, so no
+    task orders all scores, however close they lie. One class only gives NULL.
     """
     keys = list(keys)
     group = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     steps = rows.groupBy(*group, F.col(score).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-    steps = steps.withColumn("_bin", number_bin(F.col("_s")))
-    run = running_totals(steps, group, "_bin", ["_s"], {"_cp": "_pos", "_cn": "_neg"})
+    steps = store(steps)
+    run = running_totals(steps, group, ["_s"], {"_cp": "_pos", "_cn": "_neg"})
     totals = steps.groupBy(*group).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     joined = run.join(totals, group)
     below = F.col("_cn") - F.col("_neg")

@@ -26,8 +26,7 @@ def personal_baseline(numbered: DataFrame, keys: Sequence[str], value: str, seq:
     keep = 1.0 - alpha
     size = ceil(-12.0 / log10(keep))
     present = F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long")
-    counted = numbered.withColumns({"_one": present, "_bin": F.floor(F.col(seq) / COUNT_ROWS)})
-    counted = running_totals(counted, keys, "_bin", [seq], {"_k": "_one"})
+    counted = running_totals(numbered.withColumn("_one", present), keys, [seq], {"_k": "_one"})
     start = counted.where((F.col("_one") == 1) & (F.col("_k") <= min_obs)).groupBy(*keys).agg(
         F.avg(value).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == min_obs).drop("_n")
     index = F.col("_k") - min_obs - 1

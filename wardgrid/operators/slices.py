@@ -6,7 +6,7 @@ A key may hold a large share of all rows, so nothing here orders a whole key in
   later ticks copied in, so that every bounded frame is exact inside its chunk;
 * raw readings of a key with very many rows are cut into time slices, and what crosses a slice
   border (the previous reading, a running total) is carried over from a small per-slice table;
-* running totals over everything are summed per bin first, then inside the bin.
+* running totals go by ranges between sampled splitters: each range is summed first, and what lies before it is carried in.
 """
 
 from __future__ import annotations
@@ -16,15 +16,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardgrid.session import store
+
 SLICE_ROWS = 2_000_000
+#: Rows of a range of a prefix scan, about.
+RANGE_ROWS = 500_000
 #: Bins in which the readings of a large key are counted before it is cut.
 SLICE_BINS = 65_536
 
 
 def number_bin(value: Column, per_octave: int = 256) -> Column:
-    """A bin number that never decreases when the value increases."""
+    """A bin number that never decreases when the value increases; infinite values have the outermost bins."""
     def magnitude(v: Column) -> Column:
-        return F.floor((F.log2(v) + 1100.0) * per_octave) + 1
+        return F.floor((F.least(F.log2(v), F.lit(1025.0)) + 1100.0) * per_octave) + 1
 
     return (
         F.when(value > 0, magnitude(value))
@@ -34,22 +38,27 @@ def number_bin(value: Column, per_octave: int = 256) -> Column:
     )
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], bin_: str, order: Sequence[str],
-                   totals: Mapping[str, str]) -> DataFrame:
-    """Inclusive running totals per key without ordering a key in one task.
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, str],
+                   rows: int = RANGE_ROWS) -> DataFrame:
+    """Inclusive running totals per key in the given order, as a prefix scan over ranges of about `rows` rows.
 
-    `totals` maps an output column to the summed column; `bin_` must not decrease along `order`.
+    Sampled splitters of (keys, order) cut the rows into ranges, which are written once so that a row's range is fixed. Each
+    range sums up its keys; what a key has in earlier ranges is carried into the running totals inside a range. So neither a
+    key with most rows nor a crowd of close values meets in one task; only rows equal in keys and order share a range.
+    `totals` maps an output column to the summed column. Rows equal in keys and order get their totals in any order.
     """
-    bins = df.groupBy(*keys, bin_).agg(*[F.sum(c).alias(f"_s_{o}") for o, c in totals.items()])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bin_).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = bins.select(*keys, bin_, *[
-        F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in totals])
-    inside = Window.partitionBy(*keys, bin_).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0)
-    out = df.join(offsets, [*keys, bin_])
-    return out.select(*df.columns, *[
-        (F.col(f"_o_{o}") + F.sum(c).over(inside)).alias(o) for o, c in totals.items()])
+    keys = list(keys)
+    kept = store(df)
+    ranges = max(1, -(-kept.count() // rows))
+    cut = store(kept.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())) if ranges > 1 \
+        else kept.withColumn("_range", F.lit(0))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{o}") for o, c in totals.items()])
+    carried = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in totals])
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", *[F.sum(c).over(inside).alias(f"_t_{o}") for o, c in totals.items()])
+    return local.join(carried, [*keys, "_range"]).select(
+        *df.columns, *[(F.col(f"_o_{o}") + F.col(f"_t_{o}")).alias(o) for o in totals])
 
 
 def time_slices(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = SLICE_ROWS) -> DataFrame:

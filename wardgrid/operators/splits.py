@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from wardgrid.functions.rules import case
 from wardgrid.operators.slices import running_totals
+from wardgrid.session import store
 
 
 def split_subjects(cohort: DataFrame, train: float = 0.70, validate: float = 0.15,
                    seed: int = 42) -> DataFrame:
     """(subject_id, split) with exact rounded counts (half to even), in seeded hash order.
 
-    The rank is built from counts per hash prefix, so subjects are never ordered in one task.
+    The rank is a prefix scan, so subjects are never ordered in one task.
     """
     subjects = cohort.select("subject_id").distinct().withColumn(
         "_h", F.md5(F.concat_ws("-", F.col("subject_id").cast("string"), F.lit(str(seed)))))
-    subjects = subjects.withColumns({"_bin": F.substring("_h", 1, 3), "_one": F.lit(1)})
-    ranked = running_totals(subjects, [], "_bin", ["_h", "subject_id"], {"_rank": "_one"})
-    total = subjects.groupBy("_bin").count().agg(F.sum("count").alias("_n"))
+    subjects = store(subjects.withColumn("_one", F.lit(1)))
+    ranked = running_totals(subjects, [], ["_h", "subject_id"], {"_rank": "_one"})
+    total = subjects.agg(F.count(F.lit(1)).alias("_n"))
     n_train, n_val = F.bround(F.lit(train) * F.col("_n")), F.bround(F.lit(validate) * F.col("_n"))
     bounds = total.select(n_train.alias("_n_train"), (n_train + n_val).alias("_n_val"), F.lit(1).alias("_one"))
     return ranked.join(F.broadcast(bounds), "_one").select(  # one row
