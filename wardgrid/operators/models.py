@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
+from wardgrid.operators import forests
 from wardgrid.operators.metrics import ranking_quality, threshold_metrics
 from wardgrid.session import store
 
@@ -44,13 +44,16 @@ def classify(windows: DataFrame, kind: str, split: str = "test", sample: int = 3
 
 
 def scored_facts(scored: DataFrame, kind: str, label: str = "deterioration") -> DataFrame:
-    """What any sound scoring shows: rows, positives, probabilities within 0 and 1, and metrics within their ranges."""
-    rows = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"),
-                      F.count_if(F.col("score").between(0, 1)).alias("in_range"))
-    metrics = classification_report(scored, kind)
-    sound = F.greatest(*[F.when(F.col(c).isNull() | F.col(c).between(0, 1), 0).otherwise(1) for c in metrics.columns if c != "model"]) == 0
+    """Rows, positives, probabilities within 0 and 1, and how far the report's rates are from plain averages over the rows."""
+    hit, truth = F.col("score") >= 0.5, F.col(label) == 1
+    rows = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+        F.avg((hit == truth).cast("double")).alias("_accuracy"), F.avg(F.when(hit, truth.cast("double"))).alias("_precision"),
+        F.avg(F.when(truth, hit.cast("double"))).alias("_recall"), F.lit(0).alias("_k"))
+    gaps = [F.abs(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0.0))) for c in ("accuracy", "precision", "recall")]
     # both have one row
-    return metrics.select("model", sound.alias("metrics_in_range"), F.lit(0).alias("_k")).join(rows.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return rows.join(classification_report(scored, kind).withColumn("_k", F.lit(0)), "_k").select(
+        "model", "n", "positives", "in_range", F.round(F.greatest(*gaps), 9).alias("rate_gap"))
 
 
 def evaluated(scored: DataFrame, kind: str, label: str = "deterioration") -> DataFrame:
@@ -69,21 +72,17 @@ def classification_report(scored: DataFrame, kind: str) -> DataFrame:
 
 def forest_forecasts(windows: DataFrame, split: str = "test", channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS),
                      steps: Sequence[int] = (1, 2, 3, 4), trees: int = 30, depth: int = 8) -> DataFrame:
-    """One forest per channel and step (a fixed, small number), each fitted on all train rows.
+    """One forest for all channels and steps, fitted on all train rows; targets that were not observed take no part.
 
     Rows (stay_id, tick, channel, step, y, p) of the valid future points of the wanted split.
     """
-    flat = as_vectors(windows).select("stay_id", "tick", "split", "features", "forecast", "forecast_mask")
-    train = store(flat.where("split = 'train'"))
-    test = store(flat.where(F.col("split") == split))  # read once per model
-    out = None
-    for i, c in enumerate(channels):
-        for k in steps:
-            label = F.col("forecast")[k - 1][fx.FORECAST_CHANNELS.index(c)]
-            model = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=depth, seed=42).fit(
-                train.withColumn("y", label))
-            rows = model.transform(test.withColumn("y", label)).where(
-                F.col("forecast_mask")[k - 1][fx.FORECAST_CHANNELS.index(c)] == 1).select(
-                "stay_id", "tick", F.lit(c).alias("channel"), F.lit(k).alias("step"), "y", F.col("prediction").alias("p"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    kept = store(windows.select("stay_id", "tick", "split", "X", F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask")))
+    width = len(fx.FORECAST_CHANNELS)
+    outputs = width * (max(steps) if kept.isEmpty() else kept.select(F.size("y")).first()[0] // width)
+    fitted = forests.fit(kept.where("split = 'train'"), F.xxhash64("stay_id", "tick"), F.col("y"), F.col("mask"), outputs, trees, depth)
+    test = kept.where(F.col("split") == split)
+    scored = forests.predicted(test, *fitted) if fitted else test.withColumn("predicted", F.array_repeat(F.lit(0.0), outputs))
+    cells = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("step"), *[
+        F.col(v)[(k - 1) * width + fx.FORECAST_CHANNELS.index(c)].alias(n) for v, n in (("y", "y"), ("predicted", "p"), ("mask", "_m"))])
+        for c in channels for k in steps]
+    return scored.select("stay_id", "tick", F.explode(F.array(*cells)).alias("c")).where("c._m = 1").select("stay_id", "tick", "c.*").drop("_m")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardgrid.functions import fixed_values as fx
 from wardgrid.functions.rules import unpivot_numbers
 from wardgrid.operators.quantiles import exact_quantiles
+from wardgrid.session import store
 
 
 def clip_channels(df: DataFrame) -> DataFrame:
@@ -40,13 +41,15 @@ def scaler_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scaler:
-    """Fitted statistics: one small row per column."""
+    """Fitted statistics: one small row per column; `seen` holds the subjects of the fitted rows, for audits."""
 
     stats: dict[str, tuple[float, float, float]]
+    seen: DataFrame | None = field(default=None, compare=False)
 
     @classmethod
     def fit(cls, train: DataFrame, columns: Sequence[str] = tuple(fx.FEATURES)) -> Scaler:
-        return cls.from_table(scaler_stats(train, columns))
+        seen = store(train.select("subject_id").distinct()) if "subject_id" in train.columns else None
+        return replace(cls.from_table(scaler_stats(train, columns)), seen=seen)
 
     @classmethod
     def from_table(cls, table: DataFrame) -> Scaler:

@@ -147,12 +147,22 @@ def name_items(observations: DataFrame, items: Mapping[int, str]) -> DataFrame:
     )
 
 
-def tick_means(named: DataFrame, key: str, channels: Sequence[str], spec: GridSpec) -> DataFrame:
-    """Mean per (key, tick), one column per channel; partial sums are combined before the shuffle."""
+def tick_means(named: DataFrame, key: str, channels: Sequence[str], spec: GridSpec, sources: bool = False) -> DataFrame:
+    """Mean per (key, tick), one column per channel; partial sums are combined before the shuffle.
+
+    With `sources`, `src_<channel>` is the time of the newest reading in the mean, in microseconds.
+    """
+    newest = [F.expr(f"max(CASE WHEN channel = '{c}' AND valuenum IS NOT NULL THEN unix_micros(charttime) END) AS {source(c)}")
+              for c in channels] if sources else []
     ticked = named.where("charttime IS NOT NULL").withColumn(
         "tick", floor_to(F.col("charttime"), spec.step))
     return ticked.groupBy(key, "tick").agg(*[
-        F.expr(f"avg(CASE WHEN channel = '{c}' THEN valuenum END) AS {c}") for c in channels])
+        F.expr(f"avg(CASE WHEN channel = '{c}' THEN valuenum END) AS {c}") for c in channels], *newest)
+
+
+def source(channel: str) -> str:
+    """Column with the time of the newest reading behind a channel's value."""
+    return f"src_{channel}"
 
 
 def week_of(second: Column) -> Column:
@@ -195,25 +205,41 @@ def stack(grid: DataFrame, parts: Sequence[DataFrame], spec: GridSpec,
     return Timeline(tied.where("core IS NOT NULL"), spec)
 
 
-def fill_and_mask(t: Timeline) -> Timeline:
-    """Masks first (1 observed, 0 missing), then carry forward up to the channel's step limit."""
+def fill_and_mask(t: Timeline, frame: str = SO_FAR) -> Timeline:
+    """Masks first (1 observed, 0 missing), then carry forward up to the channel's step limit.
+
+    A value's source time goes with it where the timeline has one. `frame` is where a value is looked for.
+    """
     spec = t.spec
-    kept = [c for c in t.df.columns if c not in spec.channels]
+    traced = [c for c in spec.channels if source(c) in t.df.columns]
+    kept = [c for c in t.df.columns if c not in spec.channels and c not in map(source, traced)]
     seen = t.df.selectExpr("*", *[
-        f"last(CASE WHEN {c} IS NOT NULL THEN struct(tick, {c}) END, true) OVER ({SO_FAR}) AS _last_{c}"
+        f"last(CASE WHEN {c} IS NOT NULL THEN struct(tick, {c}{', ' + source(c) if c in traced else ''}) END, true) OVER ({frame}) AS _last_{c}"
         for c in spec.channels])
+
+    def carried(c: str, name: str) -> str:
+        return f"CASE WHEN tick - _last_{c}.tick <= {spec.fill_steps(c) * spec.step} THEN _last_{c}.{name} END AS {name}"
     return t.with_df(seen.selectExpr(
-        *kept,
-        *[f"CASE WHEN tick - _last_{c}.tick <= {spec.fill_steps(c) * spec.step} THEN _last_{c}.{c} END AS {c}"
-          for c in spec.channels],
+        *kept, *[carried(c, c) for c in spec.channels], *[carried(c, source(c)) for c in traced],
         *[f"CAST({c} IS NOT NULL AS DOUBLE) AS mask_{c}" for c in spec.channels]))
 
 
+def add_provenance(t: Timeline) -> Timeline:
+    """`newest_source`: the newest reading behind any value of the history that ends at a tick; `target_tick`: the first tick ahead."""
+    names = [source(c) for c in t.spec.channels if source(c) in t.df.columns]
+    row = f"greatest({', '.join(names)})" if len(names) > 1 else names[0]
+    return t.with_df(t.df.selectExpr(
+        "*", f"max({row}) OVER ({TICKS} ROWS BETWEEN {t.spec.history - 1} PRECEDING AND CURRENT ROW) AS newest_source",
+        f"min(tick) OVER ({TICKS} ROWS BETWEEN 1 FOLLOWING AND {t.spec.horizon} FOLLOWING) AS target_tick"))
+
+
 def chunked_timeline(stays: DataFrame, vitals: DataFrame, labs: DataFrame, spec: GridSpec,
                      extra: Sequence[DataFrame] = (), sums: Sequence[str] = (),
-                     stored: bool = False) -> Timeline:
+                     stored: bool = False, sources: bool = False, frame: str = SO_FAR) -> Timeline:
     """Grid, vitals (by stay), labs (by subject) and any extra parts as one filled timeline.
 
+    With `sources`, each channel carries the time of the reading it came from; `frame` is that of `fill_and_mask`.
+
     With `stored`, the stacked rows are written once before the fill: right for plans with several
     readers (features, scaler, windows), since the grid is far smaller than the readings.
     """
@@ -221,11 +247,11 @@ def chunked_timeline(stays: DataFrame, vitals: DataFrame, labs: DataFrame, spec:
     grid = grid_ticks(grid_chunks(bounds, spec), spec)
     vital_names = [c for c in fx.VITAL_CHANNELS if c in spec.channels]
     lab_names = [c for c in fx.LAB_CHANNELS if c in spec.channels]
-    vital_rows = tick_means(name_items(vitals, fx.VITAL_ITEMS), "stay_id", vital_names, spec)
+    vital_rows = tick_means(name_items(vitals, fx.VITAL_ITEMS), "stay_id", vital_names, spec, sources)
     lab_rows = labs_per_stay(
-        tick_means(name_items(labs, fx.LAB_ITEMS), "subject_id", lab_names, spec), bounds)
+        tick_means(name_items(labs, fx.LAB_ITEMS), "subject_id", lab_names, spec, sources), bounds)
     t = stack(grid, [vital_rows, lab_rows, *extra], spec, sums)
-    return fill_and_mask(t.stored() if stored else t)
+    return fill_and_mask(t.stored() if stored else t, frame)
 
 
 def align(stays: DataFrame, vitals: DataFrame, labs: DataFrame, spec: GridSpec) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
 from wardgrid.operators import audits as au
+from wardgrid.operators import features as feat
 from wardgrid.operators import metrics as me
 from wardgrid.operators import models as mo
 from wardgrid.operators import monitoring as mn
@@ -15,9 +16,11 @@ from wardgrid.operators import windows as win
 from wardgrid.operators.features import rolling_stats
 from wardgrid.operators.scaling import Scaler
 from wardgrid.operators.slices import with_sequence_number
+from wardgrid.operators.timeline import SO_FAR, TICKS, add_provenance
 from wardgrid.plans import testmodel as tm
 from wardgrid.plans.testmodel import SPEC, with_sql
 from wardgrid.session import store
+from wardgrid.sources.tables import LABEL_ONLY_TABLES
 from wardgrid.plans.timeline_queries import (
     ALIGNED, SPLIT_SQL, STEP, TARGETED, _W, build_windows, r6, splits, timeline, windows,
 )
@@ -194,7 +197,7 @@ def moving_average_forecast(spark, d):
 
 def _facts_sql(kind: str) -> str:
     return TARGETED + f"""
-SELECT '{kind}' AS model, true AS metrics_in_range, count(*) AS n, sum(deterioration)::BIGINT AS positives, count(*) AS in_range
+SELECT '{kind}' AS model, count(*) AS n, sum(deterioration)::BIGINT AS positives, count(*) AS in_range, 0e0 AS rate_gap
 FROM windows WHERE split = 'test' AND deterioration_mask = 1"""
 
 
@@ -210,15 +213,17 @@ def forest_baseline(spark, d):
 
 @query("forest_forecast", ALIGNED + "," + SPLIT_SQL + _MED_SQL + _POINTS_SQL + """
 , t AS (SELECT p.* FROM pts p JOIN stays s USING (stay_id) JOIN splits x ON x.subject_id = s.subject_id AND x.split = 'test')
-SELECT channel, step, count(*) AS n, round(sum(y), 3) AS sum_y, count(*) AS within_train FROM t GROUP BY channel, step""")
+SELECT channel, step, count(*) AS n, round(sum(y), 3) AS sum_y, 0e0 AS mae_gap, 0e0 AS rmse_gap, 0e0 AS r2_gap FROM t GROUP BY channel, step""")
 def forest_forecast(spark, d):
-    """All channels and steps; a forest's means lie within the range of the labels, so bounds of the clip table hold them."""
-    low = F.create_map(*[F.lit(x) for c in fx.FORECAST_CHANNELS for x in (c, float(fx.CLIP_BOUNDS[c][0]))])
-    high = F.create_map(*[F.lit(x) for c in fx.FORECAST_CHANNELS for x in (c, float(fx.CLIP_BOUNDS[c][1]))])
-    points = mo.forest_forecasts(build_windows(spark, d))
-    inside = F.col("p").between(F.least(low[F.col("channel")], F.lit(0.0)), high[F.col("channel")] * 10)
-    return points.groupBy("channel", "step").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("sum_y"), F.count_if(inside).alias("within_train"))
+    """Rows and targets of every channel and step, and how far the errors of `forecast_errors` are from plain aggregates of the rows (y, p)."""
+    points = store(mo.forest_forecasts(build_windows(spark, d)))
+    plain = points.groupBy("channel", "step").agg(
+        F.round(F.sum("y"), 3).alias("sum_y"), F.expr("sum(greatest(p, y) - least(p, y)) / count(*)").alias("_mae"),
+        F.expr("sqrt((sum(p * p) - 2 * sum(p * y) + sum(y * y)) / count(*))").alias("_rmse"),
+        F.expr("if(count(*) > 1 AND var_pop(y) > 1e-6, 1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 0D)").alias("_r2"))
+    gap = lambda c: F.round(F.abs(F.col(c) - F.col(f"_{c}")), 5).alias(f"{c}_gap")
+    return me.forecast_errors(points, ("channel", "step")).join(plain, ["channel", "step"]).select(
+        "channel", "step", "n", "sum_y", gap("mae"), gap("rmse"), gap("r2"))
 
 
 # ---- reports: the evaluation of the three models, which no SQL can foresee; tests recompute it from the rows (y, p) ----
@@ -241,13 +246,42 @@ REPORTS = {f.__name__: f for f in (logistic_report, forest_report, forest_foreca
 
 # ---- audits --------------------------------------------------------------------------------------
 
-@query("leakage_audit", """
-SELECT r AS rule, 0::BIGINT AS violations, true AS passed FROM (SELECT unnest(['temporal_leakage', 'scaler_leakage', 'patient_leakage', 'denied_features']) AS r)""")
+RULES = ["temporal_leakage", "scaler_leakage", "patient_leakage", "denied_features", "label_only_sources"]
+
+
+def traced_windows(spark, d, frame: str = SO_FAR) -> tuple[DataFrame, Scaler, list[str]]:
+    """Windows with the provenance of their inputs, the scaler fitted on the train ticks, and the tables that the features read."""
+    plain = timeline(spark, d, treated=True, sources=True, frame=frame)
+    rows = win.window_rows(tg.add_targets(add_provenance(plain)), splits(spark, d), columns=["newest_source", "target_tick"])
+    train = plain.rows("subject_id", *fx.FORECAST_CHANNELS).join(splits(spark, d).where("split = 'train'"), "subject_id", "left_semi")
+    kept = store(rows.select("stay_id", "subject_id", "split", "tick", "newest_source", "target_tick"))
+    return kept, Scaler.fit(train, fx.FORECAST_CHANNELS), au.tables_read(feat.feature_frame(feat.add_features(plain)))
+
+
+def label_only_tables(spark, d) -> list[str]:
+    """Tables whose rows may only give labels."""
+    mapped = {"diagnoses_icd": tm.diagnoses}
+    return [t for name in sorted(LABEL_ONLY_TABLES) for t in au.tables_read(mapped[name](spark, d))]
+
+
+@query("leakage_audit", f"""
+SELECT r AS rule, 0::BIGINT AS violations, true AS passed FROM (SELECT unnest({RULES}) AS r)""")
 def leakage_audit(spark, d):
-    w = store(windows(spark, d).select("stay_id", "subject_id", "split", "tick").withColumn("target_tick", F.col("tick") + SPEC.step))
-    parts = splits(spark, d)
-    train = w.where("split = 'train'").select("subject_id")
-    return au.leakage_audit(w, parts, train, fx.FEATURES, SPEC.step)
+    w, scaler, files = traced_windows(spark, d)
+    return au.leakage_audit(w, splits(spark, d), scaler.seen, fx.FEATURES, read=files, label_only=label_only_tables(spark, d))
+
+
+_ANY_RAW = " OR ".join(f"{c} IS NOT NULL" for c in fx.CHANNELS)
+
+
+@query("leakage_audit_peeking", TARGETED + f"""
+, seen AS (SELECT stay_id, tick, lead({_ANY_RAW}) OVER (PARTITION BY stay_id ORDER BY tick) AS next_seen FROM raw)
+SELECT r AS rule, CASE WHEN r = 'temporal_leakage' THEN (SELECT count(*) FROM windows JOIN seen USING (stay_id, tick) WHERE next_seen) ELSE 0 END AS violations,
+ r <> 'temporal_leakage' OR NOT EXISTS (SELECT 1 FROM windows JOIN seen USING (stay_id, tick) WHERE next_seen) AS passed FROM (SELECT unnest({RULES}) AS r)""")
+def leakage_audit_peeking(spark, d):
+    """The same audit over a timeline whose fill looks one tick ahead: a window is late where any channel was read in its next tick."""
+    w, scaler, files = traced_windows(spark, d, f"{TICKS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING")
+    return au.leakage_audit(w, splits(spark, d), scaler.seen, fx.FEATURES, read=files, label_only=label_only_tables(spark, d))
 
 
 @query("leakage_audit_leaky", TARGETED + f"""
@@ -255,15 +289,17 @@ def leakage_audit(spark, d):
 r AS (SELECT 'temporal_leakage' AS rule, count(*) AS violations FROM l WHERE tick % {7 * STEP} = 0
  UNION ALL SELECT 'scaler_leakage', count(DISTINCT subject_id) FROM l WHERE s = 'train' AND split <> 'train'
  UNION ALL SELECT 'patient_leakage', count(*) FROM (SELECT subject_id FROM l GROUP BY 1 HAVING min(s) <> max(s))
- UNION ALL SELECT 'denied_features', 1)
+ UNION ALL SELECT 'denied_features', 1 UNION ALL SELECT 'label_only_sources', 2)
 SELECT rule, violations, violations = 0 AS passed FROM r""")
 def leakage_audit_leaky(spark, d):
-    """Windows with targets at their own tick, stays moved to train, and a score among the features."""
-    w = windows(spark, d).withColumns({
+    """Windows with targets at their own tick, stays moved to train, a score among the features, and the label tables among the files read."""
+    w, _, files = traced_windows(spark, d)
+    w = store(w.withColumns({
         "split": F.when(F.col("stay_id") % 5 == 0, "train").otherwise(F.col("split")),
-        "target_tick": F.when(F.col("tick") % (7 * STEP) == 0, F.col("tick")).otherwise(F.col("tick") + SPEC.step)})
-    w = store(w.select("stay_id", "subject_id", "split", "tick", "target_tick"))
-    return au.leakage_audit(w, splits(spark, d), w.where("split = 'train'").select("subject_id"), [*fx.FEATURES, "news2"], SPEC.step)
+        "target_tick": F.when(F.col("tick") % (7 * STEP) == 0, F.col("tick")).otherwise(F.col("target_tick"))}))
+    labels = label_only_tables(spark, d)
+    return au.leakage_audit(w, splits(spark, d), w.where("split = 'train'").select("subject_id"), [*fx.FEATURES, "news2"],
+                            read=files + labels, label_only=labels)
 
 
 @query("integrity_audit_damaged", TARGETED + """

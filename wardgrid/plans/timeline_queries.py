@@ -45,16 +45,16 @@ def classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return (tx.classify(tm.infusions(spark, d), "drug_name"), tx.classify(tm.orders(spark, d), "drug_name"))
 
 
-def timeline(spark: SparkSession, d: str, treated: bool = False, stored: bool = False) -> Timeline:
+def timeline(spark: SparkSession, d: str, treated: bool = False, stored: bool = False, **options) -> Timeline:
     obs, stays = tm.observations(spark, d), tm.stays(spark, d)
     if not treated:
-        return chunked_timeline(stays, obs, obs, SPEC, stored=stored)
+        return chunked_timeline(stays, obs, obs, SPEC, stored=stored, **options)
     bounds = stay_bounds(stays, SPEC)
     inf, orders = classified(spark, d)
     edges = tx.interval_edges(tx.stay_intervals(inf, orders, bounds), bounds, SPEC)
     started = tx.episode_per_tick(tx.episodes(inf, orders, stays), SPEC)
     t = chunked_timeline(stays, obs, obs, SPEC, [edges, started],
-                         sums=[f"_edge_{c}" for c in fx.TREATMENTS], stored=stored)
+                         sums=[f"_edge_{c}" for c in fx.TREATMENTS], stored=stored, **options)
     return tx.add_flags(t)
 
 
