@@ -187,6 +187,23 @@ def test_both_tokenizers_give_back_their_bytes():
         assert b"".join(t.a_bytes[i] for i in x) == b"".join(t.b_bytes[i] for i in y) == f" {text}".encode()
 
 
+@needs_tokenizers
+def test_the_fast_encoder_is_the_file():
+    """Letters, marks, digits and white space of all scripts, alone, doubled and beside others."""
+    t = alignment.loaded(alignment.FOLDER)
+    for low in range(0, 0x20000, 2048):
+        batch = [f" x{c}1 {c}2{c}{c}a {c} {c}  {c}\n\t{c} 's{c}" for c in map(chr, range(low, low + 2048)) if not 0xD800 <= ord(c) < 0xE000]
+        if batch:
+            assert [e.ids for e in t.a.encode_batch_fast(batch, add_special_tokens=False)] == [t.fast.encode_ordinary(x) for x in batch]
+
+
+@needs_tokenizers
+def test_very_long_white_space():
+    t = alignment.loaded(alignment.FOLDER)
+    (a,), _ = t.encode(["a" + " " * 1_000_000 + "b"])
+    assert a == [] or sum(len(t.a_bytes[i]) for i in a) == 1_000_003
+
+
 def test_merge_of_many_pages(monkeypatch):
     monkeypatch.setattr(alignment, "PAGE", 3)
     rng = np.random.default_rng(4)

@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,13 @@ from wardgrid.session import store
 
 #: Folder of the public vocabularies, on every worker.
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: How A's file cuts texts before its merges (a fixed pattern of byte-level vocabularies).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = re.compile(r"\s{5000}")
 #: Documents and bytes of text that make a run; a longer text makes one by itself.
-RUN_DOCS, RUN_BYTES = 4096, 8 << 20
+RUN_DOCS, RUN_BYTES = 2048, 4 << 20
+#: Bytes of text that are encoded and aligned at once; their links take a small part of the tokenizers' own records.
+ENCODED_BYTES = 1 << 18
 RADICES = 32
 #: Runs that one merge takes on average.
 FAN_IN = 64
@@ -41,6 +48,7 @@ class Tokenizers:
 
     def __init__(self, folder: str) -> None:
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(os.path.join(folder, A_FILE))
         self.a.encode_special_tokens = True
@@ -50,6 +58,8 @@ class Tokenizers:
         entries = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = [entries[i].encode() if i in special else bytes(byte_of[c] for c in entries[i]) if i in entries else b""
                         for i in range(max(entries) + 1)]
+        # the same vocabulary, pattern and order of merges by a faster program; its pattern fails on very long white space
+        self.fast = Encoding("a", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.a_bytes) if b and i not in special}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size = np.array([len(x) for x in self.a_bytes])
@@ -60,7 +70,7 @@ class Tokenizers:
 
     def encode(self, batch: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A of space+text and by B of text; two empty lists where either's bytes are not those of space+text."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in batch], add_special_tokens=False)]
+        a = [self.a.encode(f" {t}", add_special_tokens=False).ids if LONG_SPACE.search(t) else self.fast.encode_ordinary(f" {t}") for t in batch]
         b = self.b.encode(batch, num_threads=1)
         for i, text in enumerate(batch):
             raw = f" {text}".encode()
@@ -88,20 +98,21 @@ def aligned(t: Tokenizers, a: list[list[int]], b: list[list[int]]) -> tuple[np.n
 
     Every token has at least one byte, so one A and one B token end at a place where both do: a link for each group.
     """
-    ids_a = np.fromiter((x for d in a for x in d), np.int64)
-    ids_b = np.fromiter((x for d in b for x in d), np.int64)
+    ids_a, ids_b = [np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b)]
+    if not len(ids_a):
+        return ids_a, ids_a, ids_b, [0] * len(a), [""] * len(a)
     ends_a, ends_b = np.cumsum(t.a_size[ids_a]), np.cumsum(t.b_size[ids_b])   # over all documents, which end together
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
-    starts_a = np.concatenate([[0], np.cumsum([len(d) for d in a])])
-    doc = np.searchsorted(starts_a, last_a, "right") - 1
+    at = np.searchsorted(ends_b, ends_a)
+    final_a, final_b = ends_b[at] == ends_a, np.zeros(len(ids_b), bool)
+    last_a = np.flatnonzero(final_a)
+    last_b = at[last_a]
+    final_b[last_b] = True
+    doc = np.repeat(np.arange(len(a)), [len(d) for d in a])[last_a]
     groups = np.bincount(doc, minlength=len(a))
     # tokens in order of their group, A before B: each one's place is its own number plus those of the other side before it
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    group_a, group_b = np.cumsum(final_a) - final_a, np.cumsum(final_b) - final_b
     before_b = np.concatenate([[0], last_b + 1])
     order = np.empty(len(ids_a) + len(ids_b), np.int64)
-    final_a, final_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
-    final_a[last_a], final_b[last_b] = True, True
     na, nb = len(t.a_bytes), len(t.b_bytes)
     order[np.arange(len(ids_a)) + before_b[group_a]] = ids_a + na * final_a
     order[np.arange(len(ids_b)) + (last_a + 1)[group_b]] = 2 * na + ids_b + nb * final_b
@@ -133,7 +144,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 
 def runs_of(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(radix, run): pairs in B-major order, how many documents hold each, those documents and how often each does."""
-    key = b << 32 | a
+    key = b.astype(np.int64) << 32 | a
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
@@ -166,32 +177,41 @@ def spilled(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
             if schema is None:
                 schema = pa.schema([("run", pa.int64()), ("radix", pa.int32()), ("doc", pa.int32()), ("doc_id", batch.schema.field("doc_id").type),
                                     *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("records", pa.binary())])
-            for low, high in _pieces(column):
-                a, b = t.encode(column.slice(low, high - low).fill_null("").to_pylist())
-                doc, link_a, link_b, groups, digests = aligned(t, a, b)
-                n, runs = high - low, list(runs_of(doc, link_a, link_b))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for low, high in _pieces(sizes, 0, len(sizes), RUN_DOCS, RUN_BYTES):
+                links: list[tuple] = []
+                n_a, n_b, groups, digests = [], [], [], []
+                for first, stop in _pieces(sizes, low, high, RUN_DOCS, ENCODED_BYTES):
+                    a, b = t.encode(column.slice(first, stop - first).fill_null("").to_pylist())
+                    doc, link_a, link_b, g, d = aligned(t, a, b)
+                    links.append(((doc + first - low).astype(np.int32), link_a.astype(np.int32), link_b.astype(np.int32)))
+                    n_a += map(len, a)
+                    n_b += map(len, b)
+                    groups += g
+                    digests += d
+                n, runs = high - low, list(runs_of(*map(np.concatenate, zip(*links, strict=True))))
                 nothing = [None] * len(runs)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number] * (n + len(runs)), pa.int64()), pa.array([-1] * n + [r for r, _ in runs], pa.int32()),
                     pa.array([*range(n), *nothing], pa.int32()),
                     pa.concat_arrays([batch.column("doc_id").slice(low, n), pa.nulls(len(runs), batch.schema.field("doc_id").type)]),
-                    *[pa.array([*values, *nothing], pa.int64()) for values in ([len(x) for x in a], [len(x) for x in b], groups, groups)],
+                    *[pa.array([*values, *nothing], pa.int64()) for values in (n_a, n_b, groups, groups)],
                     pa.array([*digests, *nothing], pa.string()), pa.array([None] * n + [r for _, r in runs], pa.binary())], schema=schema)
                 number += 1
 
     return store(documents.select("doc_id", "text").mapInArrow(run, _SPILL.format(kind=kind)))
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of RUN_DOCS texts and about RUN_BYTES bytes at most; a longer text is one."""
-    low, held = 0, 0
-    for row, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
-        if row > low and (held + size > RUN_BYTES or row - low >= RUN_DOCS):
+def _pieces(sizes: np.ndarray, low: int, stop: int, docs: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the rows low to stop with `docs` texts and about `most` bytes at most; a longer text is one."""
+    held = 0
+    for row, size in enumerate(sizes[low:stop].tolist(), low):
+        if row > low and (held + size > most or row - low >= docs):
             yield low, row
             low, held = row, 0
         held += size
-    if low < len(column):
-        yield low, len(column)
+    if low < stop:
+        yield low, stop
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
