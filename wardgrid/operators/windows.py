@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
@@ -18,16 +18,29 @@ TARGETS = ["deterioration", "deterioration_mask", "risk_tier", "abnormal_steps",
            "delta_risk"]
 
 
-def with_history(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.FEATURES)) -> Timeline:
-    """Add X: the last `history` ticks of the standardised features, oldest first, as floats."""
+def with_history(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.FEATURES), keep: Column | None = None) -> Timeline:
+    """Add X: the last `history` ticks of the standardised features, oldest first, as floats.
+
+    The ticks of a chunk become one array, and X a slice of it, which is made only for the ticks that `keep` (all core
+    ticks without it); other ticks, the halo's among them, drop out.
+    """
     touched = [c for c in t.df.columns if c in fx.CLIP_BOUNDS or c in columns]
     others = [c for c in t.df.columns if c not in touched]
     kept = t.df.selectExpr(*others, *touched, *[f"{c} AS _raw_{c}" for c in touched])
     row = ", ".join(f"CAST({c} AS FLOAT)" for c in columns)
     scaled = scaler.transform(kept, columns).selectExpr(
         *others, *[f"_raw_{c} AS {c}" for c in touched], f"array({row}) AS _row")
-    frame = f"{TICKS} ROWS BETWEEN {t.spec.history - 1} PRECEDING AND CURRENT ROW"
-    return t.with_df(scaled.selectExpr("*", f"collect_list(_row) OVER ({frame}) AS X").drop("_row"))
+    wanted = F.col("core") & (F.lit(True) if keep is None else keep)
+    rest = [c for c in t.df.columns if c not in ("stay_id", "chunk", "tick")]
+    # what a dropped tick carries is only its row
+    ticks = scaled.select("stay_id", "chunk", F.struct(
+        "tick", "_row", F.when(F.coalesce(wanted, F.lit(False)), F.struct(*rest)).alias("_rest")).alias("_tick"))
+    chunks = ticks.groupBy("stay_id", "chunk").agg(F.sort_array(F.collect_list("_tick")).alias("_ticks"))
+    made = chunks.selectExpr("stay_id", "chunk", f"""explode(transform(
+        filter(sequence(1, size(_ticks)), i -> _ticks[i - 1]._rest IS NOT NULL),
+        i -> struct(_ticks[i - 1].tick AS tick, _ticks[i - 1]._rest AS rest, transform(
+            slice(_ticks, greatest(i - {t.spec.history - 1}, 1), least(i, {t.spec.history})), r -> r._row) AS X))) AS w""")
+    return t.with_df(made.select("stay_id", "chunk", "w.tick", "w.rest.*", "w.X"))
 
 
 def long_enough(t: Timeline) -> Timeline:

@@ -253,7 +253,7 @@ def traced_windows(spark, d, frame: str = SO_FAR) -> tuple[DataFrame, Scaler, li
     """Windows with the provenance of their inputs, the scaler fitted on the train ticks, and the tables that the features read."""
     plain = timeline(spark, d, treated=True, sources=True, frame=frame)
     rows = win.window_rows(tg.add_targets(add_provenance(plain)), splits(spark, d), columns=["newest_source", "target_tick"])
-    train = plain.rows("subject_id", *fx.FORECAST_CHANNELS).join(splits(spark, d).where("split = 'train'"), "subject_id", "left_semi")
+    train = store(plain.rows("subject_id", *fx.FORECAST_CHANNELS).join(splits(spark, d).where("split = 'train'"), "subject_id", "left_semi"))
     kept = store(rows.select("stay_id", "subject_id", "split", "tick", "newest_source", "target_tick"))
     return kept, Scaler.fit(train, fx.FORECAST_CHANNELS), au.tables_read(feat.feature_frame(feat.add_features(plain)))
 

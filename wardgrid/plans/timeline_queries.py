@@ -479,12 +479,28 @@ def window_dataset(spark, d):
         F.round(F.col("X")[23][at("ema_map")].cast("double"), 3).alias("newest_ema_map"))
 
 
+@query("window_cells", FEATURED + "," + SCALER_SQL + "," + TARGET_SQL + f"""
+, norm AS (SELECT stay_id, tick, {_NORM} FROM clipped c),
+tall AS (UNPIVOT (SELECT stay_id, tick, {', '.join(f'{c}::FLOAT::DOUBLE AS {c}' for c in fx.FEATURES)} FROM norm)
+  ON {', '.join(fx.FEATURES)} INTO NAME feature VALUE v),
+lags AS (SELECT stay_id, tick, split, unnest(range(24)) AS step FROM windows)
+SELECT split, step::INT AS step, feature, count(*) AS n, round(sum(v), 3) AS total, round(min(v), 4) AS low, round(max(v), 4) AS high
+FROM lags l JOIN tall x ON x.stay_id = l.stay_id AND x.tick = l.tick - (23 - l.step) * {STEP} GROUP BY ALL""")
+def window_cells(spark, d):
+    """Every cell of the history matrices, summed up by split, step and feature."""
+    names = F.array(*map(F.lit, fx.FEATURES))
+    rows = build_windows(spark, d).select("split", F.posexplode("X").alias("step", "row"))
+    cells = rows.select("split", "step", F.posexplode("row").alias("f", "v")).select("split", "step", F.get(names, "f").alias("feature"), F.col("v").cast("double"))
+    return cells.groupBy("split", "step", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"))
+
+
 def build_windows(spark: SparkSession, d: str) -> DataFrame:
     """The full window dataset: features, train-only scaler, history matrix, targets, split."""
     t = win.long_enough(timeline(spark, d, treated=True, stored=True))
     t = win.assigned(tg.add_targets(feat.add_features(t)), splits(spark, d)).stored()
     scaler = Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
-    return win.window_rows(win.with_history(t, scaler), columns=["X"])
+    return win.window_rows(win.with_history(t, scaler, keep=tg.is_window(t)), columns=["X"])
 
 
 @query("validity_report", TARGETED + """
