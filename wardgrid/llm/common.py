@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardgrid.operators.slices import running_totals
 from wardgrid.session import store
 
 #: A side is broadcast only if it was counted and holds at most so many rows (of a few dozen bytes each).
@@ -44,23 +45,41 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Most bins of an id range; their table of a few dozen bytes a row is broadcast.
-MOST_BINS = 200_000
+#: Most ranges of ids; their first ids, eight bytes each, are part of the plan.
+MOST_RANGES = 200_000
 
 
-def in_blocks(df: DataFrame, size: Column, each: int) -> tuple[DataFrame, int]:
-    """`df` with `block`, and the number of blocks: ranges of doc_id in ascending order with about `each` of `size` in sum.
+def id_ranges(ids: DataFrame, size: Column, each: int) -> list[int]:
+    """The first ids, ascending, of ranges of doc_id with about `each` of `size` in sum; all rows of an id are in one range.
 
-    Ids are counted in MOST_BINS bins of equal width at most, and whole bins are joined to blocks; only the table of
-    bins is broadcast.
+    Sizes are totalled by a prefix scan over sampled ranges, and ids are only compared, so neither extreme nor crowded ids
+    matter. One row for each range reaches the driver, MOST_RANGES at most: beyond that the ranges grow.
     """
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
+    per = store(ids.groupBy("doc_id").agg(F.sum(size).cast("long").alias("size")))
+    total = per.agg(F.sum("size")).first()[0] or 0
+    each = max(each, -(-total // MOST_RANGES))
+    scan = running_totals(per, [], ["doc_id"], {"upto": "size"})
+    return sorted(r.first for r in scan.groupBy(F.floor((F.col("upto") - F.col("size")) / each).alias("range")).agg(F.min("doc_id").alias("first")).collect())
+
+
+def _firsts(ranges: list[int]) -> str:
+    return f"cast(split('{','.join(map(str, ranges))}', ',') as array<bigint>)"
+
+
+def range_of(ranges: list[int], name: str = "doc_id") -> Column:
+    """Number of the range of an id, from 0, by binary search in the first ids; null for a null id."""
+    steps = len(ranges).bit_length()
+    return F.expr(f"if({name} is null, null, cast(aggregate(sequence({steps - 1}, 0, -1), 0, (p, k) -> "
+                  f"if(get({_firsts(ranges)}, p + shiftleft(1, k) - 1) <= {name}, p + shiftleft(1, k), p)) - 1 as bigint))")
+
+
+def first_of(ranges: list[int], number: str) -> Column:
+    return F.expr(f"get({_firsts(ranges)}, cast({number} as int))")
+
+
+def in_blocks(df: DataFrame, size: Column, each: int) -> tuple[DataFrame, int]:
+    """`df` with `block`, and the number of blocks: ranges of doc_id in ascending order with about `each` of `size` in sum."""
+    ranges = id_ranges(df.select("doc_id", size.alias("size")), F.col("size"), each)
+    if not ranges:
         return df.withColumn("block", F.lit(0).cast("long")), 1
-    width = max(1, -(-(high - low + 1) // MOST_BINS))
-    at = F.expr(f"(doc_id - {low}L) div {width}L")
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = store(df.groupBy(at.alias("bin")).agg(F.sum(size).alias("size"))
-                 .select("bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / each).cast("long").alias("block")))
-    blocks = bins.agg(F.max("block")).first()[0] + 1
-    return df.withColumn("bin", at).join(F.broadcast(bins), "bin").drop("bin"), blocks
+    return df.withColumn("block", range_of(ranges)), len(ranges)

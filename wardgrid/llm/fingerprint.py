@@ -10,17 +10,15 @@ standard error sqrt(j (1 - j) / n).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardgrid.llm.common import small_or_plain
+from wardgrid.llm.common import first_of, id_ranges, range_of
 from wardgrid.session import store
 
 SAMPLES = 48
-#: Rows of a bin of the document order, and the most bins (their first ids are broadcast).
-BIN_ROWS, MOST_BINS = 2_000, 200_000
+#: Rows of a range of the document order, about.
+BIN_ROWS = 2_000
 WORD_BREAKS = r"[ \\t-\\r]+"
 
 
@@ -72,24 +70,15 @@ def likeness(a: str, b: str) -> Column:
 def with_next(documents: DataFrame) -> DataFrame:
     """(doc_id, th, text, next_id, next_th, next_text): each document beside the next in doc_id order, the first after the last.
 
-    Ids fall into bins of equal width; the first row of each bin is a guest at the end of the bin before, so every row
-    meets its successor inside one bin and texts are shuffled once.
+    Ids fall into ranges of about BIN_ROWS rows; the first id of each range is a guest at the end of the range before, so
+    every row meets its successor inside one range and texts are shuffled once. Ids may be any whole numbers.
     """
     docs = documents.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    low, high, n = documents.select(F.col("doc_id").cast("long").alias("d")).agg(F.min("d"), F.max("d"), F.count("d")).first()
-    bins = min(MOST_BINS, max(1, math.ceil((n or 0) / BIN_ROWS)))
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / bins))
-    docs = docs.withColumn("bin", F.expr(f"(doc_id - {low or 0}L) div {width}L"))
-    # one row per bin, MOST_BINS at most
-    firsts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d")).groupBy(
-        F.expr(f"(d - {low or 0}L) div {width}L").alias("bin")).agg(F.min("d").alias("first_id"))
-    order = Window.orderBy("bin")
-    last_bin = Window.orderBy(F.desc("bin"))
-    firsts = store(firsts.select("bin", "first_id", F.coalesce(F.lag("bin").over(order), F.first("bin").over(last_bin)).alias("prev_bin")))
-    placed = (docs.join(F.broadcast(firsts), "bin")
+    ranges = id_ranges(docs.select("doc_id"), F.lit(1), BIN_ROWS) or [0]
+    placed = (docs.withColumn("bin", range_of(ranges)).withColumn("first_id", first_of(ranges, "bin"))
               .withColumn("place", F.explode(F.expr(
-                  "if(doc_id = first_id, array(struct(bin as b, 0 as guest), struct(prev_bin as b, 1 as guest)), "
+                  f"if(doc_id = first_id, array(struct(bin as b, 0 as guest), struct(pmod(bin - 1, {len(ranges)}L) as b, 1 as guest)), "
                   "array(struct(bin as b, 0 as guest)))")))
               .select("doc_id", "th", "text", F.col("place.b").alias("b"), F.col("place.guest").alias("guest")))
     w = Window.partitionBy("b").orderBy("guest", "doc_id", "th")
