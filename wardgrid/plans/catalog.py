@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from wardgrid.plans import (
-    evaluation_queries, profile_queries, scoring_queries, source_queries, stream_queries,
+    evaluation_queries, profile_queries, roundtrip_queries, scoring_queries, source_queries, stream_queries,
     timeline_queries,
 )
 
 MODULES = [timeline_queries, profile_queries, scoring_queries, source_queries, evaluation_queries,
-           stream_queries]
+           stream_queries, roundtrip_queries]
 
 
 def queries() -> dict:

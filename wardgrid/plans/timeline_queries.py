@@ -412,11 +412,11 @@ def split_verification(spark, d):
     return sp.verify_split(_leaky(spark, d))
 
 
-@query("subject_sets", f"WITH {_LEAKY}" + """
-SELECT subject_id FROM labelled WHERE split = 'train' INTERSECT SELECT subject_id FROM labelled WHERE split = 'validate'""")
+@query("subject_sets", """
+SELECT o_custkey AS subject_id FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1""")
 def subject_sets(spark, d):
-    rows = _leaky(spark, d)
-    return sp.shared_subjects(rows.where("split = 'train'"), rows.where("split = 'validate'"))
+    o = tm.load(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), "o_orderkey")
+    return sp.shared_subjects(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"))
 
 
 # ---- targets and windows ---------------------------------------------------------------------

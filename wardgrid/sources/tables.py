@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
+from wardgrid.session import store
 
 log = logging.getLogger(__name__)
 
@@ -33,6 +36,8 @@ SCHEMAS = {
 }
 # Discharge diagnoses are known only after a stay: for labels, never for features.
 LABEL_ONLY_TABLES = {"diagnoses_icd"}
+#: Column of a line that does not fit the schema.
+BAD = "_bad_line"
 CORE_TABLES = ["hosp/patients", "hosp/admissions", "icu/icustays", "icu/d_items", "hosp/d_labitems"]
 
 
@@ -41,9 +46,14 @@ class TableNotFound(FileNotFoundError):
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Ask the path's own file system, so that shared storage works like a local folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Ask Spark's reader, so that shared storage works like a local folder."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def find(spark: SparkSession, root: str, table: str) -> str:
@@ -59,6 +69,11 @@ def missing_columns(header: Sequence[str], table: str) -> list[str]:
     return [c for c in fx.EXPECTED_COLUMNS.get(table, []) if c not in header]
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    first = spark.read.text(path).first()  # the header line only
+    return [h.strip().strip('"') for h in first[0].split(",")] if first else []
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A table by its fixed schema; expected columns that the file lacks are warned about and NULL.
 
@@ -66,8 +81,7 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     """
     path = find(spark, root, table)
     name = table.rsplit("/", 1)[-1]
-    first = spark.read.text(path).first()  # the header line only
-    header = [h.strip().strip('"') for h in first[0].split(",")] if first else []
+    header = _header(spark, path)
     lacking = missing_columns(header, name)
     if lacking:
         log.warning("table %s lacks expected columns %s", name, lacking)
@@ -79,6 +93,38 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(wanted.get(c, "string")) for c in lacking}) if lacking else df
 
 
+@dataclass(frozen=True)
+class Checked:
+    """A table read with care: its sound rows, the lines that do not fit the schema, and how the columns differ."""
+
+    rows: DataFrame
+    quarantine: DataFrame       # (line)
+    drift: DataFrame            # (column_name, state): missing, unexpected or moved
+
+
+def read_checked(spark: SparkSession, root: str, table: str) -> Checked:
+    """`read`, but a line whose values do not fit the schema goes whole to the quarantine instead of losing values.
+
+    The file is parsed once, into the shared folder. A column is moved when the expected columns that the file has come in
+    another order than expected.
+    """
+    path, name = find(spark, root, table), table.rsplit("/", 1)[-1]
+    header = _header(spark, path)
+    wanted = dict(part.strip().rsplit(" ", 1) for part in SCHEMAS[name].split(","))
+    expected = fx.EXPECTED_COLUMNS.get(name, list(wanted))
+    schema = ", ".join(f"`{h}` {wanted.get(h, 'string')}" for h in header)
+    parsed = store(spark.read.schema(f"{schema}, `{BAD}` string").option("header", True).option("quote", '"').option("escape", '"')
+                   .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path))
+    lacking = missing_columns(header, name)
+    there = [c for c in header if c in expected]
+    moved = [c for c, e in zip(there, [c for c in expected if c in there], strict=True) if c != e]
+    states = [(c, "missing") for c in lacking] + [(c, "unexpected") for c in header if c not in wanted] + [(c, "moved") for c in moved]
+    rows = parsed.where(F.col(BAD).isNull()).drop(BAD)
+    return Checked(rows.withColumns({c: F.lit(None).cast(wanted.get(c, "string")) for c in lacking}) if lacking else rows,
+                   parsed.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line")),
+                   spark.createDataFrame(states, "column_name string, state string"))
+
+
 def read_core(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {t.rsplit("/", 1)[-1]: read(spark, root, t) for t in CORE_TABLES}
 
@@ -123,8 +169,3 @@ def latest_store(df: DataFrame) -> DataFrame:
     best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*[
         c for c in ("storetime", "event_id") if c in rest])).alias("_r"))
     return best.select(*key, "_r.*").select(*df.columns)
-
-
-def write_parquet(df: DataFrame, path: str, partition: Sequence[str] = ("itemid",)) -> None:
-    """Columnar copy for repeated filtered scans; readers prune partitions and row groups."""
-    df.repartition(*partition).write.mode("overwrite").partitionBy(*partition).parquet(path)
