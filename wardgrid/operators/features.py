@@ -15,8 +15,9 @@ from wardgrid.operators.timeline import (
     EMA_LOOK_BACK, SO_FAR, TICKS, Timeline, over_ticks,
 )
 
-#: Digits that a running product may lose before a new block starts; doubles hold 300.
-PRODUCT_DIGITS = 250.0
+#: Digits that a running product may lose before a new block starts; doubles hold 307. At the default span a block is longer
+#: than a chunk with its halo, so that nothing is chained.
+PRODUCT_DIGITS = 280.0
 
 
 def add_shock_index(t: Timeline) -> Timeline:

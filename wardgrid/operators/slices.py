@@ -64,12 +64,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], tot
 def time_slices(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = SLICE_ROWS) -> DataFrame:
     """Add `_slice`: 0 for ordinary keys, a time-slice number for keys above `max_rows` rows.
 
-    A large key's readings are counted in SLICE_BINS bins of equal width, and a new slice starts as soon as the bins before
+    One narrow count looks for large keys; without any, rows are neither joined nor binned. A large key's readings are counted in SLICE_BINS bins of equal width, and a new slice starts as soon as the bins before
     hold another `max_rows`, so a burst is cut as finely as its bins allow. Missing times come first. The table
     of large keys is tiny (total rows / max_rows at most); adaptive execution measures it and broadcasts it only
     while it is small.
     """
     keys = list(keys)
+    if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).isEmpty():
+        return df.withColumns({"_slice": F.lit(0).cast("long"), "_large": F.lit(False)})
     micros = F.unix_micros(F.col(time))
     large = (
         df.where(F.col(time).isNotNull())

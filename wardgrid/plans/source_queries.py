@@ -73,6 +73,23 @@ def report_labels_clinical(spark, d):
     return studies.with_report_labels(docs).drop("report_text")
 
 
+_MENTIONS = ["pneumonia", "pleural effusion", "atelectasis", "consolidation", "pulmonary edema", "pneumothorax", "cardiomegaly"]
+_COLUMNS = ["pneumonia", "pleural_effusion", "atelectasis", "consolidation", "edema", "pneumothorax", "cardiomegaly"]
+_I, _J = "o_custkey % 7", "(o_custkey + o_orderkey) % 7"
+
+
+@query("report_labels_built", "SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN ({_I} = {k} AND o_orderkey % 2 = 0) OR ({_J} = {k} AND o_custkey % 2 = 0) THEN 1e0 ELSE 0e0 END AS {c}" for k, c in enumerate(_COLUMNS))
+    + ", CASE WHEN o_orderkey % 2 = 1 AND o_custkey % 2 = 1 THEN 1e0 ELSE 0e0 END AS no_finding FROM orders")
+def report_labels_built(spark, d):
+    """Reports made of each order's own columns: two findings, each plain or denied, by the clinical patterns."""
+    names = "array(" + ", ".join(f"'{m}'" for m in _MENTIONS) + ")"
+    text = (f"concat('Order of ', o_orderpriority, '. ', if(o_orderkey % 2 = 0, 'There is ', 'No evidence of '), {names}[cast({_I} as int)], "
+            f"'. Status ', o_orderstatus, if(o_custkey % 2 = 0, '; stable ', '; lungs without '), {names}[cast({_J} as int)], '.')")
+    rows = tm.load(spark, d, "orders").select("o_orderkey", F.expr(text).alias("report_text"))
+    return studies.with_report_labels(rows).drop("report_text")
+
+
 _UNC = "CASE doc_id % 4 WHEN 0 THEN -1 WHEN 1 THEN NULL ELSE quality END"
 
 
