@@ -12,10 +12,11 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.llm.bytesets import U64, mixed, texts
@@ -54,28 +55,48 @@ def content_rows(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def metadata_rows(raw: np.ndarray, ends: np.ndarray, lang: list, source: list) -> np.ndarray:
-    """(document, SHAPES + NAMES): length, lines, shares of kinds of bytes, and hashed language and source."""
-    out = np.zeros((len(ends) - 1, SHAPES + NAMES), np.float32)
-    for k in range(len(ends) - 1):
-        own = raw[ends[k]: ends[k + 1]]
-        n = len(own)
-        if n:
-            share = np.bincount(_KIND[own], minlength=8) / n
-            blanks = share[4] + share[5]
-            lines = 1 + int((own == 10).sum())
-            odd = share[6] - _PLAIN[own].mean()
-            kind = _KIND[own]
-            split = own.tobytes().split()
-            starts = ((kind[1:] < 4) | (kind[1:] == 7)) & ((kind[:-1] == 4) | (kind[:-1] == 5))
-            out[k, :SHAPES] = [np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, *(np.sqrt(share[[0, 1, 2, 3, 6, 7]])),
-                               np.sqrt(blanks), np.sqrt(max(odd, 0)), np.log1p(1 / max(blanks, 1 / n)) / 4, np.sqrt(starts.mean() if n > 1 else 0),
-                               len(set(split)) / max(len(split), 1), np.log1p(len(split)) / 8, 1]
+def shape_rows(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(document, SHAPES): length, lines, shares of kinds of bytes and of different words; zeros for an empty text."""
+    size = np.diff(ends)
+    n = np.maximum(size, 1)
+    kind = _KIND[raw]
+    share = np.bincount(np.repeat(np.arange(len(size)) * 8, size) + kind, minlength=8 * len(size)).reshape(-1, 8) / n[:, None]
+
+    def counted(flags: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[high] - total[low]
+    blanks = share[:, 4] + share[:, 5]
+    lines = 1 + counted(raw == 10, ends[:-1], ends[1:])
+    odd = share[:, 6] - counted(_PLAIN[raw], ends[:-1], ends[1:]) / n
+    blank = (kind == 4) | (kind == 5)
+    starts = np.zeros(len(raw), bool)
+    starts[1:] = ((kind[1:] < 4) | (kind[1:] == 7)) & blank[:-1]
+    began = counted(starts, np.minimum(ends[:-1] + 1, ends[1:]), ends[1:]) / np.maximum(size - 1, 1)
+    data, words, different = raw.tobytes(), np.zeros(len(size)), np.zeros(len(size))
+    for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        split = data[lo:hi].split()
+        words[k], different[k] = len(split), len(set(split))
+    return (np.stack([
+        np.log1p(n) / 10, np.log1p(lines) / 5, np.log1p(n / lines) / 8, *np.sqrt(share[:, [0, 1, 2, 3, 6, 7]]).T, np.sqrt(blanks),
+        np.sqrt(np.maximum(odd, 0)), np.log1p(1 / np.maximum(blanks, 1 / n)) / 4, np.sqrt(began), different / np.maximum(words, 1),
+        np.log1p(words) / 8, np.ones(len(size))], axis=1) * (size > 0)[:, None]).astype(np.float32)
+
+
+def metadata_rows(shapes: np.ndarray, lang: list, source: list) -> np.ndarray:
+    """(document, SHAPES + NAMES): the shape of the text, and hashed language and source."""
+    out = np.zeros((len(shapes), SHAPES + NAMES), np.float32)
+    out[:, :SHAPES] = shapes
+    for k in range(len(shapes)):
         for prefix, value in (("lang", lang[k]), ("source", source[k])):
-            out[k, SHAPES + zlib.crc32(f"{prefix}={value}".encode()) % NAMES] += 0.3
+            out[k, SHAPES + _name(prefix, value)] += 0.3
     return out
 
 
+@lru_cache(100_000)
+def _name(prefix: str, value: str | None) -> int:
+    return zlib.crc32(f"{prefix}={value}".encode()) % NAMES
+
+
 class Logistic:
     """Logistic regression by full-batch Adam with weight decay; classes weigh the same."""
 
@@ -161,7 +182,7 @@ def _rows(text: pa.Array, lang: list, source: list) -> tuple[np.ndarray, np.ndar
     content, metadata = [], []
     for row, raw, ends in texts(text):
         content.append(content_rows(raw, ends))
-        metadata.append(metadata_rows(raw, ends, lang[row: row + len(ends) - 1], source[row: row + len(ends) - 1]))
+        metadata.append(metadata_rows(shape_rows(raw, ends), lang[row: row + len(ends) - 1], source[row: row + len(ends) - 1]))
     return np.concatenate(content), np.concatenate(metadata)
 
 
@@ -196,16 +217,44 @@ def fitted(rows: pa.Table) -> pa.Table:
     return pa.table({"model": pa.array([pickle.dumps(trained(mine, (y[pupil < 0] > 0).astype(np.int64), given))], pa.binary())})
 
 
-def view_odds(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """(doc_id, o0, o1): the odds that each view gives every document, to four decimals."""
+_KEY = ("doc_id", "key")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source, and a hash of the last three, which tells rows of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
+
+
+def shapes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, lang, source, shape): the text's shape of every document, 64 bytes a row, which no round changes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source, text = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")
-            for lo in range(0, batch.num_rows, 1000):
-                rows = _rows(text.slice(lo, 1000), lang[lo: lo + 1000], source[lo: lo + 1000])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 1000), *[
-                    pa.array(np.round(v.odds(x).astype(np.float64), 4)) for v, x in zip(model.views, rows, strict=True)]], ["doc_id", "o0", "o1"])
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, o0 double, o1 double")
+            rows = [shape_rows(raw, ends) for _, raw, ends in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*_KEY, "lang", "source")],
+                                              pa.array([r.tobytes() for part in rows for r in part], pa.binary())], [*_KEY, "lang", "source", "shape"])
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, lang string, source string, shape binary")
+
+
+def view_odds(docs: DataFrame, shapes: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, o0, o1): the odds that each view gives every document, to four decimals; `shapes` is stored."""
+    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = 0
+            for _, raw, ends in texts(batch.column("text")):
+                odds = model.views[0].odds(content_rows(raw, ends)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, len(odds)) for c in _KEY], pa.array(np.round(odds, 4))], [*_KEY, "o0"])
+                row += len(odds)
+
+    def metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                shape = np.frombuffer(b"".join(batch.column("shape").to_pylist()), np.float32).reshape(-1, SHAPES)
+                odds = model.views[1].odds(metadata_rows(shape, batch.column("lang").to_pylist(), batch.column("source").to_pylist())).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in _KEY], pa.array(np.round(odds, 4))], [*_KEY, "o1"])
+    # rows of one key are copies, so one of each is enough for the search
+    a = keyed(docs).select(*_KEY, "text").mapInArrow(content, "doc_id long, key long, o0 double").dropDuplicates(list(_KEY))
+    b = shapes.mapInArrow(metadata, "doc_id long, key long, o1 double").dropDuplicates(list(_KEY))
+    return a.join(b, list(_KEY)).select("doc_id", "o0", "o1")
 
 
 def surest(odds: DataFrame, share: float, moved: int) -> DataFrame:
@@ -214,14 +263,14 @@ def surest(odds: DataFrame, share: float, moved: int) -> DataFrame:
     Of documents with the same odds by both views, as copies have, one is taken.
     """
     one = odds.groupBy("o0", "o1").agg(F.min("doc_id").alias("doc_id"))
-    parts = None
-    for teacher in (0, 1):
-        o = F.col(f"o{teacher}")
-        for y, n, sure, order in ((0, round(moved * (1 - share)), o < -SURE, o.asc()), (1, round(moved * share), o > SURE, o.desc())):
-            part = one.where(sure).orderBy(order, "doc_id").limit(n).select(
-                "doc_id", F.lit(y).alias("y"), F.lit(1 - teacher).alias("pupil"))
-            parts = part if parts is None else parts.union(part)
-    return parts
+    most = {0: round(moved * (1 - share)), 1: round(moved * share)}
+    sides = [F.struct(F.lit(1 - teacher).alias("pupil"), F.lit(y).alias("y"), (F.col(f"o{teacher}") * (1 if y else -1)).alias("sure"))
+             for teacher in (0, 1) for y in (0, 1)]
+    rows = one.select("doc_id", F.explode(F.array(*sides)).alias("s")).select("doc_id", "s.*").where(F.col("sure") > SURE)
+    order = Window.partitionBy("pupil", "y").orderBy(F.desc("sure"), "doc_id")
+    # each task keeps its first rows of the four sides only
+    ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(*most.values(), 1))
+    return ranked.where(F.col("place") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1])).select("doc_id", "y", "pupil")
 
 
 def plain(documents: DataFrame) -> DataFrame:
@@ -245,13 +294,14 @@ def learned(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, r
     known = docs.select("doc_id").distinct().join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled).withColumn("pupil", F.lit(-1))
     # bounded by limits: one task trains on the features of the chosen rows, and only weights reach the driver
     rows = store(sampled_rows(docs.join(F.broadcast(known), "doc_id")))
-    taken = spark.createDataFrame([], "doc_id long")
+    taken, shapes = spark.createDataFrame([], "doc_id long"), None
     for number in range(rounds + 1):
         first = rows.groupBy().applyInArrow(fitted, "model binary").first()
         model = pickle.loads(first[0]) if first else None
         if model is None or number == rounds:
             return model
-        odds = store(view_odds(docs, model))
+        shapes = store(shapes_of(docs)) if shapes is None else shapes
+        odds = store(view_odds(docs, shapes, model))
         free = odds.join(marks, "doc_id", "left_anti").join(F.broadcast(taken), "doc_id", "left_anti")
         chosen = store(surest(free, 1 / (1 + float(np.exp(-model.prior))), moved))
         if chosen.isEmpty():
