@@ -2,8 +2,10 @@ import uuid
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
+from wardgrid.session import shared_dir
 from wardgrid.streaming import vitals as sv
 
 T0 = datetime(2024, 1, 1)
@@ -74,3 +76,20 @@ def test_messages_and_controls(spark):
     over = spark.createDataFrame([(2, 135.0, 82.0)], "patient_id long, set_heart_rate double, set_systolic_bp double")
     hit = {r.patient_id: r for r in sv.with_overrides(df, over).collect()}
     assert hit[2].shock_index == 135.0 / 82.0 and hit[1].heart_rate == 135.0
+
+
+def test_snapshot_keeps_one_row_a_patient_and_a_replayed_batch_changes_nothing(spark, tmp_path):
+    schema = "patient_id long, ts timestamp, ord long, v double"
+    steps = [[(1, "2024-01-01 00:00:00", 1, 1.0), (2, "2024-01-01 00:00:00", 2, 2.0)], [(1, "2024-01-02 00:00:00", 3, 3.0)],
+             [(2, "2023-01-01 00:00:00", 4, 9.0), (3, "2024-01-01 00:00:00", 5, None)]]
+    folder, name = str(tmp_path / "in"), f"latest-{uuid.uuid4().hex}"
+    for rows in steps:
+        df = spark.createDataFrame(rows, "patient_id long, ts string, ord long, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+        got = sv.latest_state(sv.replay(spark, folder, schema), ["ts", "ord"], ["ts", "ord", "v"], name)
+    base = f"{shared_dir(spark)}/{name}"
+    assert {(r.patient_id, r.ord) for r in got.collect()} == {(1, 3), (2, 2), (3, 5)} and got.count() == 3
+    assert spark.read.parquet(f"{base}/snapshot/0").count() == 0 and spark.read.parquet(f"{base}/snapshot/1").count() == 2
+    # nothing new: the last snapshot stays
+    again = sv.latest_state(sv.replay(spark, folder, schema), ["ts", "ord"], ["ts", "ord", "v"], name)
+    assert again.count() == 3 and sv.snapshot(spark, base, 0) is None

@@ -16,6 +16,7 @@ from wardgrid.plans.scoring_queries import (
 )
 from wardgrid.plans.testmodel import with_sql
 from wardgrid.plans.timeline_queries import NAMED_SQL, r6
+from wardgrid.session import shared_dir
 from wardgrid.streaming import vitals as sv
 
 QUERIES: dict = {}
@@ -40,8 +41,21 @@ def _stream(spark, d, table: str) -> DataFrame:
     return sv.replay(spark, d, schema, f"{table}.parquet")
 
 
-def frames(spark, d) -> DataFrame:
-    raw = _stream(spark, d, "lineitem")
+def _files(spark, d, table: str, by: str, parts: int = 3) -> str:
+    """The table in a new folder of the shared one as files that follow each other in the order of `by`."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{_run('input')}"
+    rows = tm.load(spark, d, table)
+    shares = [k / parts for k in range(1, parts)]
+    cuts = rows.select(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), F.array(*map(F.lit, shares)), 1000)).first()[0] or []
+    at = F.unix_micros(F.col(by).cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def frames(spark, d, folder: str | None = None) -> DataFrame:
+    raw = sv.replay(spark, folder, tm.load(spark, d, "lineitem").schema) if folder else _stream(spark, d, "lineitem")
     return raw.selectExpr(*[e.strip() for e in _split_top(_FRAME)]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -101,6 +115,22 @@ def stream_grid_means(spark, d):
     return tm.export(r6(out.select("stay_id", F.col("window.start").alias("tick"), *_LIVE_CHANNELS), *_LIVE_CHANNELS))
 
 
+@query("stream_grid_closed", with_sql("ev", "obs") + "," + NAMED_SQL + f"""
+, w AS (SELECT stay_id, us // {_DAY}000000 AS b, channel, v FROM named WHERE channel IN ({_IN_CHANNELS}))
+SELECT stay_id, make_timestamp(b * {_DAY}000000) AS tick, {', '.join(f"round(avg(v) FILTER (WHERE channel = '{c}'), 6) AS {c}" for c in _LIVE_CHANNELS)} FROM w
+GROUP BY stay_id, b""")
+def stream_grid_closed(spark, d):
+    """The same grid over several files up to the end of the input: no window is left open."""
+    folder = _files(spark, d, "events", "ts")
+    schema = tm.load(spark, d, "events").schema
+    named = name_items(_observations(sv.replay(spark, folder, schema)), fx.VITAL_ITEMS).where(F.col("channel").isin(_LIVE_CHANNELS))
+    # a reading of a live channel far beyond the last one: an error event of the first kind
+    mark = tm.load(spark, d, "events").where("event_type = 'click'").limit(1).withColumns({
+        "ts": F.lit("2999-01-01").cast(dict(tm.load(spark, d, "events").dtypes)["ts"]), "props": F.lit('{"k": 0}')})
+    out = sv.run_to_end(sv.grid_means(named, _LIVE_CHANNELS, "1 day", "1 hour"), _run("grid"), folder, mark)
+    return tm.export(r6(out.select("stay_id", F.col("window.start").alias("tick"), *_LIVE_CHANNELS), *_LIVE_CHANNELS))
+
+
 def _observations(raw: DataFrame) -> DataFrame:
     return tm.to_observations(tm.to_events(raw))
 
@@ -110,6 +140,12 @@ def stream_latest(spark, d):
     return tm.export(sv.latest_state(frames(spark, d), _ORDER, [*_ORDER, *_VIT], _run("latest")))
 
 
+@query("stream_latest_files", LATEST_SQL + f"SELECT patient_id, {_ORDER_SQL}, {', '.join(_VIT)} FROM latest")
+def stream_latest_files(spark, d):
+    """The latest state after several micro-batches: one row a patient in the last snapshot."""
+    return tm.export(sv.latest_state(frames(spark, d, _files(spark, d, "lineitem", "l_shipdate")), _ORDER, [*_ORDER, *_VIT], _run("latest")))
+
+
 _FILLED = " + ".join(f"coalesce({c}, {fx.LIVE_BASELINE[c]}e0)" for c in fx.LIVE_VITALS)
 
 
@@ -123,3 +159,11 @@ def stream_buffers(spark, d):
     mean = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda a, x: a + x) / (F.col("size") * 5)
     return tm.export(out.select("patient_id", "size", "newest", F.round(mean, 6).alias("mean_value")))
 
+
+@query("stream_buffers_files", ORACLES["stream_buffers"])
+def stream_buffers_files(spark, d):
+    """The last matrix of each patient after several micro-batches."""
+    f = frames(spark, d, _files(spark, d, "lineitem", "l_shipdate")).withColumn("ord", F.expr("l_orderkey * 10 + l_linenumber"))
+    out = sv.last_buffers(sv.run_to_table(sv.buffers(f), _run("buffers")))
+    mean = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda a, x: a + x) / (F.col("size") * 5)
+    return tm.export(out.select("patient_id", "size", "newest", F.round(mean, 6).alias("mean_value")))

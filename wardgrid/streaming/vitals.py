@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardgrid.functions import clinical as cl
 from wardgrid.functions import fixed_values as fx
-from wardgrid.operators.scoring import apply_anomalies, apply_overrides, derived_vitals, latest_per_patient
-from wardgrid.session import shared_dir
+from wardgrid.operators.scoring import apply_anomalies, apply_overrides, derived_vitals
+from wardgrid.session import shared_dir, store
 
 BUFFER = 24
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -67,11 +68,14 @@ class NewestFrames(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         columns = ", ".join(f"{c} double" for c in fx.LIVE_VITALS)
         self.kept = handle.getListState("kept", f"ts timestamp, ord long, {columns}")
+        self.seen = handle.getValueState("seen", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ["ts", "ord", *fx.LIVE_VITALS]
         newest = pd.DataFrame(list(self.kept.get()), columns=names)
+        seen = self.seen.get()[0] if self.seen.exists() else 0
         for batch in rows:  # only BUFFER frames are ever held
+            seen += len(batch)
             joined = batch[names] if newest.empty else pd.concat([newest, batch[names]])
             newest = joined.sort_values(["ts", "ord"], kind="stable").tail(BUFFER)
         values = newest[list(fx.LIVE_VITALS)].astype("float64")
@@ -79,9 +83,10 @@ class NewestFrames(StatefulProcessor):
         self.kept.put([
             (t.to_pydatetime(), int(o), *(None if pd.isna(v) else float(v) for v in rest))
             for t, o, *rest in newest.itertuples(index=False)])
+        self.seen.update((seen,))
         filled = values.fillna({c: fx.LIVE_BASELINE[c] for c in fx.LIVE_VITALS})
         yield pd.DataFrame({
-            "patient_id": [key[0]], "size": [len(newest)], "newest": [newest["ts"].iloc[-1]],
+            "patient_id": [key[0]], "size": [len(newest)], "newest": [newest["ts"].iloc[-1]], "seen": [seen],
             "matrix": [filled.to_numpy().tolist()]})
 
     def close(self) -> None:
@@ -91,18 +96,27 @@ class NewestFrames(StatefulProcessor):
 def buffers(frames: DataFrame) -> DataFrame:
     """After each micro-batch: the newest 24 frames of every touched patient as a matrix.
 
-    Missing vitals take the channel's baseline. Needs an `ord` column that breaks equal times, and
+    `seen` counts the patient's frames so far. Missing vitals take the channel's baseline. Needs an `ord` column that breaks equal times, and
     the RocksDB state store.
     """
     spark = frames.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = frames.select("patient_id", "ts", "ord", *[F.col(c).cast("double").alias(c) for c in fx.LIVE_VITALS])
     return rows.groupBy("patient_id").transformWithStateInPandas(
-        NewestFrames(), "patient_id long, size int, newest timestamp, matrix array<array<double>>", "Append", "None")
+        NewestFrames(), "patient_id long, size int, newest timestamp, seen long, matrix array<array<double>>", "Append", "None")
+
+
+def last_buffers(rows: DataFrame) -> DataFrame:
+    """The last matrix of each patient over all micro-batches."""
+    rest = [c for c in rows.columns if c != "patient_id"]
+    return rows.groupBy("patient_id").agg(F.max_by(F.struct(*rest), "seen").alias("_r")).select("patient_id", "_r.*")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is available into a parquet table with its own checkpoint, and read it back."""
+    """Process what is available into a parquet table with its own checkpoint, and read it back.
+
+    Run again with the same name, it goes on where it stopped.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{name}"
     query = (
@@ -112,18 +126,50 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_to_end(stream: DataFrame, name: str, folder: str, mark: DataFrame) -> DataFrame:
+    """`run_to_table` for an input that has ended: windows still open are closed as well.
+
+    `mark` is one input row whose time lies beyond every window and delay. It goes to the input's folder after all else has
+    been read and moves the watermark past the open windows; its own window never closes.
+    """
+    run_to_table(stream, name)
+    mark.coalesce(1).write.mode("append").parquet(folder)
+    return run_to_table(stream, name)
+
+
 def latest_state(frames: DataFrame, order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    """Latest frame per patient, upserted batch by batch.
+    """Latest frame per patient: one row a patient in the newest of numbered snapshots.
 
-    Each batch writes its own newest frame per patient under its batch id, so a replayed batch
-    overwrites itself; the reader keeps the newest of all batches.
+    The stream's state holds each patient's newest frame, and a micro-batch passes on the patients that changed. They replace
+    their rows of the snapshot before, so that a snapshot is complete, and a replayed batch writes its own again. The log
+    names the finished snapshots; a reader opens the last one only, and those before its predecessor are emptied.
     """
     spark = frames.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{name}"
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        latest_per_patient(batch, order, columns).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
-
-    frames.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/checkpoint").trigger(
+    whole = F.struct(*[c for c in columns])
+    newest = frames.groupBy("patient_id").agg(F.max_by(whole, F.struct(*order)).alias("_r")).select("patient_id", "_r.*")
+
+    def upsert(batch: DataFrame, version: int) -> None:
+        batch = store(batch)
+        before = snapshot(spark, base, version)
+        rows = batch if before is None else batch.unionByName(before.join(batch.select("patient_id"), "patient_id", "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{base}/snapshot/{version}")
+        spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{base}/log")
+        if version >= 2:
+            batch.limit(0).write.mode("overwrite").parquet(f"{base}/snapshot/{version - 2}")
+
+    newest.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(
         availableNow=True).start().awaitTermination()
-    return latest_per_patient(spark.read.parquet(f"{base}/rows"), order, columns)
+    return snapshot(spark, base)
+
+
+def snapshot(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
+    """The newest finished snapshot, or the newest one before version `below`; None without one."""
+    try:
+        log = spark.read.schema("version long").parquet(f"{base}/log")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = log.where(F.lit(True) if below is None else F.col("version") < below).agg(F.max("version")).first()[0]
+    return None if last is None else spark.read.parquet(f"{base}/snapshot/{last}")
