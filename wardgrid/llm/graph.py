@@ -38,14 +38,14 @@ def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in `links` (a, b); component is the smallest id that can be reached.
 
-    Each task first contracts a bounded number of links. Every round then hangs each id's larger neighbours on its smallest neighbour, then its smaller ones, until nothing
-    changes; a round's links are written to the shared folder, so no round repeats another's work.
+    Each task first contracts a bounded number of links. Where there were several tasks, every round then hangs each id's
+    larger neighbours on its smallest neighbour, then its smaller ones, until nothing changes; a round's links are written to the shared folder, so no round repeats another's work.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     tasks = max(1, math.ceil(links.count() / TASK_LINKS))
     edges = store(links.coalesce(tasks).mapInPandas(_contracted, "u long, v long").distinct())
     state = None
-    while True:
+    while tasks > 1:        # one task that held all links has left stars already
         found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == tuple(found):
             break

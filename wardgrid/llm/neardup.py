@@ -261,7 +261,7 @@ def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
     classes = some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("same", "rep")
     copies = store(some.select("doc_id", "same").join(small_or_plain(store(classes)), "same")
                    .where("doc_id != rep").select("doc_id", "rep").distinct())
-    members = some.join(small_or_plain(copies.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    members = store(some.join(small_or_plain(copies.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
 
     leaf = store(leaves(members))
     n_leaf = leaf.count()
