@@ -132,7 +132,7 @@ def test_scores_of_awkward_rows(docs, no_docs):
 
 def test_scores_without_training_rows(docs):
     for r in wordlm.score_documents(docs.where("doc_id IS NULL")).collect():
-        assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, pytest.approx(0))
+        assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and np.isfinite(r.score) and r.score < 0
 
 
 # 12: alignment
