@@ -9,6 +9,8 @@ calibrated on labelled rows that neither was trained on, and the calibrated log-
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -178,6 +180,13 @@ def trained(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, given: list[tupl
     return CoTrained(*views, scale, float(np.log(share / (1 - share))))
 
 
+def _given_back() -> None:
+    """Hands freed memory back to the system, so that workers between tasks do not hold what earlier ones needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _rows(text: pa.Array, lang: list, source: list) -> tuple[np.ndarray, np.ndarray]:
     content, metadata = [], []
     for row, raw, ends in texts(text):
@@ -232,6 +241,7 @@ def shapes_of(docs: DataFrame) -> DataFrame:
             rows = [shape_rows(raw, ends) for _, raw, ends in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*_KEY, "lang", "source")],
                                               pa.array([r.tobytes() for part in rows for r in part], pa.binary())], [*_KEY, "lang", "source", "shape"])
+            _given_back()
     return keyed(docs).mapInArrow(run, "doc_id long, key long, lang string, source string, shape binary")
 
 
@@ -244,6 +254,7 @@ def view_odds(docs: DataFrame, shapes: DataFrame, model: CoTrained) -> DataFrame
                 odds = model.views[0].odds(content_rows(raw, ends)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, len(odds)) for c in _KEY], pa.array(np.round(odds, 4))], [*_KEY, "o0"])
                 row += len(odds)
+            _given_back()
 
     def metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,6 +343,7 @@ def scored(documents: DataFrame, model: CoTrained | None, threshold: float = THR
                 parts.append(np.stack(model.scores(_rows(text.slice(lo, 1000), lang[lo: lo + 1000], source[lo: lo + 1000]))))
             p = np.concatenate(parts, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(x, pa.float64()) for x in p]], ["row", *ADDED[:3]])
+            _given_back()
     schema = f"row {rows.schema['row'].dataType.simpleString()}, p_content double, p_metadata double, quality_score double"
     return (rows.mapInArrow(run, schema).select("row.*", *ADDED[:3], (F.col("quality_score") >= threshold).alias("keep")))
 
