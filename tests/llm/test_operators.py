@@ -202,6 +202,32 @@ def test_mix_of_many_sources_and_rounds(spark, monkeypatch):
 
 # 4: decontamination
 
+def test_contamination_by_size(spark):
+    """Items of every size partition at the threshold and one shingle below it."""
+    docs, items, expected = [], [], {}
+    for number, size in enumerate([1, 4, 7, 8, 10, 15, 16, 17, 31, 32, 40, 63, 64, 100, 500, 511, 512, 700, 1500]):
+        words = [f"w{number}x{i}" for i in range(size + 4)]
+        items.append((number, " ".join(words)))
+        need = -(-size * 80 // 100)
+        for doc, held in ((2 * number, need), (2 * number + 1, need - 1)):
+            part = words[size - held:] if held else words[:4]
+            docs.append((doc, " ".join(["before"] * 9 + part + ["after"] * 9)))
+        expected[2 * number, number] = (size, need)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in got.collect()} == expected
+
+
+def test_size_partitions_keep_items_at_the_threshold():
+    for percent in (50, 80, 95, 100):
+        parts = decontaminate.plan(percent)
+        assert len({m for m, _ in parts}) >= (2 if percent == 100 else 3)
+        for size in range(1, 2000):
+            minima, hits = parts[min(size.bit_length(), len(parts)) - 1]
+            if minima:
+                assert minima <= size and decontaminate.short_of(size, minima, hits, percent) <= decontaminate.MISS
+
+
 def test_contamination(spark, docs, no_docs):
     item = " ".join(ROWS[0][1].split()[10:40])
     bench = spark.createDataFrame([(1, item.upper() + "!"), (2, "one two"), (3, None), (4, ""), (None, item), (5, item), (6, "not in any of the documents at all")],

@@ -1,25 +1,30 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
 A test item is tens of words, a document may be tens of thousands, so the Jaccard similarity of the two says nothing. The
-containment of the item's shingles in the document is estimated instead: under each hash permutation the item's minimal
-shingle lies in the document with a probability equal to the containment. Items fall into two size
-classes, not many: up to `MINIMA` shingles all are indexed, else `MINIMA` minima of which a third must be hit, so that an item above the threshold is missed with a
-probability below 1e-7, and items of up to `MINIMA` shingles are never missed. Documents are only probed: their shingles
+containment of the item's shingles in the document is estimated instead: the item's k shingles of least hash are a random
+draw without replacement from its set, and as many of them as the containment says lie in the document. Items are
+partitioned by size, sizes 2^p to 2^(p+1) - 1 together, and each partition has its own number of minima and of hits, from the
+hypergeometric law (`plan`): the fewest minima for which an item at the threshold reaches `HITS` hits but for a probability
+of `MISS`. Partitions too small for that are indexed whole and lose nothing. Documents are only probed: their shingles
 stream past the index of minima, and no document set is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import math
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from wardgrid.llm.common import shingles_sql, small_or_plain, words_sql
 from wardgrid.session import store
 
 WORDS = 5
-#: Minima kept of an item with more shingles than that; a third of them must be hit.
-MINIMA = 24
+#: Minima in the document that make it a candidate for an item of many shingles, and the probability that an item at the
+#: threshold has fewer.
+HITS, MISS = 8, 1e-7
+#: Sizes up to which the law is evaluated exactly; larger ones take its limit, the binomial law.
+EXACT_SIZE = 512
 #: Rows of an item index that may be broadcast (16 bytes each); a larger one is joined by shuffle.
 INDEX_ROWS = 1_000_000
 BREAKS = r"[^\\p{L}\\p{N}]+"
@@ -32,21 +37,54 @@ def shingle_rows(df: DataFrame, key: str, words: int) -> DataFrame:
             .select(key, F.size("s").alias("n"), F.explode("s").alias("h")))
 
 
+def short_of(size: int | None, minima: int, hits: int, percent: int) -> float:
+    """Probability of fewer than `hits` hits among the minima of an item at the threshold; size None is the limit."""
+    if size is None:
+        p = percent / 100
+        return sum(math.comb(minima, i) * p ** i * (1 - p) ** (minima - i) for i in range(hits))
+    held = -(-size * percent // 100)
+    return sum(math.comb(held, i) * math.comb(size - held, minima - i) for i in range(hits)) / math.comb(size, minima)
+
+
+def plan(percent: int) -> list[tuple[int, int]]:
+    """(minima, hits) of the partitions of sizes 2^p to 2^(p+1) - 1, p from 0; the last one serves all larger sizes too.
+
+    (0, 0) stands for a partition that is indexed whole: one of its sizes cannot reach `HITS` hits surely enough, even with
+    all of its shingles.
+    """
+    def fewest(sizes: list[int | None]) -> int:
+        most = min((s for s in sizes if s is not None), default=None)
+        minima = HITS
+        while any(short_of(s, minima, HITS, percent) > MISS for s in sizes):
+            minima += 1
+            if most is not None and minima > most:
+                return 0
+        return minima
+
+    out = [fewest(list(range(2 ** p, 2 ** (p + 1)))) if 2 ** p >= HITS else 0 for p in range(EXACT_SIZE.bit_length() - 1)]
+    return [(m, HITS if m else 0) for m in [*out, fewest([None])]]
+
+
+def _of_partition(values: list[int]) -> Column:
+    """The value of the partition that column `size` is in: partition p holds the numbers of p + 1 binary digits."""
+    at = F.least(F.length(F.bin("size")), F.lit(len(values)))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+
+
 def item_index(benchmark: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All shingles (item_id, size, h) of the items, and the minima (item_id, size, need, h) by size partition."""
+    """All shingles (item_id, size, h) of the items, and the index (item_id, size, need, h) by size partition."""
     whole = shingle_rows(benchmark.where("item_id is not null"), "item_id", words).select("item_id", "h").distinct()
-    sized = whole.join(whole.groupBy("item_id").agg(F.count("*").alias("size")), "item_id")
-    whole = store(sized)
-    exact = whole.where(F.col("size") <= MINIMA).select(
-        "item_id", "size", F.ceil(F.col("size") * percent / 100).cast("long").alias("need"), "h")
-    # the minimal shingle under each of MINIMA permutations; only one minimum per permutation leaves a task
-    large = (whole.where(F.col("size") > MINIMA)
-             .groupBy("item_id", "size")
-             .agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)), "h")).alias(f"m{i}") for i in range(MINIMA)])
-             .select("item_id", "size", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}.h") for i in range(MINIMA)]))).alias("h")))
-    # the same shingle may be the minimum of several permutations: a third of those left must be hit
-    needs = large.groupBy("item_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 3)).cast("long").alias("need"))
-    return whole, exact.unionByName(large.join(needs, "item_id").select("item_id", "size", "need", "h"))
+    whole = store(whole.join(whole.groupBy("item_id").agg(F.count("*").alias("size")), "item_id"))
+    minima, hits = zip(*plan(percent))
+    parted = whole.withColumns({"minima": _of_partition(minima), "need": _of_partition(hits)})
+    exact = (parted.where("minima = 0")
+             .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * percent / 100)).cast("long")))
+    # the limit is pushed below the shuffle, so that no task sends more than max(minima) rows of an item
+    least = Window.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit(0)), "h")
+    drawn = (parted.where("minima > 0").withColumn("rank", F.row_number().over(least))
+             .where(F.col("rank") <= max(minima)).where("rank <= minima").withColumn("need", F.col("need").cast("long")))
+    columns = ["item_id", "size", "need", "h"]
+    return whole, exact.select(*columns).unionByName(drawn.select(*columns))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -61,7 +99,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, words: int = WORDS
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     found = (shingle_rows(docs, "doc_id", words).join(probe, "h")
              .where(F.col("n") * 100 >= F.col("size") * percent)
-             .groupBy("doc_id", "item_id", "need").agg(F.collect_set("h").alias("hit"))   # at most MINIMA values
+             .groupBy("doc_id", "item_id", "need").agg(F.collect_set("h").alias("hit"))   # at most the item's rows of the index
              .where(F.size("hit") >= F.col("need")).select("doc_id", "item_id"))
     found = store(found)
     candidates = small_or_plain(found.select("doc_id").distinct())
