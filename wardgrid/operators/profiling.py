@@ -104,6 +104,15 @@ def missingness_profile(observations: DataFrame, items: DataFrame, n_stays: int)
         below_bands(F.col("missing_pct"), fx.MISSINGNESS_BANDS, "SEVERE")))
 
 
+def missingness_with_values(observations: DataFrame, items: DataFrame, n_stays: int) -> DataFrame:
+    """The missingness profile beside mean, median and range of each item's values; NULL where it has none."""
+    known = observations.join(items.select("itemid"), "itemid", "left_semi")
+    stats = known.groupBy("itemid").agg(
+        F.avg("valuenum").alias("mean"), F.min("valuenum").alias("min"), F.max("valuenum").alias("max"))
+    median = exact_quantiles(known, ["itemid"], "valuenum", {"median": 0.5})
+    return missingness_profile(observations, items, n_stays).join(stats, "itemid", "left").join(median, "itemid", "left")
+
+
 def value_summary(observations: DataFrame, keys: Sequence[str] = ("itemid",)) -> DataFrame:
     """Distribution of the non-missing values per item."""
     stats = observations.groupBy(*keys).agg(

@@ -98,6 +98,30 @@ def target_audit(windows: DataFrame) -> DataFrame:
     return grouped.agg(level.alias("level"), *[F.sum(c).alias(c) for c in names])
 
 
+def target_totals(windows: DataFrame) -> DataFrame:
+    """Per split and over `all`: windows, positive rate, and subjects and stays with positive, improving or worsening windows.
+
+    Windows collapse to one row per stay first, so the distinct counts run on small data.
+    """
+    per_stay = windows.groupBy("split", "subject_id", "stay_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("deterioration") == 1).alias("positive"),
+        F.count_if(F.col("response") == 1).alias("improving"), F.count_if(F.col("response") == 2).alias("worsening"))
+
+    def with_any(key: str, measure: str) -> Column:
+        return F.count_distinct(F.when(F.col(measure) > 0, F.col(key)))
+
+    return per_stay.rollup("split").agg(
+        F.when(F.grouping("split") == 1, "all").otherwise(F.first("split")).alias("part"),
+        F.sum("n").alias("windows"), F.sum("positive").alias("det_pos"),
+        (F.sum("positive") * 100.0 / F.sum("n")).alias("positive_pct"),
+        F.count_distinct("subject_id").alias("subjects"), F.count_distinct("stay_id").alias("stays"),
+        with_any("subject_id", "positive").alias("subjects_with_positive"),
+        with_any("stay_id", "positive").alias("stays_with_positive"),
+        with_any("subject_id", "improving").alias("subjects_improving"),
+        with_any("subject_id", "worsening").alias("subjects_worsening"),
+    ).drop("split").where("windows > 0")
+
+
 def response_distribution(windows: DataFrame) -> DataFrame:
     """Response classes of treatment windows with their share in percent."""
     counts = windows.where("is_treatment_window").groupBy("response").agg(F.count(F.lit(1)).alias("n"))

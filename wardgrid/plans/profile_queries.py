@@ -260,6 +260,24 @@ def lab_profile_by_stay(spark, d):
     return r6(out, "mean", "std", "min", "max", "median", "coverage_pct")
 
 
+@query("lab_missingness_by_stay", _OBS + """,
+linked AS (SELECT o.subject_id, o.itemid, o.valuenum, s.stay_id FROM obs o LEFT JOIN stays s ON s.hadm_id = o.hadm_id),
+""" + _items_sql(fx.PROFILE_LABS) + """,
+c AS (SELECT itemid, count(*) AS n, count(*) - count(valuenum) AS m, count(DISTINCT subject_id) AS p, count(DISTINCT stay_id) AS s,
+   avg(valuenum) AS mean, quantile_cont(valuenum, 0.5) AS median, min(valuenum) AS low, max(valuenum) AS high FROM linked GROUP BY itemid),
+q AS (SELECT i.itemid, canonical_name, coalesce(n, 0) AS n_observations, coalesce(m, 0) AS n_missing, coalesce(p, 0) AS n_patients,
+   coalesce(s, 0) AS n_stays, round(coalesce(m, 0) * 100e0 / greatest(coalesce(n, 0), 1), 2) AS missing_pct,
+   round(mean, 6) AS mean, round(median, 6) AS median, round(low, 6) AS min, round(high, 6) AS max FROM items i LEFT JOIN c USING (itemid))
+SELECT *, round(n_stays * 100e0 / (SELECT count(*) FROM stays), 6) AS coverage_pct,
+  CASE WHEN n_observations = 0 THEN 'ABSENT' WHEN missing_pct < 10 THEN 'LOW' WHEN missing_pct < 30 THEN 'MODERATE'
+    WHEN missing_pct < 60 THEN 'HIGH' ELSE 'SEVERE' END AS severity FROM q""")
+def lab_missingness_by_stay(spark, d):
+    stays = tm.stays(spark, d)
+    linked = pf.labs_with_stays(tm.observations(spark, d), stays)
+    out = pf.missingness_with_values(linked, pf.registry(spark, fx.PROFILE_LABS), stays.count())
+    return r6(out, "mean", "median", "min", "max", "coverage_pct")
+
+
 @query("labs_linked_to_stays", _OBS + """
 SELECT s.stay_id, count(*) AS n FROM obs o LEFT JOIN stays s ON s.hadm_id = o.hadm_id GROUP BY s.stay_id""")
 def labs_linked_to_stays(spark, d):

@@ -526,6 +526,20 @@ def target_audit(spark, d):
     return win.target_audit(windows(spark, d))
 
 
+@query("target_totals", TARGETED + """
+SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS part, count(*) AS windows,
+  count(*) FILTER (WHERE deterioration = 1) AS det_pos,
+  round(count(*) FILTER (WHERE deterioration = 1) * 100e0 / count(*), 6) AS positive_pct,
+  count(DISTINCT subject_id) AS subjects, count(DISTINCT stay_id) AS stays,
+  count(DISTINCT subject_id) FILTER (WHERE deterioration = 1) AS subjects_with_positive,
+  count(DISTINCT stay_id) FILTER (WHERE deterioration = 1) AS stays_with_positive,
+  count(DISTINCT subject_id) FILTER (WHERE response = 1) AS subjects_improving,
+  count(DISTINCT subject_id) FILTER (WHERE response = 2) AS subjects_worsening
+FROM windows GROUP BY ROLLUP (split)""")
+def target_totals(spark, d):
+    return r6(win.target_totals(windows(spark, d)), "positive_pct")
+
+
 @query("response_distribution", TARGETED + """
 SELECT response, count(*) AS n, round(count(*) * 100e0 / sum(count(*)) OVER (), 2) AS pct
 FROM windows WHERE is_treatment_window GROUP BY response""")
