@@ -77,23 +77,28 @@ def _news_sql(gap_free: bool) -> str:
     return ", ".join(out)
 
 
+def _advice_sql(tier: str, advice: dict[str, str]) -> str:
+    return f"CASE {tier} " + " ".join(f"WHEN '{name}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for name, text in advice.items()) + " END"
+
+
 def _news_query(gap_free: bool) -> str:
     total = " + ".join(f"s_{n}" for n in fx.NEWS2_BOUNDS)
     red = " OR ".join(f"s_{n} = 3" for n in ("respiratory_rate", "spo2", "systolic_bp", "heart_rate"))
-    return FRAMES_SQL + f""", s AS (SELECT *, {_news_sql(gap_free)} FROM frames)
-SELECT {_KEY_SQL}, {total} AS total_score, CASE WHEN {total} >= 7 OR {red} THEN 'High' WHEN {total} >= 5 THEN 'Medium' ELSE 'Low' END AS risk_tier,
+    return FRAMES_SQL + f""", s AS (SELECT *, {_news_sql(gap_free)} FROM frames),
+t AS (SELECT *, CASE WHEN {total} >= 7 OR {red} THEN 'High' WHEN {total} >= 5 THEN 'Medium' ELSE 'Low' END AS risk_tier FROM s)
+SELECT {_KEY_SQL}, {total} AS total_score, risk_tier, {_advice_sql('risk_tier', fx.NEWS2_ADVICE)} AS clinical_recommendation,
   s_respiratory_rate AS respiratory_rate_score, s_spo2 AS spo2_score, s_systolic_bp AS systolic_bp_score,
-  s_heart_rate AS heart_rate_score, s_body_temperature AS temperature_score FROM s"""
+  s_heart_rate AS heart_rate_score, s_body_temperature AS temperature_score FROM t"""
 
 
 @query("news2", _news_query(True))
 def news2(spark, d):
-    return frames(spark, d).select(*_KEY, cl.news2().alias("n")).select(*_KEY, "n.*").drop("clinical_recommendation")
+    return frames(spark, d).select(*_KEY, cl.news2().alias("n")).select(*_KEY, "n.*")
 
 
 @query("news2_banded", _news_query(False))
 def news2_banded(spark, d):
-    return frames(spark, d).select(*_KEY, cl.news2("banded").alias("n")).select(*_KEY, "n.*").drop("clinical_recommendation")
+    return frames(spark, d).select(*_KEY, cl.news2("banded").alias("n")).select(*_KEY, "n.*")
 
 
 @query("instability_score", FRAMES_SQL + f"""
@@ -136,16 +141,17 @@ w AS (SELECT *, p * 100 * 0.45e0 + points * 0.35e0 + visual * 0.2e0 AS combined
 
 @query("late_fusion", _BED_SQL + ", " + _FUSE + f"""
 , x AS (SELECT *, round(least(greatest(combined, 0), 100), 1) AS risk_score,
-  CASE WHEN combined > 1e-6 THEN round((p * 100 * 0.25e0 + points * 0.35e0) / combined * 100, 1) ELSE 50 END AS vitals_contribution FROM w)
-SELECT {_KEY_SQL}, risk_score, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' WHEN risk_score >= 25 THEN 'Moderate' ELSE 'Low' END AS risk_tier,
-  vitals_contribution, round(100 - vitals_contribution, 1) AS visual_contribution FROM x""")
+  CASE WHEN combined > 1e-6 THEN round((p * 100 * 0.25e0 + points * 0.35e0) / combined * 100, 1) ELSE 50 END AS vitals_contribution FROM w),
+y AS (SELECT *, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' WHEN risk_score >= 25 THEN 'Moderate' ELSE 'Low' END AS risk_tier FROM x)
+SELECT {_KEY_SQL}, risk_score, risk_tier, {_advice_sql('risk_tier', fx.FUSION_ADVICE)} AS recommendation,
+  vitals_contribution, round(100 - vitals_contribution, 1) AS visual_contribution FROM y""")
 def late_fusion(spark, d):
     finding = F.when(F.col("l_linenumber").isin(1, 2), "No Finding").when(
         F.col("l_linenumber") == 3, None).otherwise("Pneumonia")
     p = (F.col("l_partkey") % 997 + 0.5) / 997.0
     visual = cl.visual_risk(finding, p, F.col("l_tax") * 5)
     out = frames(spark, d).select(*_KEY, cl.fusion(p, cl.bedside_points(), visual).alias("f"))
-    return out.select(*_KEY, "f.*").drop("recommendation")
+    return out.select(*_KEY, "f.*")
 
 
 @query("vital_status", FRAMES_SQL + f"""
@@ -237,12 +243,24 @@ def last_readings(spark, d):
     return tm.export(out)
 
 
-@query("vital_ranges", FRAMES_SQL + """
+_LIVE = ["heart_rate", "spo2", "systolic_bp", "diastolic_bp", "respiratory_rate", "body_temperature"]
+
+
+def _ranges_sql(hours: int) -> str:
+    return FRAMES_SQL + f"""
 , n AS (SELECT patient_id, max(ts) AS newest FROM frames GROUP BY 1)
-SELECT patient_id, min(heart_rate) AS min_heart_rate, min(spo2) AS min_spo2, max(heart_rate) AS max_heart_rate, max(spo2) AS max_spo2
-FROM frames JOIN n USING (patient_id) WHERE ts >= newest - INTERVAL 2400 HOURS GROUP BY patient_id""")
+SELECT patient_id, {', '.join(f'min({c}) AS min_{c}, max({c}) AS max_{c}' for c in _LIVE)}
+FROM frames JOIN n USING (patient_id) WHERE ts >= newest - INTERVAL {hours} HOURS GROUP BY patient_id"""
+
+
+@query("vital_ranges", _ranges_sql(2400))
 def vital_ranges(spark, d):
-    return sc.vital_ranges(frames(spark, d), ["heart_rate", "spo2"], 2400.0)
+    return sc.vital_ranges(frames(spark, d), _LIVE, 2400.0)
+
+
+@query("vital_ranges_24h", _ranges_sql(24))
+def vital_ranges_24h(spark, d):
+    return sc.vital_ranges(frames(spark, d), _LIVE)
 
 
 def summary(spark, d) -> DataFrame:
@@ -275,7 +293,7 @@ def ward_summary(spark, d):
 
 @query("patient_state", SUMMARY_SQL + """
 SELECT patient_id, name, ts AS latest_timestamp, round(diastolic_bp + (systolic_bp - diastolic_bp) / 3, 6) AS map,
- news2_score, round(coalesce(heart_rate, 0) - 75, 2) AS hr_deviation, round(coalesce(body_temperature, 0) - 37, 2) AS temp_deviation,
+ news2_score, """ + ", ".join(f"round(coalesce({c}, 0) - {fx.LIVE_BASELINE[c]}e0, 2) AS {c}_deviation" for c in fx.LIVE_VITALS) + """,
  round(0.5e0 * risk_1h + 0.3e0 * risk_3h + 0.2e0 * risk_6h, 4) AS health_risk_score,
  CASE WHEN patient_id % 3 = 0 THEN 1 ELSE 0 END AS n_anomalies FROM summary""")
 def patient_state(spark, d):
@@ -288,8 +306,7 @@ def patient_state(spark, d):
         "patient_id", "observed_state.name", "observed_state.latest_timestamp",
         F.col("derived_state.mean_arterial_pressure").alias("map"),
         F.col("derived_state.news2.total_score").alias("news2_score"),
-        F.col("derived_state.baseline_deviations.heart_rate").alias("hr_deviation"),
-        F.col("derived_state.baseline_deviations.body_temperature").alias("temp_deviation"),
+        *[F.col(f"derived_state.baseline_deviations.{c}").alias(f"{c}_deviation") for c in fx.LIVE_VITALS],
         "predicted_state.health_risk_score", F.size("simulation_state.active_anomalies").alias("n_anomalies"))
     return tm.export(r6(out, "map"))
 
