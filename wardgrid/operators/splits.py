@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +84,3 @@ def is_subset(left: DataFrame, right: DataFrame, on: str = "subject_id") -> bool
 
 def shared_subjects(left: DataFrame, right: DataFrame, on: str = "subject_id") -> DataFrame:
     return left.select(on).intersect(right.select(on))
-
-
-SPLIT_PAIRS = list(combinations(["test", "train", "validate"], 2))
