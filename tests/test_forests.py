@@ -90,3 +90,23 @@ def test_no_rows_equal_rows_and_nulls(spark):
     forest, edges, history = forests.fit(same, F.col("id"), F.col("y"), F.col("mask"), 2, trees=2, depth=2)
     assert (forest.feature == -1).all()
     assert {tuple(r.predicted) for r in forests.predicted(same, forest, edges, history).collect()} == {(2.0, 0.0)}
+
+
+def test_histograms_hold_used_cells_only():
+    rng = np.random.default_rng(2)
+    bins, parts = rng.choice([0, 0, 0, 3, 15], (7, 1300)).astype(np.uint8), rng.normal(0, 1, (1300, 5))
+    parts[:, 0] = rng.integers(1, 4, 1300)
+    bins[6] = 2
+    got = forests.histogram(bins, parts)
+    want = np.stack([np.stack([parts[bins[f] == b].sum(axis=0) for b in range(forests.BINS)]) for f in range(7)])
+    assert got == pytest.approx(want) and (got[..., 0] == want[..., 0]).all()
+    sent = forests.packed(got.reshape(-1, 5))
+    assert len(sent) == (6 * 3 + 1) * (4 + 8 * 5)
+    cells, held = forests.unpacked(sent, 5)
+    assert (cells == np.flatnonzero(want[..., 0])).all() and held == pytest.approx(want.reshape(-1, 5)[cells])
+
+
+def test_bin_numbers_count_borders_below():
+    edges = np.array([-1.5, 0.0, 0.25, 2.0, *[np.inf] * 11])
+    values = np.array([[-np.inf, -1.5, -1.4, 0.0], [0.25, 0.3, np.inf, np.nan]])
+    assert (forests.bin_numbers(values, edges) == np.searchsorted(edges, values, "left")).all()

@@ -23,6 +23,8 @@ from wardgrid.session import store
 BINS, FEATURES = 16, 48
 #: Rows that a task turns into histograms at once, and tasks whose histograms are added first.
 ROWS, TEAM = 65_536, 64
+#: Rows of a histogram that are multiplied at once.
+BLOCK = 512
 #: Weights 0, 1, 2, ... of a bootstrap: the Poisson distribution of mean 1.
 _POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320]))
 
@@ -78,12 +80,36 @@ def bootstrap(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(29))) >> np.uint64(11)) / 2.0 ** 53, "right")
 
 
-def histogram(bins: np.ndarray, weight: np.ndarray, y: np.ndarray, mask: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """(feature, bin, 1 + 2 outputs): rows' weight, then each output's weight and sum."""
-    cells = (np.arange(len(features)) * BINS + bins[:, features]).ravel()
-    parts = np.concatenate([weight[:, None], weight[:, None] * mask, weight[:, None] * np.where(mask > 0, y, 0)], axis=1)
-    out = np.stack([np.bincount(cells, np.repeat(parts[:, k], len(features)), len(features) * BINS) for k in range(parts.shape[1])], axis=1)
-    return out.reshape(len(features), BINS, parts.shape[1])
+def histogram(bins: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """(feature, bin, part): sums of `parts` (row, part) by the bins (feature, row) of each feature.
+
+    A feature's most frequent bin is what its other bins leave of the total; these are multiplied out block by block.
+    """
+    features = np.arange(len(bins))
+    rows = np.bincount((features[:, None] * BINS + bins).ravel(), minlength=len(bins) * BINS).reshape(-1, BINS)
+    most = rows.argmax(axis=1)
+    rows[features, most] = 0
+    cells = np.flatnonzero(rows)
+    of, bin_ = cells // BINS, (cells % BINS).astype(np.uint8)[:, None]
+    sums = np.zeros((len(cells), parts.shape[1]))
+    for at in range(0, len(parts), BLOCK):
+        sums += (bins[of, at: at + BLOCK] == bin_).astype(float) @ parts[at: at + BLOCK]
+    out = np.zeros((len(bins) * BINS, parts.shape[1]))
+    out[cells] = sums
+    out = out.reshape(len(bins), BINS, -1)
+    out[features, most] = parts.sum(axis=0) - out.sum(axis=1)
+    return out
+
+
+def packed(h: np.ndarray) -> bytes:
+    """The cells of a histogram (cell, part) that hold rows: their numbers, then their parts."""
+    cells = np.flatnonzero(h[:, 0])
+    return cells.astype(np.int32).tobytes() + h[cells].tobytes()
+
+
+def unpacked(h: bytes, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h) // (4 + 8 * parts)
+    return np.frombuffer(h, np.int32, n), np.frombuffer(h, np.float64, n * parts, 4 * n).reshape(n, parts)
 
 
 def best_split(h: np.ndarray, outputs: int) -> tuple[int, int, float, np.ndarray, np.ndarray, float, float] | None:
@@ -112,6 +138,33 @@ def means(part: np.ndarray, outputs: int, otherwise: np.ndarray) -> np.ndarray:
     return np.where(n > 0.5, s / np.maximum(n, 1), otherwise)
 
 
+def flattened(windows: DataFrame) -> DataFrame:
+    """`cells`, the numbers of `X` (history x width) row by row as bytes, and `newest`, its last row, in place of X."""
+    kept = [f for f in windows.schema.fields if f.name != "X"]
+    number = windows.schema["X"].dataType.elementType.elementType.simpleString()
+    kind = np.float32 if number == "float" else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("X")
+            cells = x.flatten().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), -1)
+            names = [f.name for f in kept]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in names], batch.column("newest"), pa.array([r.tobytes() for r in cells], pa.binary())], [*names, "newest", "cells"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return windows.select(*[f"`{f.name}`" for f in kept], "X", F.element_at("X", -1).alias("newest")).mapInArrow(
+        run, schema + f"newest array<{number}>, cells binary")
+
+
+def _flat(windows: DataFrame) -> DataFrame:
+    return windows if "cells" in windows.columns else flattened(windows)
+
+
+def _kind(flat: DataFrame) -> type:
+    return np.float32 if flat.schema["newest"].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def bin_edges(rows: DataFrame, row: Column, width: int) -> np.ndarray:
     """(width, BINS - 1) ascending borders of each feature's bins from quantiles of `row`, one array of numbers a row."""
     shares = [k / BINS for k in range(1, BINS)]
@@ -124,26 +177,34 @@ def bin_edges(rows: DataFrame, row: Column, width: int) -> np.ndarray:
     return edges
 
 
-def binned(rows: DataFrame, edges: np.ndarray, history: int) -> DataFrame:
-    """`X` (history x width) as one byte for each cell, older rows first; all other columns stay.
+def bin_numbers(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many ascending borders lie below each value; NaN lies above all."""
+    out = np.zeros(values.shape, np.uint8)
+    for border in edges[edges < np.inf]:
+        out += values > border
+    out[np.isnan(values)] = len(edges)
+    return out
+
+
+def binned(windows: DataFrame, edges: np.ndarray, history: int) -> DataFrame:
+    """`bins`, one byte for each cell of X (history x width), older rows first, in place of X; all other columns stay.
 
     A value is in the bin of how many borders lie below it.
     """
-    width = len(edges)
-    kept = [f for f in rows.schema.fields if f.name != "X"]
+    rows, width = _flat(windows), len(edges)
+    kept, kind = [f for f in rows.schema.fields if f.name not in ("newest", "cells")], _kind(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("X")
-            cells = x.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(x), history, width)
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), kind).reshape(batch.num_rows, history, width)
             out = np.empty(cells.shape, np.uint8)
             for f in range(width):
-                out[:, :, f] = np.searchsorted(edges[f], cells[:, :, f].astype(float), "left")
+                out[:, :, f] = bin_numbers(cells[:, :, f].astype(float), edges[f])
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array([r.tobytes() for r in out], pa.binary())], [*names, "bins"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return rows.mapInArrow(run, schema + "bins binary")
+    return rows.select(*[f"`{f.name}`" for f in kept], "cells").mapInArrow(run, schema + "bins binary")
 
 
 def _floats(column: pa.Array) -> np.ndarray:
@@ -185,6 +246,8 @@ def _splits(train: DataFrame, forest: Forest, level: int, features: int) -> Data
             keys, bins, y, mask = (np.concatenate(p) for p in zip(*held, strict=True))
             held.clear()
             team = TaskContext.get().partitionId() // TEAM
+            by_feature = np.ascontiguousarray(bins.T)
+            parts = np.concatenate([np.ones((len(y), 1)), mask, mask * np.where(mask > 0, y, 0)], axis=1)
             for tree in range(forest.trees):
                 node, weight = forest.nodes(tree, bins), bootstrap(keys, tree, forest.seed)
                 use = np.flatnonzero((weight > 0) & forest.open[tree, node])
@@ -193,10 +256,11 @@ def _splits(train: DataFrame, forest: Forest, level: int, features: int) -> Data
                 chosen = forest.looked_at(tree, level, bins.shape[1], features)
                 use = use[np.argsort(node[use], kind="stable")]
                 which, first = np.unique(node[use], return_index=True)
-                parts = [histogram(bins[r], weight[r].astype(float), y[r], mask[r], chosen) for r in np.split(use, first[1:])]
+                mine, weighed = by_feature[chosen][:, use], parts[use] * weight[use, None]
+                out = [packed(histogram(mine[:, a:b], weighed[a:b]).reshape(-1, weighed.shape[1]))
+                       for a, b in zip(first, [*first[1:], len(use)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([team] * len(which), pa.int32()), pa.array([tree] * len(which), pa.int32()),
-                                                  pa.array(which, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                                                 ["team", "tree", "node", "h"])
+                                                  pa.array(which, pa.int32()), pa.array(out, pa.binary())], ["team", "tree", "node", "h"])
         rows = 0
         for batch in batches:
             held.append((batch.column("key").to_numpy(), _floats(batch.column("bins")), _matrix(batch.column("y")),
@@ -209,16 +273,17 @@ def _splits(train: DataFrame, forest: Forest, level: int, features: int) -> Data
             yield from given()
 
     def added(batches: Iterator[pa.RecordBatch]) -> tuple[tuple, np.ndarray]:
-        total, key = 0.0, None
+        total, key = np.zeros((min(features, width) * BINS, 1 + 2 * outputs)), None
         for batch in batches:
             key = key or tuple(batch.column(c)[0].as_py() for c in ("team", "tree", "node"))
             for h in batch.column("h").to_pylist():
-                total = total + np.frombuffer(h)
+                cells, parts = unpacked(h, total.shape[1])
+                total[cells] += parts
         return key, total
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = added(batches)
-        yield pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], pa.array([total.tobytes()], pa.binary())], ["team", "tree", "node", "h"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], pa.array([packed(total)], pa.binary())], ["team", "tree", "node", "h"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (_, tree, node), total = added(batches)
@@ -248,17 +313,20 @@ _CHOSEN_NAMES = _CHOSEN.names
 
 def fit(windows: DataFrame, key: Column, y: Column, mask: Column, outputs: int, trees: int = 30, depth: int = 8,
         seed: int = 42) -> tuple[Forest, np.ndarray, int] | None:
-    """(forest, bin borders, history) from windows with the matrix X; borders come from the newest row of X. None without rows."""
-    shape = windows.selectExpr("size(X) AS history", "size(X[0]) AS width").first()
-    if shape is None:
+    """(forest, bin borders, history) from windows with the matrix X, or `flattened` ones; borders come from the newest row of X. None without rows."""
+    windows = _flat(windows)
+    first = windows.select("newest", "cells").first()
+    if first is None:
         return None
-    edges = bin_edges(windows, F.element_at("X", -1), shape.width)
-    rows = windows.select(key.cast("long").alias("key"), y.cast("array<double>").alias("y"), mask.cast("array<double>").alias("mask"), "X")
-    return grow(store(binned(rows, edges, shape.history)), outputs, trees, depth, seed), edges, shape.history
+    width = len(first.newest)
+    history = len(first.cells) // (width * np.dtype(_kind(windows)).itemsize)
+    edges = bin_edges(windows, F.col("newest"), width)
+    rows = windows.select(key.cast("long").alias("key"), y.cast("array<double>").alias("y"), mask.cast("array<double>").alias("mask"), "newest", "cells")
+    return grow(store(binned(rows, edges, history)), outputs, trees, depth, seed), edges, history
 
 
 def predicted(windows: DataFrame, forest: Forest, edges: np.ndarray, history: int) -> DataFrame:
-    """The windows with `predicted`, an array of all outputs, in place of X."""
+    """The windows, flattened or not, with `predicted`, an array of all outputs, in place of X."""
     rows = binned(windows, edges, history)
     kept = [f for f in rows.schema.fields if f.name != "bins"]
 

@@ -76,12 +76,13 @@ def forest_forecasts(windows: DataFrame, split: str = "test", channels: Sequence
 
     Rows (stay_id, tick, channel, step, y, p) of the valid future points of the wanted split.
     """
-    kept = store(windows.select("stay_id", "tick", "split", "X", F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask")))
+    kept = store(forests.flattened(windows.select(
+        "stay_id", "tick", "split", "X", F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask"))))
     width = len(fx.FORECAST_CHANNELS)
     outputs = width * (max(steps) if kept.isEmpty() else kept.select(F.size("y")).first()[0] // width)
     fitted = forests.fit(kept.where("split = 'train'"), F.xxhash64("stay_id", "tick"), F.col("y"), F.col("mask"), outputs, trees, depth)
     test = kept.where(F.col("split") == split)
-    scored = forests.predicted(test, *fitted) if fitted else test.withColumn("predicted", F.array_repeat(F.lit(0.0), outputs))
+    scored = forests.predicted(test, *fitted) if fitted else test.drop("newest", "cells").withColumn("predicted", F.array_repeat(F.lit(0.0), outputs))
     cells = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("step"), *[
         F.col(v)[(k - 1) * width + fx.FORECAST_CHANNELS.index(c)].alias(n) for v, n in (("y", "y"), ("predicted", "p"), ("mask", "_m"))])
         for c in channels for k in steps]
