@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from wardgrid.functions import fixed_values as fx
+from wardgrid.plans import stream_queries
 from wardgrid.session import shared_dir
 from wardgrid.streaming import vitals as sv
 
@@ -93,3 +94,24 @@ def test_snapshot_keeps_one_row_a_patient_and_a_replayed_batch_changes_nothing(s
     # nothing new: the last snapshot stays
     again = sv.latest_state(sv.replay(spark, folder, schema), ["ts", "ord"], ["ts", "ord", "v"], name)
     assert again.count() == 3 and sv.snapshot(spark, base, 0) is None
+
+
+def test_steps_of_many_files_are_one_micro_batch_each(spark, tmp_path):
+    """The input has eight files, so a step that one task wrote would have one file; rows of later steps are later."""
+    rows = [(i, f"2024-01-{1 + i % 28:02d}") for i in range(280)]
+    df = spark.createDataFrame(rows, "k long, day string").withColumn("day", F.col("day").cast("date"))
+    df.repartition(8).write.parquet(str(tmp_path / "t.parquet"))
+    schema, name, seen = spark.read.parquet(str(tmp_path / "t.parquet")).schema, uuid.uuid4().hex, []
+
+    def run(folder):
+        out = sv.run_to_table(sv.replay(spark, folder, schema, files_per_step=sv.ALL_NEW), name)
+        seen.append((len(spark.read.parquet(folder).inputFiles()), [r.day for r in out.collect()]))
+        return out
+
+    _, out = stream_queries._in_steps(spark, str(tmp_path), "t", "day", run)
+    assert sorted(r.k for r in out.collect()) == list(range(280)) and len(seen) == 3
+    assert all(files >= 2 * (i + 1) for i, (files, _) in enumerate(seen))
+    before, after = seen[0][1], sorted(seen[2][1])[len(seen[1][1]):]
+    assert len(before) < len(seen[1][1]) < 280 and max(before) < min(after)
+    commits = spark.read.text(f"{shared_dir(spark)}/{name}/checkpoint/commits/[0-9]*")
+    assert len(commits.inputFiles()) == 3

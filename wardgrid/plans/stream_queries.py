@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +42,27 @@ def _stream(spark, d, table: str) -> DataFrame:
     return sv.replay(spark, d, schema, f"{table}.parquet")
 
 
-def _files(spark, d, table: str, by: str, parts: int = 3) -> str:
-    """The table in a new folder of the shared one as files that follow each other in the order of `by`."""
+def _in_steps(spark, d, table: str, by: str, run: Callable[[str], DataFrame], steps: int = 3) -> tuple[str, DataFrame]:
+    """The table written to a new folder of the shared one in `steps` that follow each other in the order of `by`.
+
+    After each step `run(folder)` reads its files; the folder and what the last run returned come back. Tasks write the rows
+    they read, so a step has any number of files, and a stream that takes all that is new has one micro-batch for each.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/{_run('input')}"
     rows = tm.load(spark, d, table)
-    shares = [k / parts for k in range(1, parts)]
+    shares = [k / steps for k in range(1, steps)]
     cuts = rows.select(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), F.array(*map(F.lit, shares)), 1000)).first()[0] or []
     at = F.unix_micros(F.col(by).cast("timestamp"))
+    out = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        rows.where(inside).write.mode("append").parquet(folder)
+        out = run(folder)
+    return folder, out
 
 
 def frames(spark, d, folder: str | None = None) -> DataFrame:
-    raw = sv.replay(spark, folder, tm.load(spark, d, "lineitem").schema) if folder else _stream(spark, d, "lineitem")
+    raw = sv.replay(spark, folder, tm.load(spark, d, "lineitem").schema, files_per_step=sv.ALL_NEW) if folder else _stream(spark, d, "lineitem")
     return raw.selectExpr(*[e.strip() for e in _split_top(_FRAME)]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -120,14 +127,19 @@ def stream_grid_means(spark, d):
 SELECT stay_id, make_timestamp(b * {_DAY}000000) AS tick, {', '.join(f"round(avg(v) FILTER (WHERE channel = '{c}'), 6) AS {c}" for c in _LIVE_CHANNELS)} FROM w
 GROUP BY stay_id, b""")
 def stream_grid_closed(spark, d):
-    """The same grid over several files up to the end of the input: no window is left open."""
-    folder = _files(spark, d, "events", "ts")
-    schema = tm.load(spark, d, "events").schema
-    named = name_items(_observations(sv.replay(spark, folder, schema)), fx.VITAL_ITEMS).where(F.col("channel").isin(_LIVE_CHANNELS))
+    """The same grid over several micro-batches up to the end of the input: no window is left open."""
+    schema, name = tm.load(spark, d, "events").schema, _run("grid")
+
+    def grid(folder: str) -> DataFrame:
+        raw = sv.replay(spark, folder, schema, files_per_step=sv.ALL_NEW)
+        named = name_items(_observations(raw), fx.VITAL_ITEMS).where(F.col("channel").isin(_LIVE_CHANNELS))
+        return sv.grid_means(named, _LIVE_CHANNELS, "1 day", "1 hour")
+
+    folder, _ = _in_steps(spark, d, "events", "ts", lambda folder: sv.run_to_table(grid(folder), name))
     # a reading of a live channel far beyond the last one: an error event of the first kind
     mark = tm.load(spark, d, "events").where("event_type = 'click'").limit(1).withColumns({
         "ts": F.lit("2999-01-01").cast(dict(tm.load(spark, d, "events").dtypes)["ts"]), "props": F.lit('{"k": 0}')})
-    out = sv.run_to_end(sv.grid_means(named, _LIVE_CHANNELS, "1 day", "1 hour"), _run("grid"), folder, mark)
+    out = sv.run_to_end(grid(folder), name, folder, mark)
     return tm.export(r6(out.select("stay_id", F.col("window.start").alias("tick"), *_LIVE_CHANNELS), *_LIVE_CHANNELS))
 
 
@@ -143,7 +155,9 @@ def stream_latest(spark, d):
 @query("stream_latest_files", LATEST_SQL + f"SELECT patient_id, {_ORDER_SQL}, {', '.join(_VIT)} FROM latest")
 def stream_latest_files(spark, d):
     """The latest state after several micro-batches: one row a patient in the last snapshot."""
-    return tm.export(sv.latest_state(frames(spark, d, _files(spark, d, "lineitem", "l_shipdate")), _ORDER, [*_ORDER, *_VIT], _run("latest")))
+    name = _run("latest")
+    _, out = _in_steps(spark, d, "lineitem", "l_shipdate", lambda folder: sv.latest_state(frames(spark, d, folder), _ORDER, [*_ORDER, *_VIT], name))
+    return tm.export(out)
 
 
 _FILLED = " + ".join(f"coalesce({c}, {fx.LIVE_BASELINE[c]}e0)" for c in fx.LIVE_VITALS)
@@ -163,7 +177,11 @@ def stream_buffers(spark, d):
 @query("stream_buffers_files", ORACLES["stream_buffers"])
 def stream_buffers_files(spark, d):
     """The last matrix of each patient after several micro-batches."""
-    f = frames(spark, d, _files(spark, d, "lineitem", "l_shipdate")).withColumn("ord", F.expr("l_orderkey * 10 + l_linenumber"))
-    out = sv.last_buffers(sv.run_to_table(sv.buffers(f), _run("buffers")))
+    name = _run("buffers")
+
+    def run(folder: str) -> DataFrame:
+        return sv.run_to_table(sv.buffers(frames(spark, d, folder).withColumn("ord", F.expr("l_orderkey * 10 + l_linenumber"))), name)
+
+    out = sv.last_buffers(_in_steps(spark, d, "lineitem", "l_shipdate", run)[1])
     mean = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda a, x: a + x) / (F.col("size") * 5)
     return tm.export(out.select("patient_id", "size", "newest", F.round(mean, 6).alias("mean_value")))

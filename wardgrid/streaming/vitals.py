@@ -21,6 +21,8 @@ from wardgrid.operators.scoring import apply_anomalies, apply_overrides, derived
 from wardgrid.session import shared_dir, store
 
 BUFFER = 24
+#: Files of a micro-batch, so that it takes all new ones.
+ALL_NEW = 2 ** 31 - 1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
