@@ -52,6 +52,15 @@ def test_counts_of_words_that_tasks_do_not_hold_are_joined(scored):
         assert r.n_known == want[r.doc_id][1] and r.base_score == pytest.approx(want[r.doc_id][3])
 
 
+def test_training_reads_every_word(scored):
+    """Each text has far more words than one window, and each word of each training document is there once."""
+    rows, _, (model, _), df = scored
+    to = wordlm.Words(model.vocabulary, model.head)
+    want = sorted(to.of(t, to.ranks(t)).tolist() for i, t in ((i, tokens(t)) for i, t in rows) if zlib.crc32(str(i).encode()) % 7 != 2)
+    parts = wordlm.encoded(wordlm.training(df), model.vocabulary, model.head)
+    assert sorted(r.ids for r in parts.collect()) == want and max(map(len, want)) > 4 * wordlm.WINDOW
+
+
 def test_score_is_the_probability_word_by_word(scored):
     """Unbatched: one step at a time, all classes and all words of a class."""
     rows, _, (model, counts), df = scored

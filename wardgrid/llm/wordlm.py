@@ -7,8 +7,8 @@ counted, and every class of the tail keeps one more for words never seen. So all
 
 Training is truncated backpropagation through time in numpy: each task trains a copy on its documents window by window,
 carrying the state from one window to the next, and the copies' weights are averaged over tasks by their tokens, round by
-round. Every training document takes part with a stretch in proportion to its length. Scoring reads whole texts and
-carries the state through all of their windows.
+round. Every round reads all tokens of every training document. Scoring reads whole texts and carries the state through
+all of their windows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from wardgrid.session import store
 #: Words of the head, words of one class of it, and words whose counts every task holds; other counts are joined.
 HEAD, CLASS_WORDS, KNOWN = 4096, 64, 100_000
 HIDDEN, EMBED = 16, 16
-#: Training: tokens of a window, documents side by side, rounds, and the share of each document's tokens (SHORTEST at least) in a round.
-WINDOW, LANES, ROUNDS, SHARE, SHORTEST = 32, 64, 2, 0.0625, 32
+#: Training: tokens of a window, documents side by side, and rounds over all tokens.
+WINDOW, LANES, ROUNDS = 32, 64, 2
 RATES = (0.01, 0.004)
 #: Scoring: documents of about so many bytes side by side.
 SCORE_BYTES = 16 << 20
@@ -355,24 +355,17 @@ def window(docs: list[np.ndarray], lengths: np.ndarray, at: int, size: int, last
     return ids, target, alive
 
 
-def stretches(documents: DataFrame, vocabulary: Vocabulary, head: int) -> DataFrame:
-    """(ids) of each document: a stretch of SHARE of its tokens, SHORTEST at least, from a seeded place. Stored once for all rounds."""
+def encoded(documents: DataFrame, vocabulary: Vocabulary, head: int) -> DataFrame:
+    """(ids) of all words of each document and its end. Stored once for all rounds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = Words(vocabulary, head)
         for batch in batches:
-            seeds, row = batch.column("seed").to_pylist(), 0
             for _, raw, ends in texts(batch.column("text")):
-                out = []
-                for doc in words(raw, ends):
-                    n = max(SHORTEST, int(len(doc) * SHARE))
-                    low = seeds[row] % max(1, len(doc) - n + 1)
-                    doc = doc[low: low + n]
-                    out.append(to.of(doc, to.ranks(doc)).astype(np.int32))
-                    row += 1
+                out = [to.of(doc, to.ranks(doc)).astype(np.int32) for doc in words(raw, ends)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in out])])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out)))], ["ids"])
 
-    return store(documents.select("text", F.expr("pmod(xxhash64(doc_id, text), 1000000007)").alias("seed")).mapInArrow(run, "ids array<int>"))
+    return store(documents.select("text").mapInArrow(run, "ids array<int>"))
 
 
 def trained(parts: DataFrame, network: Network, start: int, rate: float) -> Network:
@@ -447,7 +440,7 @@ def learned(documents: DataFrame, head: int = HEAD, class_words: int = CLASS_WOR
     counts = store(word_counts(rows))
     vocabulary = Vocabulary.of(counts, head, known)
     network = Network(vocabulary, head, class_words)
-    parts = stretches(rows, vocabulary, head)
+    parts = encoded(rows, vocabulary, head)
     start = Words(vocabulary, head).start
     for rate in RATES[:ROUNDS]:
         network = trained(parts, network, start, rate)
