@@ -68,6 +68,16 @@ def test_near_duplicates_edges(docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == 10          # 2, 3, 9 and 12 go; the row without an id and both rows of 7 stay
 
 
+def test_near_duplicates_are_proposed_by_one_byte_a_token(spark):
+    """The joins carry `sketch`, a quarter of `tokens`."""
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, text.replace("word", "other")), (4, "")], "doc_id long, text string")
+    rows = neardup.profiles(df, 4)
+    assert {(len(r.tokens), len(r.sketch)) for r in rows.where("n > 0").collect()} == {(4 * neardup.POSITIONS, neardup.POSITIONS)}
+    cells = rows.where("n > 0").select(F.lit(7).cast("long").alias("node"), F.lit(0).alias("block"), "doc_id", "n", "sketch")
+    assert [tuple(r) for r in neardup.proposals(cells, 1).distinct().collect()] == [(7, 1, 2, False)]
+
+
 def test_near_duplicates_of_large_nodes(spark, monkeypatch):
     """A crowd of near-copies, larger than a node, with strays that link to one or none of them."""
     monkeypatch.setattr(neardup, "NODE_DOCS", 16)

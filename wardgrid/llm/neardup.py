@@ -49,19 +49,21 @@ def _tokens(grams: np.ndarray) -> np.ndarray:
 
 
 def profiles(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, same, tokens): set size, digest of the set, minwise tokens (empty without words)."""
+    """(doc_id, n, same, tokens, sketch): set size, digest of the set, minwise tokens and one byte of each (empty without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, same, tokens = [], [], []
+            n, same, tokens, sketch = [], [], [], []
             for grams in shingle_sets(batch.column("text"), words):
                 n.append(len(grams))
                 with np.errstate(over="ignore"):
                     twice = mixed(grams * np.uint64(3) + np.uint64(11))
                     same.append(np.array([grams.sum(dtype=np.uint64), twice.sum(dtype=np.uint64)]).tobytes())
-                tokens.append(_tokens(grams).tobytes() if len(grams) else b"")
+                of = _tokens(grams) if len(grams) else np.empty(0, np.uint32)
+                tokens.append(of.tobytes())
+                sketch.append(_sketch(of).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()),
-                                              pa.array(tokens, pa.binary())], ["doc_id", "n", "same", "tokens"])
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, same binary, tokens binary")
+                                              pa.array(tokens, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "same", "tokens", "sketch"])
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, same binary, tokens binary, sketch binary")
 
 
 def _children(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -114,11 +116,14 @@ def leaves(members: DataFrame) -> DataFrame:
     return out
 
 
-def _sketch(tokens: pd.Series) -> np.ndarray:
+def _sketch(tokens: np.ndarray) -> np.ndarray:
     """One byte of each token."""
-    t = np.frombuffer(b"".join(tokens), np.uint32).reshape(len(tokens), POSITIONS)
     with np.errstate(over="ignore"):
-        return ((t * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+        return ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), POSITIONS)
 
 
 def _runs(cells: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -142,7 +147,7 @@ def proposals(cells: DataFrame, buckets: int) -> DataFrame:
     """(node, a, b, more): each document's nearest partners in its cell; more: it has others."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node", "block"], kind="stable")
-        s, n, docs, nodes = _sketch(pdf.tokens), pdf.n.to_numpy(), pdf.doc_id.to_numpy(), pdf.node.to_numpy()
+        s, n, docs, nodes = _sketches(pdf.sketch), pdf.n.to_numpy(), pdf.doc_id.to_numpy(), pdf.node.to_numpy()
         cell = pdf.groupby(["node", "block"], sort=False).ngroup().to_numpy()
         bounds = np.array(list(_runs(cell)))
         out = []
@@ -196,13 +201,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
 def crossing(rows: DataFrame, buckets: int) -> DataFrame:
     """Confirmed links (a, b) between components inside each cell, one per pair of components at most.
 
-    rows: node, cell, minor, component, doc_id, n, tokens, grams; a pair has a minor document of the cell on one side.
+    rows: node, cell, minor, component, doc_id, n, sketch, grams; a pair has a minor document of the cell on one side.
     """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, cell in pdf.groupby(["node", "cell"], sort=False):
             cell = cell.drop_duplicates(["doc_id", "minor"])
-            s, n, comp, docs = _sketch(cell.tokens), cell.n.to_numpy(), cell.component.to_numpy().copy(), cell.doc_id.to_numpy()
+            s, n, comp, docs = _sketches(cell.sketch), cell.n.to_numpy(), cell.component.to_numpy().copy(), cell.doc_id.to_numpy()
             grams = [np.frombuffer(g, np.uint64) for g in cell.grams]
             for i, found, _ in _near(s, n, np.flatnonzero(cell.minor.to_numpy())):
                 for j in found:
@@ -242,7 +247,7 @@ def _again(leaf: DataFrame, dense: DataFrame, parts: DataFrame, members: DataFra
         return None
     wanted = cells.select("doc_id").distinct()
     sets = shingle_table(documents.join(small_or_plain(store(wanted)), "doc_id", "left_semi"), words)
-    full = cells.join(members.select("doc_id", "n", "tokens").join(sets, "doc_id"), "doc_id")
+    full = cells.join(members.select("doc_id", "n", "sketch").join(sets, "doc_id"), "doc_id")
     return store(crossing(full, _buckets(n, 2 * CELL_DOCS)))
 
 
@@ -266,7 +271,7 @@ def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
     leaf = store(leaves(members))
     n_leaf = leaf.count()
     cells = leaf.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / NODE_DOCS)).cast("int"))
-    proposed = store(proposals(cells.join(members.select("doc_id", "n", "tokens"), "doc_id"), _buckets(n_leaf)))
+    proposed = store(proposals(cells.join(members.select("doc_id", "n", "sketch"), "doc_id"), _buckets(n_leaf)))
     pairs = store(proposed.groupBy("a", "b").agg(F.min("node").alias("node")))
     n_pairs = pairs.count()
     texts_of = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
