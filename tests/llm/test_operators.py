@@ -1,6 +1,5 @@
 """The training-data operators on awkward small inputs, by brute force, by round trips, and on held-out rows."""
 
-import hashlib
 import os
 import re
 from collections import Counter
@@ -78,6 +77,18 @@ def test_near_duplicates_are_proposed_by_one_byte_a_token(spark):
     assert [tuple(r) for r in neardup.proposals(cells, 1).distinct().collect()] == [(7, 1, 2, False)]
 
 
+def test_near_duplicates_send_whole_sets_only_of_candidates(spark):
+    """Of a cell, the rows with a similar one of another component: not those that are like none, nor like their own component only."""
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, text), (2, text + " end"), (3, text + " more"), *[(i, text.replace("word", f"w{i}x")) for i in range(4, 40)]]
+    members = neardup.profiles(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    component = F.when(F.col("doc_id") < 3, 1).when(F.col("doc_id") > 37, 38).otherwise(F.col("doc_id")).cast("long")
+    cells = members.select(F.lit(7).cast("long").alias("node"), F.lit(0).cast("long").alias("cell"), (component != 1).alias("minor"),
+                           component.alias("component"), "doc_id", "n", "sketch")
+    assert sorted((r.doc_id, r.component, r.minor) for r in neardup.candidates(cells, 2).collect()) == [(1, 1, False), (2, 1, False), (3, 3, True)]
+    assert neardup.candidates(cells.where("doc_id != 3"), 2).count() == 0
+
+
 def test_near_duplicates_of_large_nodes(spark, monkeypatch):
     """A crowd of near-copies, larger than a node, with strays that link to one or none of them."""
     monkeypatch.setattr(neardup, "NODE_DOCS", 16)

@@ -35,6 +35,7 @@ NODE_DOCS, CELL_DOCS, NEAREST = 2048, 1024, 4
 AGREE = 80
 #: Rows that a task compares at once; the number of buckets follows from the number of rows.
 BUCKET_ROWS = 20_000
+CELL_COLUMNS = ["node", "cell", "minor", "component", "doc_id", "n", "sketch"]
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2 ** 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -198,6 +199,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
             .groupBy("bucket").applyInPandas(run, "a long, b long"))
 
 
+def candidates(rows: DataFrame, buckets: int) -> DataFrame:
+    """(node, cell, minor, component, doc_id, n, sketch): rows of cells that have a similar one of another component, by tokens.
+
+    rows: the same columns. Only these need their whole sets; none of the pairs leaves its task.
+    """
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, cell in pdf.groupby(["node", "cell"], sort=False):
+            s, n, comp = _sketches(cell.sketch), cell.n.to_numpy(), cell.component.to_numpy()
+            needed = np.zeros(len(cell), bool)
+            for i, found, _ in _near(s, n, np.flatnonzero(cell.minor.to_numpy())):
+                others = found[comp[found] != comp[i]]
+                needed[others] = True
+                needed[i] |= len(others) > 0
+            out.append(cell[needed])
+        return pd.concat(out)[CELL_COLUMNS]
+    return (rows.withColumn("bucket", F.pmod(F.xxhash64("node", "cell"), F.lit(buckets)))
+            .groupBy("bucket").applyInPandas(run, rows.select(*CELL_COLUMNS).schema))
+
+
 def crossing(rows: DataFrame, buckets: int) -> DataFrame:
     """Confirmed links (a, b) between components inside each cell, one per pair of components at most.
 
@@ -245,10 +266,13 @@ def _again(leaf: DataFrame, dense: DataFrame, parts: DataFrame, members: DataFra
     n = cells.count()
     if not n:
         return None
-    wanted = cells.select("doc_id").distinct()
+    near = store(candidates(cells.join(members.select("doc_id", "n", "sketch"), "doc_id"), _buckets(n, 2 * CELL_DOCS)))
+    n = near.count()
+    if not n:
+        return None
+    wanted = near.select("doc_id").distinct()
     sets = shingle_table(documents.join(small_or_plain(store(wanted)), "doc_id", "left_semi"), words)
-    full = cells.join(members.select("doc_id", "n", "sketch").join(sets, "doc_id"), "doc_id")
-    return store(crossing(full, _buckets(n, 2 * CELL_DOCS)))
+    return store(crossing(near.join(sets, "doc_id"), _buckets(n, 2 * CELL_DOCS)))
 
 
 def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
