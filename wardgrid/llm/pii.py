@@ -28,23 +28,25 @@ ANY = "|".join([EMAIL, SECRET, IP, ISO_DATE, DAY_DATE, SSN, PHONE, CARD])
 DAYS_LEFT, DAYS_RIGHT = 17, 4297
 
 
-def _digest(key: str, kind: str, round_no: int, value: str) -> str:
+def _digest(key: str, kind: str, round_no: str, value: str) -> str:
     """SQL for 48 keyed bits as a non-negative long."""
     secret = key.replace("\\", "\\\\").replace("'", "\\'")
-    return (f"cast(conv(substr(sha2(concat('{secret}', '|{kind}|{round_no}|', {value}), 256), 1, 12), 16, 10) as bigint)")
+    return (f"cast(conv(substr(sha2(concat('{secret}', '|{kind}|', {round_no}, '|', {value}), 256), 1, 12), 16, 10) as bigint)")
 
 
 def feistel(value: str, left: str, right: str, kind: str, key: str, undo: bool = False) -> str:
-    """SQL that permutes `value`, a number below left * right; `undo` gives the inverse. Parts are bound as lambda variables."""
-    out = f"named_struct('l', {value} div ({right}), 'r', {value} % ({right}))"
-    for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS)):
-        sign = "-" if undo else "+"
-        if i % 2 == 0:
-            step = (f"named_struct('l', pmod(s.l {sign} {_digest(key, kind, i, 'cast(s.r as string)')} % ({left}), {left}), 'r', s.r)")
-        else:
-            step = (f"named_struct('l', s.l, 'r', pmod(s.r {sign} {_digest(key, kind, i, 'cast(s.l as string)')} % ({right}), {right}))")
-        out = f"transform(array({out}), s -> {step})[0]"
-    return f"transform(array({out}), s -> s.l * ({right}) + s.r)[0]"
+    """SQL that permutes `value`, a number below left * right; `undo` gives the inverse.
+
+    The rounds are a fold over their numbers: written out one inside another, they cost the driver hundreds of MB to parse.
+    """
+    sign = "-" if undo else "+"
+    numbers = ", ".join(str(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS)))
+
+    def moved(part: str, other: str, size: str) -> str:
+        return f"pmod(s.{part} {sign} {_digest(key, kind, 'cast(k as string)', f'cast(s.{other} as string)')} % ({size}), {size})"
+    return (f"aggregate(array({numbers}), named_struct('l', {value} div ({right}), 'r', {value} % ({right})), (s, k) -> if(k % 2 = 0, "
+            f"named_struct('l', {moved('l', 'r', left)}, 'r', s.r), named_struct('l', s.l, 'r', {moved('r', 'l', right)})), "
+            f"s -> s.l * ({right}) + s.r)")
 
 
 def _power(n: str) -> str:
