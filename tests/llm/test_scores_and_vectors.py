@@ -107,6 +107,23 @@ def test_probabilities_of_all_words_sum_to_one(scored):
     assert head + (tail * shares / voc.tail).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_classes_of_few_words_are_trained_together(scored, monkeypatch):
+    """With all, some and none of the classes computed at once, and where logits could overflow."""
+    _, _, (model, _), _ = scored
+    rng = np.random.default_rng(2)
+    net = wordlm.Network(model.vocabulary, 30, 4)
+    target = np.concatenate([rng.integers(0, 30 + wordlm.SHAPES, 60), np.full(20, 5)])
+    h = rng.normal(0, 0.5, (80, wordlm.HIDDEN)).astype(np.float32)
+    for factor in (1, 1000):
+        net.out *= np.float32(factor)
+        found = []
+        for few in (0, 8, 80):
+            monkeypatch.setattr(wordlm, "FEW", few)
+            grads: list = []
+            found.append([net.log_probabilities(h, target, grads), *grads])
+        assert all(np.allclose(x, y, rtol=1e-4, atol=1e-5) for other in found[1:] for x, y in zip(found[0], other, strict=True))
+
+
 def test_gradients(scored):
     _, _, (model, _), _ = scored
     rng = np.random.default_rng(0)

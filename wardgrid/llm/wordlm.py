@@ -34,6 +34,8 @@ WINDOW, LANES, ROUNDS = 32, 64, 2
 RATES = (0.01, 0.004)
 #: Scoring: documents of about so many bytes side by side.
 SCORE_BYTES = 16 << 20
+#: In training, classes of so many words of a window at most are computed together.
+FEW = 48
 #: Positions whose outputs are computed at once.
 CHUNK = 1 << 13
 #: Distinct words that a task counts before it sends them on.
@@ -179,6 +181,15 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights()])
 
+    def together(self) -> np.ndarray:
+        """All weights in one array, of which they are parts from now on."""
+        flat, at = self.flat(), 0
+        for name in self.NAMES:
+            w = getattr(self, name)
+            setattr(self, name, flat[at: at + w.size].reshape(w.shape))
+            at += w.size
+        return flat
+
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for w in self.weights():
@@ -237,10 +248,13 @@ class Network:
             grads += [d_h, h.T @ d, d.sum(axis=0), d_out, d_out_bias]
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for k in range(self.groups):
+        sizes = np.diff(ends)
+        few = np.flatnonzero((sizes > 0) & (sizes <= FEW)) if grads is not None else np.empty(0, np.int64)
+        if len(few):
+            self._few(h, target, order, ends[few], sizes[few], few, safe, out, d_h, d_out, d_out_bias)
+            sizes[few] = 0
+        for k in np.flatnonzero(sizes).tolist():
             rows = order[ends[k]: ends[k + 1]]
-            if not len(rows):
-                continue
             at = slice(k * self.size, (k + 1) * self.size)
             mine, word = h[rows], target[rows] - k * self.size
             chosen, e, total = _chosen(mine @ self.out[at].T, self.out_bias[at], word, safe)
@@ -254,6 +268,30 @@ class Network:
                 d_out_bias[at] += d.sum(axis=0)
         return out
 
+    def _few(self, h: np.ndarray, target: np.ndarray, order: np.ndarray, first: np.ndarray, sizes: np.ndarray, few: np.ndarray, safe: bool,
+             out: np.ndarray, d_h: np.ndarray, d_out: np.ndarray, d_out_bias: np.ndarray) -> None:
+        """Adds the words' part of the classes `few`, each of few rows, to the results: all classes at once, filled up to the longest."""
+        place = np.arange(sizes.max())
+        there = place < sizes[:, None]
+        rows = order[np.where(there, first[:, None] + place, first[:, None])]
+        mine, word = h[rows], target[rows] - few[:, None] * self.size
+        weights = self.out.reshape(self.groups, self.size, HIDDEN)[few]
+        logits = mine @ weights.transpose(0, 2, 1)
+        logits += self.out_bias.reshape(self.groups, 1, self.size)[few]
+        if not safe:
+            logits -= logits.max(axis=2, keepdims=True)
+        which = (np.arange(len(few))[:, None], place, word)
+        chosen = logits[which]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(self.size, logits.dtype)
+        out[rows[there]] += (chosen - np.log(total))[there]
+        logits /= total[..., None]
+        logits[which] -= 1
+        logits *= (there / np.float32(len(target))).astype(np.float32)[..., None]
+        d_h[rows[there]] += (logits @ weights)[there]
+        d_out.reshape(self.groups, self.size, HIDDEN)[few] += logits.transpose(0, 2, 1) @ mine
+        d_out_bias.reshape(self.groups, self.size)[few] += logits.sum(axis=1)
+
     def _bound(self) -> float:
         """No logit is larger than this, as no state is larger than 1."""
         return max(float((np.abs(self.classes).sum(axis=0) + self.class_bias).max()),
@@ -266,32 +304,32 @@ class Network:
         valid = np.arange(ids.shape[1]) < alive[:, None]
         out: list = []
         loss = -float(self.log_probabilities(states[valid], target[valid], out).mean())
-        grad = np.zeros_like(states)
-        grad[valid] = out[0]
-        d_x, d_u = np.zeros_like(self.x), np.zeros_like(self.u)
-        d_bias, d_inner, d_embed = np.zeros_like(self.bias), np.zeros_like(self.inner), np.zeros_like(self.embed)
-        carry = np.zeros_like(h)
-        seen, by_input = [], []
-        for t in reversed(range(len(kept))):
-            before, z, r, inner, c = kept[t]
-            n = len(before)
-            d = grad[t, :n] + carry[:n]
-            dc = d * (1 - z) * (1 - c * c)
-            da = np.concatenate([d * (before - c) * z * (1 - z), dc * inner * r * (1 - r), dc], axis=1)
-            dv = da.copy()
-            dv[:, 2 * HIDDEN:] *= r
-            e = self.embed[ids[t, :n]]
-            d_x += e.T @ da
-            d_u += before.T @ dv
-            d_bias += da.sum(axis=0)
-            d_inner += dv[:, 2 * HIDDEN:].sum(axis=0)
-            seen.append(ids[t, :n])
-            by_input.append(da @ self.x.T)
-            carry[:n] = d * z + dv @ self.u.T
-        order = np.argsort(seen := np.concatenate(seen), kind="stable")
+        # rows of all times one after another, as `valid` takes them; only what hangs on the later times is left to the loop
+        before, z, r, inner, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+        ends = np.cumsum([0, *(len(x[0]) for x in kept)]).tolist()
+        grad, stay = out[0], 1 - z
+        by_c = stay * (1 - c * c)
+        by_z, by_r = (before - c) * z * stay, inner * r * (1 - r)
+        da, dv = np.empty((len(z), 3 * HIDDEN), np.float32), np.empty((len(z), 3 * HIDDEN), np.float32)
+        carry, back = np.zeros_like(h), np.ascontiguousarray(self.u.T)
+        for a, b in zip(ends[-2::-1], ends[:0:-1], strict=True):
+            d = grad[a:b]
+            d += carry[: b - a]
+            dc = np.multiply(d, by_c[a:b], out=da[a:b, 2 * HIDDEN:])
+            np.multiply(d, by_z[a:b], out=da[a:b, :HIDDEN])
+            np.multiply(dc, by_r[a:b], out=da[a:b, HIDDEN: 2 * HIDDEN])
+            mine = dv[a:b]
+            mine[:] = da[a:b]
+            mine[:, 2 * HIDDEN:] *= r[a:b]
+            d *= z[a:b]
+            d += mine @ back
+            carry[: b - a] = d
+        seen = ids[valid]
+        d_x, d_u, d_embed = self.embed[seen].T @ da, before.T @ dv, np.zeros_like(self.embed)
+        order = np.argsort(seen, kind="stable")
         which, first = np.unique(seen[order], return_index=True)
-        d_embed[which] = np.add.reduceat(np.concatenate(by_input)[order], first, axis=0)
-        return [d_embed, d_x, d_u, d_bias, d_inner, *out[1:]], last, loss
+        d_embed[which] = np.add.reduceat((da @ self.x.T)[order], first, axis=0)
+        return [d_embed, d_x, d_u, da.sum(axis=0), dv[:, 2 * HIDDEN:].sum(axis=0), *out[1:]], last, loss
 
 
 def _chosen(logits: np.ndarray, bias: np.ndarray, which: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,8 +352,8 @@ class Trainer:
 
     def __init__(self, network: Network, start: int, rate: float) -> None:
         self.network, self.start, self.rate, self.number, self.tokens = network, start, rate, 0, 0
-        self.first = [np.zeros_like(w) for w in network.weights()]
-        self.second = [np.zeros_like(w) for w in network.weights()]
+        self.flat = network.together()
+        self.first, self.second, self.room = (np.zeros_like(self.flat) for _ in range(3))
 
     def fit(self, docs: list[np.ndarray]) -> None:
         """Documents of like length side by side; the state is carried from window to window of a document."""
@@ -333,13 +371,22 @@ class Trainer:
             last = target[-1]
             self.number += 1
             self.tokens += int(alive.sum())
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+            g = np.concatenate([x.ravel() for x in grads])
+            g /= np.float32(max(1.0, np.sqrt(float(g @ g))))
             rate = self.rate * np.sqrt(1 - 0.99 ** self.number) / (1 - 0.9 ** self.number)
-            for w, g, m, v in zip(self.network.weights(), grads, self.first, self.second, strict=True):
-                g = g / np.float32(max(1.0, norm))
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                w -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-6))
+            m, v, room = self.first, self.second, self.room
+            np.subtract(g, m, out=room)
+            room *= np.float32(0.1)
+            m += room
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=room)
+            room += np.float32(1e-6)
+            np.divide(m, room, out=room)
+            room *= np.float32(rate)
+            self.flat -= room
 
 
 def window(docs: list[np.ndarray], lengths: np.ndarray, at: int, size: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
