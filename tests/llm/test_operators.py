@@ -90,6 +90,21 @@ def test_near_duplicates_send_whole_sets_only_of_candidates(spark):
     assert neardup.candidates(cells.where("doc_id != 3"), 2).count() == 0
 
 
+def test_near_duplicates_compare_a_pair_in_one_node_only(spark):
+    """Rows that only share pairs with an earlier node, or that another cell of the node has, are no candidates: their sets are not sent again."""
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, f"{text} end{i}") for i in range(1, 5)]
+    members = neardup.profiles(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    places = spark.createDataFrame([(7, 0, i, i > 1, []) for i in (1, 2, 3)] + [(9, 0, i, i > 1, [7] if i < 4 else []) for i in (1, 2, 4)]
+                                   + [(11, 0, i, i > 1, [7, 9]) for i in (1, 2)] + [(13, -2, i, True, []) for i in (3, 4)],
+                                   "node long, cell long, doc_id long, minor boolean, before array<long>")
+    near = neardup.candidates(places.withColumn("component", F.col("doc_id")).join(members.select("doc_id", "n", "sketch"), "doc_id"), 2)
+    assert sorted((r.node, r.doc_id) for r in near.collect()) == [(7, 1), (7, 2), (7, 3), (9, 1), (9, 2), (9, 4)]
+    sets = neardup.shingle_table(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    links = sorted(tuple(sorted(r)) for r in neardup.crossing(near.join(sets, "doc_id"), 2).collect())
+    assert len(links) == 4 and {x for pair in links for x in pair} == {1, 2, 3, 4}      # two in each node: its components become one
+
+
 def test_near_duplicates_of_large_nodes(spark, monkeypatch):
     """A crowd of near-copies, larger than a node, with strays that link to one or none of them."""
     monkeypatch.setattr(neardup, "NODE_DOCS", 16)

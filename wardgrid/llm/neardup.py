@@ -9,8 +9,9 @@ with a probability below 1e-6. Nodes of up to `NODE_DOCS` documents are compared
 Comparing is in two steps, so that a large group of near-copies does not cost its square. First each document of a node
 proposes its `NEAREST` most similar partners (by minwise tokens); these are confirmed on whole shingle sets, and
 confirmed links give components. Then only nodes in which some document had more partners, or which stayed large, are
-looked at again, and in them only pairs of different components; large nodes are cut into cells of bounded size. So
-every pair that a tree brings together is either confirmed, refuted on its whole sets, or inside one component.
+looked at again, and in them only pairs of different components, each in the first node that holds both; large nodes are
+cut into cells of bounded size. So every pair that a tree brings together is either confirmed, refuted on its whole sets,
+or inside one component.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgrid.llm.bytesets import mixed, shingle_sets
@@ -35,7 +36,7 @@ NODE_DOCS, CELL_DOCS, NEAREST = 2048, 1024, 4
 AGREE = 80
 #: Rows that a task compares at once; the number of buckets follows from the number of rows.
 BUCKET_ROWS = 20_000
-CELL_COLUMNS = ["node", "cell", "minor", "component", "doc_id", "n", "sketch"]
+CELL_COLUMNS = ["node", "cell", "minor", "component", "doc_id", "n", "sketch", "before"]
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2 ** 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -110,7 +111,8 @@ def leaves(members: DataFrame) -> DataFrame:
             done.append(sized.select("node", "size", "doc_id"))
             break
         done.append(sized.where(F.col("size") <= NODE_DOCS).select("node", "size", "doc_id"))
-        rows = store(branched(sized.where(F.col("size") > NODE_DOCS).join(members.select("doc_id", "tokens"), "doc_id")))
+        deep = store(sized.where(F.col("size") > NODE_DOCS).select("node", "doc_id"))
+        rows = store(branched(members.select("doc_id", "tokens").join(small_or_plain(deep), "doc_id")))
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
@@ -181,7 +183,8 @@ def shingle_table(documents: DataFrame, words: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """The pairs (node, a, b) whose whole sets are similar enough; a node's pairs are compared together."""
-    need = pairs.select("node", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    need = store(pairs.select("node", F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    need = sets.join(small_or_plain(need), "doc_id")
     both = (pairs.select("node", "a", "b", F.lit(None).cast("binary").alias("grams"))
             .unionByName(need.select("node", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")))
 
@@ -199,20 +202,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
             .groupBy("bucket").applyInPandas(run, "a long, b long"))
 
 
+def _crossings(cell: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a cell with the similar rows of other components that they are compared with here.
+
+    Two minor rows are compared once, in the cell of their block with itself (a number from 0), and two documents only in
+    the first node that they share: their other nodes leave them to it.
+    """
+    s, n, comp, minor = _sketches(cell.sketch), cell.n.to_numpy(), cell.component.to_numpy(), cell.minor.to_numpy()
+    lists = cell.before.tolist()
+    before = np.zeros((len(cell), max(map(len, lists))), np.int64)      # nodes are never 0
+    for i, nodes in enumerate(lists):
+        before[i, : len(nodes)] = nodes
+    inner = cell.cell.iat[0] >= 0
+    for i, found, _ in _near(s, n, np.flatnonzero(minor)):
+        here = found[(comp[found] != comp[i]) & (~minor[found] | (inner & (found > i)))]
+        if len(lists[i]) and len(here):
+            here = here[~np.isin(before[here], lists[i]).any(axis=1)]
+        if len(here):
+            yield i, here
+
+
 def candidates(rows: DataFrame, buckets: int) -> DataFrame:
-    """(node, cell, minor, component, doc_id, n, sketch): rows of cells that have a similar one of another component, by tokens.
+    """(node, cell, minor, component, doc_id, n, sketch, before): rows of cells that have a similar one of another component, by tokens.
 
-    rows: the same columns. Only these need their whole sets; none of the pairs leaves its task.
+    rows: the same columns; without `before`, no document has an earlier node. Only these need their whole sets; none of the
+    pairs leaves its task.
     """
+    if "before" not in rows.columns:
+        rows = rows.withColumn("before", F.array().cast("array<long>"))
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, cell in pdf.groupby(["node", "cell"], sort=False):
-            s, n, comp = _sketches(cell.sketch), cell.n.to_numpy(), cell.component.to_numpy()
             needed = np.zeros(len(cell), bool)
-            for i, found, _ in _near(s, n, np.flatnonzero(cell.minor.to_numpy())):
-                others = found[comp[found] != comp[i]]
+            for i, others in _crossings(cell):
                 needed[others] = True
-                needed[i] |= len(others) > 0
+                needed[i] = True
             out.append(cell[needed])
         return pd.concat(out)[CELL_COLUMNS]
     return (rows.withColumn("bucket", F.pmod(F.xxhash64("node", "cell"), F.lit(buckets)))
@@ -222,16 +247,16 @@ def candidates(rows: DataFrame, buckets: int) -> DataFrame:
 def crossing(rows: DataFrame, buckets: int) -> DataFrame:
     """Confirmed links (a, b) between components inside each cell, one per pair of components at most.
 
-    rows: node, cell, minor, component, doc_id, n, sketch, grams; a pair has a minor document of the cell on one side.
+    rows: node, cell, minor, component, doc_id, n, sketch, before, grams; a pair has a minor document of the cell on one side.
     """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, cell in pdf.groupby(["node", "cell"], sort=False):
-            cell = cell.drop_duplicates(["doc_id", "minor"])
-            s, n, comp, docs = _sketches(cell.sketch), cell.n.to_numpy(), cell.component.to_numpy().copy(), cell.doc_id.to_numpy()
+            cell = cell.drop_duplicates("doc_id")
+            comp, docs = cell.component.to_numpy().copy(), cell.doc_id.to_numpy()
             grams = [np.frombuffer(g, np.uint64) for g in cell.grams]
-            for i, found, _ in _near(s, n, np.flatnonzero(cell.minor.to_numpy())):
-                for j in found:
+            for i, others in _crossings(cell):
+                for j in others:
                     if comp[i] != comp[j] and _linked(grams[i], grams[j]):
                         out.append((docs[i], docs[j]))
                         comp[comp == comp[j]] = comp[i]
@@ -255,18 +280,25 @@ def _again(leaf: DataFrame, dense: DataFrame, parts: DataFrame, members: DataFra
     rows = (rows.join(small_or_plain(main), "node")
             .withColumn("minor", F.col("component") != F.col("main"))
             .withColumn("blocks", F.ceil(F.col("size") / CELL_DOCS).cast("int"))
-            .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    # a cell is one block of minor documents beside one block of all: each row goes to the cells of its block
-    as_any = rows.select("node", "component", "doc_id", F.lit(False).alias("minor"),
-                         F.explode(F.expr("transform(sequence(0, blocks - 1), m -> m * cast(blocks as bigint) + block)")).alias("cell"))
-    as_minor = rows.where("minor").select("node", "component", "doc_id", F.lit(True).alias("minor"),
-                                          F.explode(F.expr("transform(sequence(0, blocks - 1), o -> block * cast(blocks as bigint) + o)")).alias("cell"))
+            .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            .withColumn("before", F.collect_list("node").over(Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))))
+    # a cell is one block of minor documents beside one block of others, or within itself (from 0): each row goes to the
+    # cells of its block; of two blocks' minor documents, those of the larger number are the others
+    outer, inner = "-1 - ({} * cast(blocks as bigint) + {})", "cast(block as bigint)"
+    mine, its = outer.format("block", "o"), outer.format("m", "block")
+    columns = ["node", "component", "doc_id", "before"]
+    as_any = rows.select(*columns, F.lit(False).alias("minor"), F.explode(F.expr(
+        f"transform(filter(sequence(0, blocks - 1), m -> not minor or m < block), m -> if(m = block, {inner}, {its}))")).alias("cell"))
+    as_minor = rows.where("minor").select(*columns, F.lit(True).alias("minor"), F.explode(F.expr(
+        f"transform(sequence(0, blocks - 1), o -> if(o = block, {inner}, {mine}))")).alias("cell"))
     used = as_minor.select("node", "cell").distinct()
     cells = store(as_any.join(used, ["node", "cell"], "left_semi").unionByName(as_minor))
     n = cells.count()
     if not n:
         return None
-    near = store(candidates(cells.join(members.select("doc_id", "n", "sketch"), "doc_id"), _buckets(n, 2 * CELL_DOCS)))
+    held = small_or_plain(store(cells.select("doc_id").distinct()))
+    sketches = members.select("doc_id", "n", "sketch").join(held, "doc_id", "left_semi")
+    near = store(candidates(cells.join(sketches, "doc_id"), _buckets(n, 2 * CELL_DOCS)))
     n = near.count()
     if not n:
         return None
@@ -290,7 +322,9 @@ def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
     classes = some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("same", "rep")
     copies = store(some.select("doc_id", "same").join(small_or_plain(store(classes)), "same")
                    .where("doc_id != rep").select("doc_id", "rep").distinct())
-    members = store(some.join(small_or_plain(copies.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
+    left = some.join(small_or_plain(copies.select("doc_id")), "doc_id", "left_anti")
+    again = small_or_plain(store(some.groupBy("doc_id").count().where("count > 1").select("doc_id")))      # only these rows need a shuffle
+    members = store(left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
     leaf = store(leaves(members))
     n_leaf = leaf.count()
@@ -299,7 +333,7 @@ def link_components(documents: DataFrame, words: int = 5) -> DataFrame:
     pairs = store(proposed.groupBy("a", "b").agg(F.min("node").alias("node")))
     n_pairs = pairs.count()
     texts_of = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = store(shingle_table(docs.join(small_or_plain(texts_of), "doc_id", "left_semi"), words))
+    sets = shingle_table(docs.join(small_or_plain(texts_of), "doc_id", "left_semi"), words)
     links = store(confirmed(pairs, sets, _buckets(n_pairs, 1_000)))
     parts = store(components(links).withColumnsRenamed({"id": "doc_id"}))
 
