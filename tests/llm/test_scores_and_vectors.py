@@ -142,6 +142,44 @@ def test_gradients(scored):
         assert (losses[0] - losses[1]) / 0.02 == pytest.approx(g[at], rel=0.05, abs=1e-4)
 
 
+def test_windows_hold_no_lanes_of_ended_documents(scored, monkeypatch):
+    """Each token is trained on once, and no window computes lanes without one; weights move as by Adam written out."""
+    _, _, (model, _), _ = scored
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 30 + wordlm.SHAPES, n) for n in (5, 100, 40, 33, 1)]
+    monkeypatch.setattr(wordlm, "NEAR", 100)
+    trainer = wordlm.Trainer(wordlm.Network(model.vocabulary, 30, 4), 0, 0.01)
+    w, m, v = trainer.flat.astype(float), 0.0, 0.0
+    seen, plain = [], trainer.network.gradients
+
+    def watched(ids, target, alive, h):
+        nonlocal w, m, v
+        assert np.allclose(trainer.flat, w, rtol=1e-3, atol=1e-4)
+        found = plain(ids, target, alive, h)
+        seen.append((ids.shape[1], int(alive[0]), int(alive.sum())))
+        g = np.concatenate([x.ravel() for x in found[0]]).astype(float)
+        g /= max(1.0, np.sqrt(g @ g))
+        m, v, k = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, len(seen)
+        w = trainer.flat - 0.01 * np.sqrt(1 - 0.99 ** k) / (1 - 0.9 ** k) * m / (np.sqrt(v) + 1e-6)
+        return found
+    monkeypatch.setattr(trainer.network, "gradients", watched)
+    trainer.fit(docs)
+    assert [x[0] for x in seen] == [x[1] for x in seen] == [5, 3, 1, 1]
+    assert sum(x[2] for x in seen) == trainer.tokens == sum(map(len, docs)) and np.allclose(trainer.flat, w, rtol=1e-3, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_what_is_scored_abreast(scored, monkeypatch):
+    _, _, (model, _), _ = scored
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, model.network.head + wordlm.SHAPES, n) for n in (3, 90, 1, 40, 3)]
+    found = []
+    for abreast in (1, 2, 512):
+        monkeypatch.setattr(wordlm, "ABREAST", abreast)
+        found.append(wordlm.document_scores(model.network, 0, docs))
+    assert np.allclose(found[0], found[1], rtol=1e-4) and np.allclose(found[0], found[2], rtol=1e-4)
+    assert len(wordlm.document_scores(model.network, 0, [])) == 0
+
+
 def test_training_beats_the_counts_on_held_out_texts(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(" ".join(("ab", "cd", "ef")) if rng.random() < .5 else "gh ij kl" for _ in range(30))) for i in range(6000)]

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SCORE_BYTES = 16 << 20
 FEW = 48
 #: Positions whose outputs are computed at once.
 CHUNK = 1 << 13
+#: Documents that are scored side by side, and weights that are updated at once.
+ABREAST, NEAR = 512, 1 << 14
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 200_000
 SHAPES = 24
@@ -134,8 +137,7 @@ class Words:
         self.start = int(self.ids[self.rank[END]]) if END in self.rank else self.head + shape(END)
 
     def ranks(self, doc: list[bytes]) -> np.ndarray:
-        get = self.rank.get
-        return np.array([get(w, -1) for w in doc], np.int64)
+        return np.fromiter(map(self.rank.get, doc, repeat(-1)), np.int64, len(doc))
 
     def of(self, doc: list[bytes], ranks: np.ndarray) -> np.ndarray:
         ids = self.ids[ranks] if len(self.ids) else np.zeros(len(ranks), np.int64)
@@ -145,14 +147,16 @@ class Words:
 
 
 class Network:
-    """One layer of gated recurrent units; gates in the order update, reset, candidate."""
+    """One layer of gated recurrent units; gates in the order update, reset, candidate.
+
+    States are computed with lanes as the last axis, so that each gate of a time lies in one piece.
+    """
 
     NAMES = ("embed", "x", "u", "bias", "inner", "classes", "class_bias", "out", "out_bias")
 
     def __init__(self, vocabulary: Vocabulary, head: int, class_words: int, seed: int = 3) -> None:
         """Random weights; the output's biases start at the logarithms of the counts."""
         rng = np.random.default_rng(seed)
-        self.inputs: np.ndarray | None = None
         self.head, self.size = min(head, len(vocabulary.known)), class_words
         self.groups = -(-self.head // class_words)
         total = self.groups + SHAPES
@@ -170,11 +174,6 @@ class Network:
         self.classes, self.class_bias = normal(HIDDEN, total) * np.float32(0.1), np.log(mass / mass.sum()).astype(np.float32)
         self.out, self.out_bias = rng.normal(0, 0.02, (len(padded), HIDDEN)).astype(np.float32), out_bias.astype(np.float32)
 
-    def fixed(self) -> Network:
-        """Ready for scoring: the input's part of the gates of every id, at once."""
-        self.inputs = self.embed @ self.x + self.bias
-        return self
-
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
@@ -196,36 +195,57 @@ class Network:
             w[...] = flat[at: at + w.size].reshape(w.shape)
             at += w.size
 
-    def steps(self, ids: np.ndarray, alive: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (time, lane, HIDDEN) after input ids (time, lane) from h, and the last ones; lanes beyond `alive` of a time stand still."""
-        h = h.copy()
-        inputs = self.inputs if self.inputs is not None else self.embed[ids] @ self.x + self.bias
-        states = np.zeros((*ids.shape, HIDDEN), np.float32)
+    def _gates(self) -> np.ndarray:
+        """Weights (4 * HIDDEN, HIDDEN + EMBED + 1) from state, input and one to halved update, halved reset, the candidate's state and input part."""
+        k = HIDDEN
+        w = np.zeros((4 * k, k + EMBED + 1), np.float32)
+        w[: 3 * k, : k], w[2 * k: 3 * k, -1] = self.u.T, self.inner
+        for at, part in ((0, slice(0, 2 * k)), (3 * k, slice(2 * k, 3 * k))):
+            size = part.stop - part.start
+            w[at: at + size, k: -1], w[at: at + size, -1] = self.x[:, part].T, self.bias[part]
+        w[: 2 * k] *= np.float32(0.5)
+        return w
+
+    def steps(self, ids: np.ndarray, alive: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray | None, np.ndarray]:
+        """States (time, lane, HIDDEN) after input ids (time, lane) from h, and the last ones; lanes beyond `alive` of a time stand still.
+
+        With `kept`, puts states and inputs, gates and candidates of all times there instead of giving states.
+        """
+        k, (times, lanes), weights = HIDDEN, ids.shape, self._gates()
+        slots = times if kept is not None else 1
+        x = np.empty((slots + (kept is not None), k + EMBED + 1, lanes), np.float32)
+        x[0, :k], x[:, -1] = h.T, 1
+        gates, c = np.zeros((slots, 4 * k, lanes), np.float32), np.zeros((slots, k, lanes), np.float32)
+        if kept is not None:
+            x[:-1, k: -1] = self.embed[ids].transpose(0, 2, 1)
+            kept += [x, gates, c]
+        states = np.zeros((times, lanes, k), np.float32) if kept is None else None
+        half, one = np.float32(0.5), np.float32(1)
         for t, n in enumerate(alive.tolist()):
+            now, after = (t, t + 1) if kept is not None else (0, 0)
+            if kept is not None and n < lanes:
+                x[after, :k, n:] = x[now, :k, n:]
             if not n:
-                break
-            a = inputs[t, :n] if self.inputs is None else inputs.take(ids[t, :n], axis=0)
-            before = h[:n].copy()
-            v = before @ self.u
-            gates = a[:, : 2 * HIDDEN] + v[:, : 2 * HIDDEN]
-            gates *= np.float32(0.5)
-            np.tanh(gates, out=gates)
-            gates += np.float32(1)
-            gates *= np.float32(0.5)
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            inner = v[:, 2 * HIDDEN:]
-            inner += self.inner
-            c = r * inner
-            c += a[:, 2 * HIDDEN:]
-            np.tanh(c, out=c)
-            new = before - c
-            new *= z
-            new += c
-            h[:n] = new
-            states[t, :n] = new
-            if kept is not None:
-                kept.append((before, z, r, inner, c))
-        return states, h
+                if kept is None:
+                    break
+                continue
+            if kept is None:
+                x[0, k: -1, :n] = self.embed.take(ids[t, :n], axis=0).T
+            g, mine, new = gates[now, :, :n], c[now, :, :n], x[after, :k, :n]
+            np.matmul(weights, x[now, :, :n], out=g)
+            both = g[: 2 * k]
+            np.tanh(both, out=both)
+            both += one
+            both *= half
+            np.multiply(g[k: 2 * k], g[2 * k: 3 * k], out=mine)
+            mine += g[3 * k:]
+            np.tanh(mine, out=mine)
+            np.subtract(x[now, :k, :n], mine, out=new)
+            new *= g[:k]
+            new += mine
+            if states is not None:
+                states[t, :n] = new.T
+        return states, x[-1, :k].T.copy()
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray, grads: list | None = None) -> np.ndarray:
         """Natural logarithms of P(target's class) P(target in its class) after states h; a tail word counts by its class alone.
@@ -235,45 +255,51 @@ class Network:
         n = len(target)
         if n > CHUNK and grads is None:
             return np.concatenate([self.log_probabilities(h[i: i + CHUNK], target[i: i + CHUNK]) for i in range(0, n, CHUNK)])
-        inside = target < self.head
-        group = np.where(inside, target // self.size, self.groups + target - self.head)
+        group = np.where(target < self.head, target // self.size, self.groups + target - self.head)
+        # by class from here on, so that the rows of one lie side by side
+        order = np.argsort(_short(group, self.groups + SHAPES), kind="stable")
+        h, target, group = h[order], target[order], group[order]
         safe = self._bound() < 80
-        rows = np.arange(n)
         out, e, total = _chosen(h @ self.classes, self.class_bias, group, safe)
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, group] -= 1
-            d /= np.float32(n)
+            d = _by_logits(e, total, group, n)
             d_h, d_out, d_out_bias = d @ self.classes.T, np.zeros_like(self.out), np.zeros_like(self.out_bias)
-            grads += [d_h, h.T @ d, d.sum(axis=0), d_out, d_out_bias]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+            d_classes, d_class_bias = h.T @ d, np.ones(n, np.float32) @ d
+        ends = np.searchsorted(group, np.arange(self.groups + 1))
         sizes = np.diff(ends)
-        few = np.flatnonzero((sizes > 0) & (sizes <= FEW)) if grads is not None else np.empty(0, np.int64)
-        if len(few):
-            self._few(h, target, order, ends[few], sizes[few], few, safe, out, d_h, d_out, d_out_bias)
-            sizes[few] = 0
+        if grads is not None:
+            most = FEW
+            while most:                 # classes of like numbers of rows together, as each is filled up to the longest
+                least = most // 2 if most > 6 else 0
+                few = np.flatnonzero((sizes > least) & (sizes <= most))
+                if len(few):
+                    self._few(h, target, ends[few], sizes[few], few, safe, out, d_h, d_out, d_out_bias)
+                    sizes[few] = 0
+                most = least
         for k in np.flatnonzero(sizes).tolist():
-            rows = order[ends[k]: ends[k + 1]]
-            at = slice(k * self.size, (k + 1) * self.size)
+            rows, at = slice(ends[k], ends[k + 1]), slice(k * self.size, (k + 1) * self.size)
             mine, word = h[rows], target[rows] - k * self.size
             chosen, e, total = _chosen(mine @ self.out[at].T, self.out_bias[at], word, safe)
             out[rows] += chosen
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(rows)), word] -= 1
-                d /= np.float32(n)
+                d = _by_logits(e, total, word, n)
                 d_h[rows] += d @ self.out[at]
-                d_out[at] += d.T @ mine
-                d_out_bias[at] += d.sum(axis=0)
-        return out
+                d_out[at] = d.T @ mine
+                d_out_bias[at] = np.ones(len(d), np.float32) @ d
+        given = np.empty_like(out)
+        given[order] = out
+        if grads is not None:
+            by_h = np.empty_like(d_h)
+            by_h[order] = d_h
+            grads += [by_h, d_classes, d_class_bias, d_out, d_out_bias]
+        return given
 
-    def _few(self, h: np.ndarray, target: np.ndarray, order: np.ndarray, first: np.ndarray, sizes: np.ndarray, few: np.ndarray, safe: bool,
+    def _few(self, h: np.ndarray, target: np.ndarray, first: np.ndarray, sizes: np.ndarray, few: np.ndarray, safe: bool,
              out: np.ndarray, d_h: np.ndarray, d_out: np.ndarray, d_out_bias: np.ndarray) -> None:
         """Adds the words' part of the classes `few`, each of few rows, to the results: all classes at once, filled up to the longest."""
         place = np.arange(sizes.max())
         there = place < sizes[:, None]
-        rows = order[np.where(there, first[:, None] + place, first[:, None])]
+        rows = np.where(there, first[:, None] + place, first[:, None])
         mine, word = h[rows], target[rows] - few[:, None] * self.size
         weights = self.out.reshape(self.groups, self.size, HIDDEN)[few]
         logits = mine @ weights.transpose(0, 2, 1)
@@ -284,52 +310,76 @@ class Network:
         chosen = logits[which]
         np.exp(logits, out=logits)
         total = logits @ np.ones(self.size, logits.dtype)
-        out[rows[there]] += (chosen - np.log(total))[there]
-        logits /= total[..., None]
-        logits[which] -= 1
-        logits *= (there / np.float32(len(target))).astype(np.float32)[..., None]
-        d_h[rows[there]] += (logits @ weights)[there]
-        d_out.reshape(self.groups, self.size, HIDDEN)[few] += logits.transpose(0, 2, 1) @ mine
-        d_out_bias.reshape(self.groups, self.size)[few] += logits.sum(axis=1)
+        real = rows[there]
+        out[real] += (chosen - np.log(total))[there]
+        share = there / np.float32(len(target))
+        logits *= (share / total).astype(np.float32)[..., None]
+        logits[which] -= share.astype(np.float32)
+        d_h[real] += (logits @ weights)[there]
+        d_out.reshape(self.groups, self.size, HIDDEN)[few] = logits.transpose(0, 2, 1) @ mine
+        d_out_bias.reshape(self.groups, self.size)[few] = (np.ones((1, len(place)), np.float32) @ logits)[:, 0]
 
     def _bound(self) -> float:
         """No logit is larger than this, as no state is larger than 1."""
-        return max(float((np.abs(self.classes).sum(axis=0) + self.class_bias).max()),
-                   float((np.abs(self.out).sum(axis=1) + self.out_bias).max(initial=-np.inf)))
+        one = np.ones(HIDDEN, np.float32)
+        return max(float((one @ np.abs(self.classes) + self.class_bias).max()), float((np.abs(self.out) @ one + self.out_bias).max(initial=-np.inf)))
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, alive: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
         """Gradients of the window's mean loss, the states to carry on (not differentiated through), and the loss."""
         kept: list = []
-        states, last = self.steps(ids, alive, h, kept)
-        valid = np.arange(ids.shape[1]) < alive[:, None]
+        _, last = self.steps(ids, alive, h, kept)
+        x, gates, c = kept
+        k, (times, lanes) = HIDDEN, ids.shape
+        valid = np.arange(lanes) < alive[:, None]
+        states = x[1:, :k].transpose(0, 2, 1)[valid]
         out: list = []
-        loss = -float(self.log_probabilities(states[valid], target[valid], out).mean())
-        # rows of all times one after another, as `valid` takes them; only what hangs on the later times is left to the loop
-        before, z, r, inner, c = (np.concatenate(x) for x in zip(*kept, strict=True))
-        ends = np.cumsum([0, *(len(x[0]) for x in kept)]).tolist()
-        grad, stay = out[0], 1 - z
-        by_c = stay * (1 - c * c)
-        by_z, by_r = (before - c) * z * stay, inner * r * (1 - r)
-        da, dv = np.empty((len(z), 3 * HIDDEN), np.float32), np.empty((len(z), 3 * HIDDEN), np.float32)
-        carry, back = np.zeros_like(h), np.ascontiguousarray(self.u.T)
-        for a, b in zip(ends[-2::-1], ends[:0:-1], strict=True):
-            d = grad[a:b]
-            d += carry[: b - a]
-            dc = np.multiply(d, by_c[a:b], out=da[a:b, 2 * HIDDEN:])
-            np.multiply(d, by_z[a:b], out=da[a:b, :HIDDEN])
-            np.multiply(dc, by_r[a:b], out=da[a:b, HIDDEN: 2 * HIDDEN])
-            mine = dv[a:b]
-            mine[:] = da[a:b]
-            mine[:, 2 * HIDDEN:] *= r[a:b]
-            d *= z[a:b]
-            d += mine @ back
-            carry[: b - a] = d
-        seen = ids[valid]
-        d_x, d_u, d_embed = self.embed[seen].T @ da, before.T @ dv, np.zeros_like(self.embed)
-        order = np.argsort(seen, kind="stable")
-        which, first = np.unique(seen[order], return_index=True)
-        d_embed[which] = np.add.reduceat((da @ self.x.T)[order], first, axis=0)
-        return [d_embed, d_x, d_u, da.sum(axis=0), dv[:, 2 * HIDDEN:].sum(axis=0), *out[1:]], last, loss
+        loss = -float(self.log_probabilities(states, target[valid], out).mean())
+        grad = np.zeros((times, lanes, k), np.float32)
+        grad[valid] = out[0]
+        grad = np.ascontiguousarray(grad.transpose(0, 2, 1))
+        # what a state's gradient is multiplied by for each gate, for all times; only what hangs on the later times is left to the loop
+        z, r, inner = gates[:, :k], gates[:, k: 2 * k], gates[:, 2 * k: 3 * k]
+        by = np.empty((times, 4, k, lanes), np.float32)
+        stay = 1 - z
+        np.multiply(c, c, out=by[:, 3])
+        np.subtract(np.float32(1), by[:, 3], out=by[:, 3])
+        by[:, 3] *= stay
+        np.multiply(by[:, 3], r, out=by[:, 2])
+        np.multiply(by[:, 2], inner, out=by[:, 1])
+        by[:, 1] *= 1 - r
+        np.subtract(x[:-1, :k], c, out=by[:, 0])
+        by[:, 0] *= z
+        by[:, 0] *= stay
+        flat, carry = by.reshape(times, 4 * k, lanes), np.zeros((k, lanes), np.float32)
+        for t in range(times - 1, -1, -1):
+            d = grad[t]
+            d += carry
+            by[t] *= d
+            np.matmul(self.u, flat[t, : 3 * k], out=carry)
+            d *= z[t]
+            carry += d
+        by_weights = (flat @ x[:-1].transpose(0, 2, 1)).sum(axis=0)
+        by_inputs = np.concatenate([by_weights[: 2 * k], by_weights[3 * k:]])
+        back = np.zeros((4 * k, EMBED), np.float32)
+        back[: 2 * k], back[3 * k:] = self.x[:, : 2 * k].T, self.x[:, 2 * k:].T
+        d_seen, seen, d_embed = (flat.transpose(0, 2, 1) @ back)[valid], ids[valid], np.zeros_like(self.embed)
+        order = np.argsort(_short(seen, len(self.embed)), kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        d_embed[seen[first]] = np.add.reduceat(d_seen[order], first, axis=0)
+        return [d_embed, by_inputs[:, k: -1].T, by_weights[: 3 * k, :k].T, by_inputs[:, -1], by_weights[2 * k: 3 * k, -1], *out[1:]], last, loss
+
+
+def _short(numbers: np.ndarray, below: int) -> np.ndarray:
+    """The same numbers in two bytes if they fit, which are sorted faster."""
+    return numbers.astype(np.uint16) if below <= 1 << 16 else numbers
+
+
+def _by_logits(e: np.ndarray, total: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Gradients of the mean loss over `n` rows by the logits of rows with undivided shares `e`, which are overwritten."""
+    e *= (np.float32(1 / n) / total)[:, None]
+    e[np.arange(len(which)), which] -= np.float32(1 / n)
+    return e
 
 
 def _chosen(logits: np.ndarray, bias: np.ndarray, which: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -353,7 +403,8 @@ class Trainer:
     def __init__(self, network: Network, start: int, rate: float) -> None:
         self.network, self.start, self.rate, self.number, self.tokens = network, start, rate, 0, 0
         self.flat = network.together()
-        self.first, self.second, self.room = (np.zeros_like(self.flat) for _ in range(3))
+        self.first, self.second, self.whole = (np.zeros_like(self.flat) for _ in range(3))
+        self.room = np.empty(NEAR, np.float32)
 
     def fit(self, docs: list[np.ndarray]) -> None:
         """Documents of like length side by side; the state is carried from window to window of a document."""
@@ -366,27 +417,29 @@ class Trainer:
         lengths = np.array([len(d) for d in docs])
         h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), self.start)
         for at in range(0, int(lengths[0]), WINDOW):
-            ids, target, alive = window(docs, lengths, at, WINDOW, last)
-            grads, h, _ = self.network.gradients(ids, target, alive, h)
+            lanes = int(np.searchsorted(-lengths, -at, "left"))
+            ids, target, alive = window(docs[:lanes], lengths[:lanes], at, WINDOW, last)
+            grads, h, _ = self.network.gradients(ids, target, alive, h[:lanes])
             last = target[-1]
             self.number += 1
             self.tokens += int(alive.sum())
-            g = np.concatenate([x.ravel() for x in grads])
-            g /= np.float32(max(1.0, np.sqrt(float(g @ g))))
-            rate = self.rate * np.sqrt(1 - 0.99 ** self.number) / (1 - 0.9 ** self.number)
-            m, v, room = self.first, self.second, self.room
-            np.subtract(g, m, out=room)
-            room *= np.float32(0.1)
-            m += room
-            g *= g
-            g -= v
-            g *= np.float32(0.01)
-            v += g
-            np.sqrt(v, out=room)
-            room += np.float32(1e-6)
-            np.divide(m, room, out=room)
-            room *= np.float32(rate)
-            self.flat -= room
+            whole = np.concatenate([x.ravel() for x in grads], out=self.whole)
+            scale = np.float32(0.1 / max(1.0, np.sqrt(float(whole @ whole))))
+            rate = np.float32(self.rate * np.sqrt(1 - 0.99 ** self.number) / (1 - 0.9 ** self.number))
+            for i in range(0, len(whole), NEAR):         # piece by piece, so that each stays in the cache
+                g, m, v, w = (x[i: i + NEAR] for x in (whole, self.first, self.second, self.flat))
+                room = self.room[: len(g)]
+                g *= scale               # a tenth, whose square is the hundredth that the second moment takes
+                m *= np.float32(0.9)
+                m += g
+                g *= g
+                v *= np.float32(0.99)
+                v += g
+                np.sqrt(v, out=room)
+                room += np.float32(1e-6)
+                np.divide(m, room, out=room)
+                room *= rate
+                w -= room
 
 
 def window(docs: list[np.ndarray], lengths: np.ndarray, at: int, size: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -455,12 +508,20 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def document_scores(network: Network, start: int, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihoods of documents' ids; the state is carried through all windows of each."""
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    ordered = [docs[i] for i in order]
+    out = np.empty(len(docs))
+    for i in range(0, len(docs), ABREAST):
+        some = order[i: i + ABREAST]
+        out[some] = _scores_abreast(network, start, [docs[j] for j in some])
+    return out
+
+
+def _scores_abreast(network: Network, start: int, ordered: list[np.ndarray]) -> np.ndarray:
+    """Of documents by falling length, all side by side."""
     lengths = np.array([len(d) for d in ordered])
-    total = np.zeros(len(docs))
-    h, last = np.zeros((len(docs), HIDDEN), np.float32), np.full(len(docs), start)
+    total = np.zeros(len(ordered))
+    h, last = np.zeros((len(ordered), HIDDEN), np.float32), np.full(len(ordered), start)
     at = 0
-    while len(docs) and at < lengths[0]:
+    while at < lengths[0]:
         lanes = int(np.searchsorted(-lengths, -at, "left"))
         size = max(WINDOW, min(1024, 2 * CHUNK // lanes))      # few lanes: longer windows; the result does not depend on it
         ids, target, alive = window(ordered[:lanes], lengths[:lanes], at, size, last)
@@ -469,9 +530,7 @@ def document_scores(network: Network, start: int, docs: list[np.ndarray]) -> np.
         valid = np.arange(lanes) < alive[:, None]
         total[:lanes] += np.bincount(np.nonzero(valid)[1], network.log_probabilities(states[valid], target[valid]).astype(float), lanes)
         at += len(target)
-    out = np.empty(len(docs))
-    out[order] = total
-    return out
+    return total
 
 
 @dataclass
@@ -500,7 +559,7 @@ def scanned(documents: DataFrame, model: Model) -> DataFrame:
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, network = model.vocabulary, model.network.fixed()
+        vocabulary, network = model.vocabulary, model.network
         to = Words(vocabulary, model.head)
         row = TaskContext.get().partitionId() << 40
         more = np.log10(np.append(vocabulary.counts, 0) + 1.0)      # by rank; -1: not known here
