@@ -110,3 +110,60 @@ def test_bin_numbers_count_borders_below():
     edges = np.array([-1.5, 0.0, 0.25, 2.0, *[np.inf] * 11])
     values = np.array([[-np.inf, -1.5, -1.4, 0.0], [0.25, 0.3, np.inf, np.nan]])
     assert (forests.bin_numbers(values, edges) == np.searchsorted(edges, values, "left")).all()
+
+
+def ticks_of(spark, rng, lengths, history):
+    """Ticks of some stays as `history_ticks` gives them, two features each, and the windows with X that they stand for."""
+    ticks, windows = [], []
+    for stay, n in enumerate(lengths):
+        values = rng.normal(0, 1, (n, 2)).round(1)
+        for i in range(n):
+            kept = i >= history - 1 and i < n - 2 and (stay, i) != (0, 9)
+            y, mask = [float(values[i, 0] * 3), float(i % 7)], [1.0, float(i % 3 > 0)]
+            key = stay * 1000 + i
+            ticks.append((stay, 0, i * 60, i + 1, kept, "test" if stay == 2 else "train", key if kept else None, y if kept else None, mask if kept else None, *map(float, values[i])))
+            if kept:
+                windows.append((stay, i * 60, "test" if stay == 2 else "train", key, y, mask, [[float(v) for v in r] for r in values[i - history + 1: i + 1]]))
+    df = spark.createDataFrame(ticks, "stay_id long, chunk long, tick long, _n int, _kept boolean, split string, key long, y array<double>, mask array<double>, a float, b float")
+    ordered = df.repartition(3, "stay_id").sortWithinPartitions("stay_id", "chunk", "tick")
+    return ordered, spark.createDataFrame(windows, "stay_id long, tick long, split string, key long, y array<double>, mask array<double>, X array<array<float>>")
+
+
+@pytest.mark.parametrize(("batch", "run"), [(10_000, 64), (7, 5)])
+def test_runs_give_the_forest_of_the_matrices(spark, monkeypatch, batch, run):
+    """Also where runs are cut by their length, by a window left out and by batches; each tick is stored once a run, not once a window."""
+    history = 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    monkeypatch.setattr(forests, "RUN", run)
+    try:
+        ticks, windows = ticks_of(spark, np.random.default_rng(3), [40, 5, 33, 30, 90, 4], history)
+        forest, kept = forests.fit_runs(ticks, ["a", "b"], history, 2, trees=6, depth=4)
+        want, edges, _ = forests.fit(windows.where("split = 'train'"), F.col("key"), F.col("y"), F.col("mask"), 2, trees=6, depth=4)
+        assert (forest.feature == want.feature).all() and (forest.threshold == want.threshold).all() and (want.feature >= 0).sum() > 9
+        assert forest.value == pytest.approx(want.value)
+        got = {(r.stay_id, r.tick): r for r in forests.predicted_runs(kept, forest, history).collect()}
+        rows = forests.predicted(windows, want, edges, history).collect()
+        assert len(got) == len(rows) == kept.agg(F.sum("n")).first()[0]
+        for r in rows:
+            assert tuple(got[r.stay_id, r.tick].predicted) == pytest.approx(tuple(r.predicted))
+            assert (got[r.stay_id, r.tick].y, got[r.stay_id, r.tick].mask) == (r.y, r.mask)
+        cells = kept.agg(F.sum(F.length("bins")), F.sum(F.expr(f"(n + {history - 1}) * 2"))).first()
+        assert cells[0] == cells[1] and kept.agg(F.max("n")).first()[0] <= run
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_runs_without_train_windows_predict_zeros(spark):
+    ticks, _ = ticks_of(spark, np.random.default_rng(4), [9], 4)
+    forest, kept = forests.fit_runs(ticks.withColumn("split", F.lit("test")), ["a", "b"], 4, 2, trees=2, depth=2)
+    assert {tuple(r.predicted) for r in forests.predicted_runs(kept, forest, 4).collect()} == {(0.0, 0.0)}
+
+
+@pytest.mark.parametrize("outputs", [1, 2, 5])
+def test_counts_travel_in_pairs(outputs):
+    rng = np.random.default_rng(6)
+    mask, y, weight = (rng.random((500, outputs)) < 0.6).astype(float), rng.normal(0, 1, (500, outputs)), rng.integers(1, 9, 500)
+    y[mask == 0] = np.nan
+    got = forests.unpaired((forests.paired(mask, y) * weight[:, None]).sum(axis=0)[None], outputs)[0]
+    assert got[0] == weight.sum() and (got[1: 1 + outputs] == (mask * weight[:, None]).sum(axis=0)).all()
+    assert got[1 + outputs:] == pytest.approx(np.nansum(y * weight[:, None], axis=0))

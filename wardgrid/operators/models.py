@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from wardgrid.functions import fixed_values as fx
 from wardgrid.operators import forests
 from wardgrid.operators.metrics import ranking_quality, threshold_metrics
+from wardgrid.operators.scaling import Scaler
+from wardgrid.operators.targets import is_window
+from wardgrid.operators.timeline import Timeline
+from wardgrid.operators.windows import history_ticks
 from wardgrid.session import store
 
 
@@ -70,19 +74,18 @@ def classification_report(scored: DataFrame, kind: str) -> DataFrame:
         F.lit(kind).alias("model"), "auroc", "average_precision", "accuracy", "precision", "recall", "f1")
 
 
-def forest_forecasts(windows: DataFrame, split: str = "test", channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS),
+def forest_forecasts(t: Timeline, scaler: Scaler, split: str = "test", channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS),
                      steps: Sequence[int] = (1, 2, 3, 4), trees: int = 30, depth: int = 8) -> DataFrame:
-    """One forest for all channels and steps, fitted on all train rows; targets that were not observed take no part.
+    """One forest for all channels and steps, fitted on all train windows of a stored timeline with features, targets and split; targets
+    that were not observed take no part.
 
     Rows (stay_id, tick, channel, step, y, p) of the valid future points of the wanted split.
     """
-    kept = store(forests.flattened(windows.select(
-        "stay_id", "tick", "split", "X", F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask"))))
     width = len(fx.FORECAST_CHANNELS)
-    outputs = width * (max(steps) if kept.isEmpty() else kept.select(F.size("y")).first()[0] // width)
-    fitted = forests.fit(kept.where("split = 'train'"), F.xxhash64("stay_id", "tick"), F.col("y"), F.col("mask"), outputs, trees, depth)
-    test = kept.where(F.col("split") == split)
-    scored = forests.predicted(test, *fitted) if fitted else test.drop("newest", "cells").withColumn("predicted", F.array_repeat(F.lit(0.0), outputs))
+    ticks = history_ticks(t.with_df(t.df.where(F.col("split").isin("train", split))), scaler, keep=is_window(t), others=[
+        F.col("split"), F.xxhash64("stay_id", "tick").alias("key"), F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask")])
+    forest, kept = forests.fit_runs(ticks, fx.FEATURES, t.spec.history, width * t.spec.horizon, trees, depth)
+    scored = forests.predicted_runs(kept.where(F.col("split") == split), forest, t.spec.history)
     cells = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("step"), *[
         F.col(v)[(k - 1) * width + fx.FORECAST_CHANNELS.index(c)].alias(n) for v, n in (("y", "y"), ("predicted", "p"), ("mask", "_m"))])
         for c in channels for k in steps]

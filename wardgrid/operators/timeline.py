@@ -101,9 +101,9 @@ def tick_time(tick: Column) -> Column:
 
 
 def stay_bounds(stays: DataFrame, spec: GridSpec) -> DataFrame:
-    """Grid bounds [floor(intime), ceil(outtime)] per stay; stays with under two ticks drop out."""
+    """Grid bounds [floor(intime), ceil(outtime)] per stay, with its `split` where it has one; stays with under two ticks drop out."""
     bounds = stays.select(
-        "stay_id", "subject_id",
+        "stay_id", "subject_id", *[c for c in stays.columns if c == "split"],
         floor_to(F.col("intime"), spec.step).alias("first_tick"),
         ceil_to(F.col("outtime"), spec.step).alias("last_tick"),
     )
@@ -128,7 +128,7 @@ def grid_ticks(chunks: DataFrame, spec: GridSpec) -> DataFrame:
     ticks = chunks.withColumn("tick", F.explode(F.sequence(
         F.col("from_tick"), F.col("to_tick"), F.lit(spec.step).cast("long"))))
     return ticks.select(
-        "stay_id", "chunk", "tick", "subject_id", "first_tick", "last_tick",
+        "stay_id", "chunk", "tick", "subject_id", "first_tick", "last_tick", *[c for c in chunks.columns if c == "split"],
         (F.floor(F.col("tick") / span) == F.col("chunk")).alias("core"))
 
 
@@ -249,7 +249,7 @@ def chunked_timeline(stays: DataFrame, vitals: DataFrame, labs: DataFrame, spec:
     lab_names = [c for c in fx.LAB_CHANNELS if c in spec.channels]
     vital_rows = tick_means(name_items(vitals, fx.VITAL_ITEMS), "stay_id", vital_names, spec, sources)
     lab_rows = labs_per_stay(
-        tick_means(name_items(labs, fx.LAB_ITEMS), "subject_id", lab_names, spec, sources), bounds)
+        tick_means(name_items(labs, fx.LAB_ITEMS), "subject_id", lab_names, spec, sources), bounds.drop("split"))
     t = stack(grid, [vital_rows, lab_rows, *extra], spec, sums)
     return fill_and_mask(t.stored() if stored else t, frame)
 

@@ -43,20 +43,37 @@ def with_history(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.
     return t.with_df(made.select("stay_id", "chunk", "w.tick", "w.rest.*", "w.X"))
 
 
+def history_ticks(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.FEATURES), keep: Column | None = None,
+                  others: Sequence[Column] = ()) -> DataFrame:
+    """The rows that `with_history` puts into X, each once: all ticks by (stay_id, chunk, tick), with the standardised features as floats.
+
+    Partitions hold whole chunks in this order; `_n` numbers the ticks of a chunk from 1, and X of a tick is the last
+    `history` rows up to it. `_kept` marks the ticks that have an X, which alone carry `others`.
+    """
+    names = [t.df.select(o).columns[0] for o in others]
+    wanted = F.coalesce(F.col("core") & (F.lit(True) if keep is None else keep), F.lit(False))
+    meta = t.df.select("*", wanted.alias("_kept")).select(
+        "stay_id", "chunk", "tick", "_kept", *[F.when(F.col("_kept"), o).alias(f"_o_{n}") for o, n in zip(others, names, strict=True)], *columns)
+    scaled = scaler.transform(meta, columns)
+    number = F.row_number().over(Window.partitionBy("stay_id", "chunk").orderBy("tick"))
+    return scaled.select("stay_id", "chunk", "tick", number.alias("_n"), "_kept", *[F.col(f"_o_{n}").alias(n) for n in names],
+                         *[F.col(c).cast("float").alias(c) for c in columns])
+
+
 def long_enough(t: Timeline) -> Timeline:
     """Only stays that can hold a window: at least history + horizon ticks."""
     return t.with_df(t.df.where(tick_count(t) >= t.spec.history + t.spec.horizon))
 
 
-def assigned(t: Timeline, splits: DataFrame) -> Timeline:
-    """The timeline with each tick's `split`; unassigned subjects drop out. Before history is added, ticks are narrow."""
-    return t.with_df(t.df.join(splits, "subject_id"))
+def assigned(stays: DataFrame, splits: DataFrame) -> DataFrame:
+    """The stays with their `split`, which each tick of their grid then carries; unassigned subjects drop out. Ticks are never joined."""
+    return stays.join(splits, "subject_id")
 
 
 def window_rows(t: Timeline, splits: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """One row per window with its split; stays of unassigned subjects drop out.
 
-    A timeline that is `assigned` already carries its split: its wide history column then meets no join.
+    A timeline of `assigned` stays already carries its split: its wide history column then meets no join.
     """
     meta = ["stay_id", "subject_id", "tick"] + (["split"] if splits is None else [])
     rows = t.df.where(F.col("core") & is_window(t)).select(

@@ -22,7 +22,7 @@ from wardgrid.plans.testmodel import SPEC, with_sql
 from wardgrid.session import store
 from wardgrid.sources.tables import LABEL_ONLY_TABLES
 from wardgrid.plans.timeline_queries import (
-    ALIGNED, SPLIT_SQL, STEP, TARGETED, _W, build_windows, r6, splits, timeline, windows,
+    ALIGNED, SPLIT_SQL, STEP, TARGETED, _W, build_timeline, build_windows, r6, splits, timeline, windows,
 )
 
 QUERIES: dict = {}
@@ -216,7 +216,7 @@ def forest_baseline(spark, d):
 SELECT channel, step, count(*) AS n, round(sum(y) / 7, 4) AS sum_y, 0e0 AS mae_gap, 0e0 AS rmse_gap, 0e0 AS r2_gap FROM t GROUP BY channel, step""")
 def forest_forecast(spark, d):
     """Rows and a seventh of the targets' sum (which no decimal tie can round both ways) of every channel and step, and how far the errors of `forecast_errors` are from plain aggregates of the rows (y, p)."""
-    points = store(mo.forest_forecasts(build_windows(spark, d)))
+    points = store(mo.forest_forecasts(*build_timeline(spark, d)))
     plain = points.groupBy("channel", "step").agg(
         F.round(F.sum("y") / 7, 4).alias("sum_y"), F.expr("sum(greatest(p, y) - least(p, y)) / count(*)").alias("_mae"),
         F.expr("sqrt((sum(p * p) - 2 * sum(p * y) + sum(y * y)) / count(*))").alias("_rmse"),
@@ -238,7 +238,7 @@ def forest_report(spark, d):
 
 def forest_forecast_report(spark, d):
     """MAE, RMSE and R2 per channel and step, and of all channels per step."""
-    return me.forecast_errors(store(mo.forest_forecasts(build_windows(spark, d))), ("channel", "step"))
+    return me.forecast_errors(store(mo.forest_forecasts(*build_timeline(spark, d))), ("channel", "step"))
 
 
 REPORTS = {f.__name__: f for f in (logistic_report, forest_report, forest_forecast_report)}

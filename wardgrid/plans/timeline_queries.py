@@ -45,15 +45,17 @@ def classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return (tx.classify(tm.infusions(spark, d), "drug_name"), tx.classify(tm.orders(spark, d), "drug_name"))
 
 
-def timeline(spark: SparkSession, d: str, treated: bool = False, stored: bool = False, **options) -> Timeline:
+def timeline(spark: SparkSession, d: str, treated: bool = False, stored: bool = False, parts: DataFrame | None = None, **options) -> Timeline:
+    """The test model's timeline; with `parts`, the splits of subjects, each tick has its split."""
     obs, stays = tm.observations(spark, d), tm.stays(spark, d)
+    placed = stays if parts is None else win.assigned(stays, parts)
     if not treated:
-        return chunked_timeline(stays, obs, obs, SPEC, stored=stored, **options)
+        return chunked_timeline(placed, obs, obs, SPEC, stored=stored, **options)
     bounds = stay_bounds(stays, SPEC)
     inf, orders = classified(spark, d)
     edges = tx.interval_edges(tx.stay_intervals(inf, orders, bounds), bounds, SPEC)
     started = tx.episode_per_tick(tx.episodes(inf, orders, stays), SPEC)
-    t = chunked_timeline(stays, obs, obs, SPEC, [edges, started],
+    t = chunked_timeline(placed, obs, obs, SPEC, [edges, started],
                          sums=[f"_edge_{c}" for c in fx.TREATMENTS], stored=stored, **options)
     return tx.add_flags(t)
 
@@ -495,11 +497,16 @@ def window_cells(spark, d):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"))
 
 
+def build_timeline(spark: SparkSession, d: str) -> tuple[Timeline, Scaler]:
+    """The stored timeline with features, targets and split, and the train-only scaler."""
+    t = win.long_enough(timeline(spark, d, treated=True, stored=True, parts=splits(spark, d)))
+    t = tg.add_targets(feat.add_features(t)).stored()
+    return t, Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
+
+
 def build_windows(spark: SparkSession, d: str) -> DataFrame:
     """The full window dataset: features, train-only scaler, history matrix, targets, split."""
-    t = win.long_enough(timeline(spark, d, treated=True, stored=True))
-    t = win.assigned(tg.add_targets(feat.add_features(t)), splits(spark, d)).stored()
-    scaler = Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
+    t, scaler = build_timeline(spark, d)
     return win.window_rows(win.with_history(t, scaler, keep=tg.is_window(t)), columns=["X"])
 
 
