@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardgrid.operators import forests
+from wardgrid.operators.scaling import Scaler
+from wardgrid.operators.targets import add_forecast
+from wardgrid.operators.timeline import GridSpec, Timeline
 
 
 def grown_by_hand(bins, y, mask, keys, trees, depth, seed, features):
@@ -167,3 +170,26 @@ def test_counts_travel_in_pairs(outputs):
     got = forests.unpaired((forests.paired(mask, y) * weight[:, None]).sum(axis=0)[None], outputs)[0]
     assert got[0] == weight.sum() and (got[1: 1 + outputs] == (mask * weight[:, None]).sum(axis=0)).all()
     assert got[1 + outputs:] == pytest.approx(np.nansum(y * weight[:, None], axis=0))
+
+
+def test_tasks_standardise_as_the_scaler_does(spark):
+    """Out of range, missing and NaN, of clipped channels, flags and other features."""
+    columns = ["heart_rate", "mask_spo2", "ema_map", "wbc"]
+    scaler = Scaler({"heart_rate": (80.0, 12.5, 77.0), "mask_spo2": (0.3, 0.4, 0.0), "ema_map": (70.123456, 9.87, 71.5)})
+    values = [(v, v, v, v) for v in (-1e9, 0.0, 0.1, 55.5, 77.7, 1e9, float("nan"), float("inf"), None)]
+    df = spark.createDataFrame(values, ", ".join(f"{c} double" for c in columns)).coalesce(1)
+    want = scaler.transform(df, columns).toArrow()
+    rows = df.toArrow()
+    for c in columns:
+        got = scaler.scaled(c, rows.column(c).to_numpy().astype(float), np.asarray(rows.column(c).is_null()))
+        assert np.array_equal(got, want.column(c).to_numpy(), equal_nan=True), c
+
+
+def test_forecasts_end_with_the_stay(spark):
+    """Rows ahead, with what is missing as 0; the last ticks have fewer."""
+    rows = [(1, 0, i * 60, float(i) if i % 2 else None, float(10 + i)) for i in range(6)] + [(2, 0, 0, 5.0, None)]
+    t = Timeline(spark.createDataFrame(rows, "stay_id long, chunk long, tick long, a double, b double"), GridSpec(step_minutes=1, horizon=3))
+    got = {(r.stay_id, r.tick): r for r in add_forecast(t, ["a", "b"]).df.collect()}
+    assert got[1, 0].forecast == [[1.0, 11.0], [0.0, 12.0], [3.0, 13.0]] and got[1, 0].forecast_mask == [[1.0, 1.0], [0.0, 1.0], [1.0, 1.0]]
+    assert got[1, 180].forecast == [[0.0, 14.0], [5.0, 15.0]] and got[1, 180].valid_points == 3
+    assert got[1, 300].forecast == got[1, 300].forecast_mask == got[2, 0].forecast == [] and got[1, 300].valid_points is None

@@ -9,7 +9,7 @@ reaches the driver. An output that is missing in a row takes no part in that row
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardgrid.operators.scaling import Scaler
 from wardgrid.session import store
 
 #: Bins of a feature, and features that a tree looks at on one level.
@@ -294,11 +295,17 @@ def column_edges(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return edges
 
 
-def runs(ticks: DataFrame, columns: Sequence[str], edges: np.ndarray, history: int) -> DataFrame:
+def runs(ticks: DataFrame, columns: Sequence[str], edges: np.ndarray, history: int, scaler: Scaler | None = None) -> DataFrame:
     """Runs of at most RUN windows from `history_ticks` with a long `key` and arrays `y` and `mask`: their number `n`, `tick`, `key`, `y` and
     `mask` of each as bytes, and `bins` of their ticks, one byte for each column, from the first one's oldest row on.
     """
-    width = len(columns)
+    width, scaler = len(columns), scaler and replace(scaler, seen=None)
+
+    def values(column: pa.Array, name: str) -> np.ndarray:
+        numbers = column.to_numpy(zero_copy_only=False).astype(float)
+        if scaler is None:
+            return numbers
+        return scaler.scaled(name, numbers, column.is_null().to_numpy(zero_copy_only=False)).astype(np.float32).astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.zeros((0, width), np.uint8)
@@ -306,7 +313,7 @@ def runs(ticks: DataFrame, columns: Sequence[str], edges: np.ndarray, history: i
             bins = np.empty((len(before) + batch.num_rows, width), np.uint8)
             bins[: len(before)] = before
             for f, c in enumerate(columns):
-                bins[len(before):, f] = bin_numbers(batch.column(c).to_numpy(zero_copy_only=False).astype(float), edges[f])
+                bins[len(before):, f] = bin_numbers(values(batch.column(c), c), edges[f])
             number = batch.column("_n").to_numpy()
             kept = np.flatnonzero(batch.column("_kept").to_numpy(zero_copy_only=False) & (number >= history))
             if len(kept):
@@ -484,13 +491,16 @@ def predicted(windows: DataFrame, forest: Forest, edges: np.ndarray, history: in
 
 
 def fit_runs(ticks: DataFrame, columns: Sequence[str], history: int, outputs: int, trees: int = 30, depth: int = 8,
-             seed: int = 42) -> tuple[Forest, DataFrame]:
+             seed: int = 42, scaler: Scaler | None = None) -> tuple[Forest, DataFrame]:
     """The forest of the train windows of `history_ticks` with `split`, `key`, `y` and `mask`, and the stored `runs` of all splits.
 
-    It is the one that `fit` makes from the windows' matrices, which are never made: each tick is binned, stored and read once.
+    It is the one that `fit` makes from the windows' matrices, which are never made: each tick is standardised by the `scaler`, binned,
+    stored and read once.
     """
-    edges = column_edges(ticks.where("_kept AND split = 'train'"), columns)
-    kept = store(runs(ticks, columns, edges, history))
+    newest = ticks.where("_kept AND split = 'train'").select(*columns)
+    newest = scaler.transform(newest, columns).select(*[F.col(c).cast("float") for c in columns]) if scaler else newest
+    edges = column_edges(newest, columns)
+    kept = store(runs(ticks, columns, edges, history, scaler))
     return grow(kept.where("split = 'train'"), outputs, trees, depth, seed, history=history), kept
 
 

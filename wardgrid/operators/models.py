@@ -76,15 +76,15 @@ def classification_report(scored: DataFrame, kind: str) -> DataFrame:
 
 def forest_forecasts(t: Timeline, scaler: Scaler, split: str = "test", channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS),
                      steps: Sequence[int] = (1, 2, 3, 4), trees: int = 30, depth: int = 8) -> DataFrame:
-    """One forest for all channels and steps, fitted on all train windows of a stored timeline with features, targets and split; targets
-    that were not observed take no part.
+    """One forest for all channels and steps, fitted on all train windows of a timeline with features, targets and split; targets that
+    were not observed take no part.
 
     Rows (stay_id, tick, channel, step, y, p) of the valid future points of the wanted split.
     """
     width = len(fx.FORECAST_CHANNELS)
-    ticks = history_ticks(t.with_df(t.df.where(F.col("split").isin("train", split))), scaler, keep=is_window(t), others=[
+    ticks = history_ticks(t.with_df(t.df.where(F.col("split").isin("train", split))), keep=is_window(t), others=[
         F.col("split"), F.xxhash64("stay_id", "tick").alias("key"), F.flatten("forecast").alias("y"), F.flatten("forecast_mask").alias("mask")])
-    forest, kept = forests.fit_runs(ticks, fx.FEATURES, t.spec.history, width * t.spec.horizon, trees, depth)
+    forest, kept = forests.fit_runs(ticks, fx.FEATURES, t.spec.history, width * t.spec.horizon, trees, depth, scaler=scaler)
     scored = forests.predicted_runs(kept.where(F.col("split") == split), forest, t.spec.history)
     cells = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("step"), *[
         F.col(v)[(k - 1) * width + fx.FORECAST_CHANNELS.index(c)].alias(n) for v, n in (("y", "y"), ("predicted", "p"), ("mask", "_m"))])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from wardgrid.operators.quantiles import exact_quantiles
 from wardgrid.session import store
 
 
+#: Columns whose moments one aggregate computes.
+WIDE = 9
+
+
 def clip_channels(df: DataFrame) -> DataFrame:
     """Cut every known channel to its plausible range; NULL stays NULL."""
     return df.selectExpr(*[
@@ -21,12 +27,16 @@ def clip_channels(df: DataFrame) -> DataFrame:
             c, *fx.CLIP_BOUNDS[c]) if c in fx.CLIP_BOUNDS else c for c in df.columns])
 
 
+def _moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = ", ".join(f"struct('{c}' AS channel, avg({c}) AS mean, stddev_samp({c}) AS std)" for c in columns)
+    return rows.agg(F.expr(f"array({cells})").alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+
+
 def scaler_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """channel, mean, std, median: std of at most 1e-6 counts as 1, an empty channel is (0, 1, 0)."""
     clipped = clip_channels(train).selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in columns])
-    # moments need no tall copy of the data: one wide aggregate, turned into rows afterwards
-    cells = ", ".join(f"struct('{c}' AS channel, avg({c}) AS mean, stddev_samp({c}) AS std)" for c in columns)
-    moments = clipped.agg(F.expr(f"array({cells})").alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    # moments need no tall copy of the data: wide aggregates, each of so few columns that its code is compiled, turned into rows afterwards
+    moments = reduce(DataFrame.unionByName, [_moments(clipped, columns[at: at + WIDE]) for at in range(0, len(columns), WIDE)])
     tall = unpivot_numbers(clipped, [], columns, "channel", "x")
     medians = exact_quantiles(tall, ["channel"], "x", {"median": 0.5})
     joined = moments.join(medians, "channel", "left")
@@ -79,3 +89,12 @@ class Scaler:
                 x = f"({x} - {mean!r}D) / ({std!r}D + 1e-6D)"
             exprs.append(f"{x} AS {c}")
         return out.selectExpr(*exprs)
+
+    def scaled(self, column: str, values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        """What `transform` makes of a column's values, within a task; NaN lies above all numbers there."""
+        mean, std, median = self.stats.get(column, (0.0, 1.0, 0.0))
+        if column in fx.CLIP_BOUNDS:
+            low, high = fx.CLIP_BOUNDS[column]
+            values = np.where(np.isnan(values), high, np.minimum(np.maximum(values, low), high))
+        values = np.where(missing, median, values)
+        return values if column.startswith(("mask_", "tx_")) else (values - mean) / (std + 1e-6)

@@ -43,16 +43,18 @@ def observed_only(t: Timeline) -> Timeline:
 
 def add_forecast(t: Timeline, channels: Sequence[str] = tuple(fx.FORECAST_CHANNELS)) -> Timeline:
     """The next ticks of the forecast channels (missing as 0) and their validity mask."""
-    ahead = F.collect_list(F.struct(*channels)).over(_ahead(t))
+    steps = range(1, t.spec.horizon + 1)
 
     def matrix(cell) -> Column:
-        return F.transform(F.col("_ahead"), lambda row: F.array(*[cell(row[c]) for c in channels]))
+        rows = F.array(*[F.array(*[cell(F.col(f"_{c}_{k}")) for c in channels]) for k in steps])
+        return F.slice(rows, 1, F.col("_ahead"))        # fewer rows near the end of a stay
 
-    df = t.df.withColumn("_ahead", ahead)
+    df = t.df.withColumns({"_ahead": F.count(F.lit(1)).over(_ahead(t)).cast("int"), **{
+        f"_{c}_{k}": F.lead(c, k).over(over_ticks()) for c in channels for k in steps}})
     df = df.withColumns({
         "forecast": matrix(lambda v: F.coalesce(v, F.lit(0.0))),
         "forecast_mask": matrix(lambda v: v.isNotNull().cast("double")),
-    })
+    }).drop(*[f"_{c}_{k}" for c in channels for k in steps])
     present = sum((F.col(c).isNotNull().cast("int") for c in channels), F.lit(0))
     df = df.withColumn("valid_points", F.sum(present).over(_ahead(t)))
     return t.with_df(df.drop("_ahead"))

@@ -43,21 +43,17 @@ def with_history(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.
     return t.with_df(made.select("stay_id", "chunk", "w.tick", "w.rest.*", "w.X"))
 
 
-def history_ticks(t: Timeline, scaler: Scaler, columns: Sequence[str] = tuple(fx.FEATURES), keep: Column | None = None,
-                  others: Sequence[Column] = ()) -> DataFrame:
-    """The rows that `with_history` puts into X, each once: all ticks by (stay_id, chunk, tick), with the standardised features as floats.
+def history_ticks(t: Timeline, columns: Sequence[str] = tuple(fx.FEATURES), keep: Column | None = None, others: Sequence[Column] = ()) -> DataFrame:
+    """The rows that `with_history` puts into X, each once and not yet standardised: all ticks by (stay_id, chunk, tick).
 
     Partitions hold whole chunks in this order; `_n` numbers the ticks of a chunk from 1, and X of a tick is the last
     `history` rows up to it. `_kept` marks the ticks that have an X, which alone carry `others`.
     """
-    names = [t.df.select(o).columns[0] for o in others]
     wanted = F.coalesce(F.col("core") & (F.lit(True) if keep is None else keep), F.lit(False))
-    meta = t.df.select("*", wanted.alias("_kept")).select(
-        "stay_id", "chunk", "tick", "_kept", *[F.when(F.col("_kept"), o).alias(f"_o_{n}") for o, n in zip(others, names, strict=True)], *columns)
-    scaled = scaler.transform(meta, columns)
     number = F.row_number().over(Window.partitionBy("stay_id", "chunk").orderBy("tick"))
-    return scaled.select("stay_id", "chunk", "tick", number.alias("_n"), "_kept", *[F.col(f"_o_{n}").alias(n) for n in names],
-                         *[F.col(c).cast("float").alias(c) for c in columns])
+    names = [t.df.select(o).columns[0] for o in others]
+    return t.df.select("stay_id", "chunk", "tick", number.alias("_n"), wanted.alias("_kept"),
+                       *[F.when(wanted, o).alias(n) for o, n in zip(others, names, strict=True)], *columns)
 
 
 def long_enough(t: Timeline) -> Timeline:

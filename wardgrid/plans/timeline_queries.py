@@ -497,17 +497,28 @@ def window_cells(spark, d):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"))
 
 
+def featured(spark: SparkSession, d: str) -> Timeline:
+    """Features and split of every tick."""
+    return feat.add_features(win.long_enough(timeline(spark, d, treated=True, stored=True, parts=splits(spark, d))))
+
+
+def train_scaler(t: Timeline) -> Scaler:
+    return Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
+
+
 def build_timeline(spark: SparkSession, d: str) -> tuple[Timeline, Scaler]:
-    """The stored timeline with features, targets and split, and the train-only scaler."""
-    t = win.long_enough(timeline(spark, d, treated=True, stored=True, parts=splits(spark, d)))
-    t = tg.add_targets(feat.add_features(t)).stored()
-    return t, Scaler.fit(feat.feature_frame(t.with_df(t.df.where("split = 'train'"))))
+    """The timeline with features, targets and split, and the train-only scaler, for a reader that looks at few targets.
+
+    Targets are added where the stored features are read, so that those nobody looks at are neither made nor written.
+    """
+    t = featured(spark, d).stored()
+    return tg.add_targets(t), train_scaler(t)
 
 
 def build_windows(spark: SparkSession, d: str) -> DataFrame:
     """The full window dataset: features, train-only scaler, history matrix, targets, split."""
-    t, scaler = build_timeline(spark, d)
-    return win.window_rows(win.with_history(t, scaler, keep=tg.is_window(t)), columns=["X"])
+    t = tg.add_targets(featured(spark, d)).stored()
+    return win.window_rows(win.with_history(t, train_scaler(t), keep=tg.is_window(t)), columns=["X"])
 
 
 @query("validity_report", TARGETED + """
